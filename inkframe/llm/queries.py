@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, simhash, toxicity, urls, wordpiece
+from . import bpe, decontaminate, media, repeats, simhash, toxicity, urls, wordpiece
 from .common import Scratch, table
 
 # Rules as (host, path, verdict).
@@ -66,6 +66,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_url_filter": op3_url_filter,
@@ -74,4 +79,5 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_media": op8_media,
+    "op9_repeats": op9_repeats,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, repeats, simhash, toxicity, urls, wordpiece
+from . import bpe, decontaminate, licenses, lines, media, repeats, simhash, toxicity, urls, wordpiece
 from .common import Scratch, table
 
 # Rules as (host, path, verdict).
@@ -31,6 +31,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "toxic_hits")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -71,8 +76,23 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # files of a tree: a source's thousands, then hundreds
+    number = F.coalesce(F.col("doc_id"), F.lit(0))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), F.concat(number.cast("string"), F.lit(".txt")))
+    done = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    return done.select("doc_id", "path", "n_headers", "license", F.round("similarity", 4).alias("similarity"), "inherited_from")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
@@ -80,4 +100,6 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_media": op8_media,
     "op9_repeats": op9_repeats,
+    "op10_licenses": op10_licenses,
+    "pipeline": pipeline,
 }

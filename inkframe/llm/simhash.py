@@ -119,8 +119,8 @@ def _majority(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
     return out
 
 
-def fingerprints_of(texts: list[str], shingle: int = 3) -> np.ndarray:
-    """64-bit SimHash of each text, without a loop over words."""
+def fingerprints_of(texts: list[str], shingle: int = 3, mix: np.uint64 | None = None) -> np.ndarray:
+    """64-bit SimHash of each text, without a loop over words; mix turns the shingles' hashes into others."""
     raw = [t.encode().lower() for t in texts]
     buf = np.frombuffer(b"\n".join(x if len(x) <= LONG_TEXT else b"" for x in raw) + b"\n", np.uint8)
     sizes = np.array([len(x) if len(x) <= LONG_TEXT else 0 for x in raw], np.int64)
@@ -140,14 +140,22 @@ def fingerprints_of(texts: list[str], shingle: int = 3) -> np.ndarray:
     word = np.repeat(first_word - run, grams) + np.arange(total)
     last = word + np.repeat(np.minimum(words, shingle), grams) - 1
     h = xxh64_spans(packed, to[word], to[last] + n[last] - to[word]) if total else np.empty(0, np.uint64)
+    if mix is not None:
+        h = remix(h, mix)
     out = _majority(h, run, grams)
     for i, x in enumerate(raw):
         if len(x) > LONG_TEXT:
-            out[i] = _one_long(x, shingle)
+            out[i] = _one_long(x, shingle, mix)
     return out
 
 
-def _one_long(raw: bytes, shingle: int) -> np.uint64:
+def remix(h: np.ndarray, mix: np.uint64) -> np.ndarray:
+    h = (h ^ mix) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _one_long(raw: bytes, shingle: int, mix: np.uint64 | None = None) -> np.uint64:
     """The same for one long text in bounded memory."""
     import re
     from collections import deque
@@ -155,18 +163,23 @@ def _one_long(raw: bytes, shingle: int) -> np.uint64:
     import xxhash
 
     sums, count, part, recent = np.zeros(64, np.int64), 0, [], deque(maxlen=shingle)
+
+    def bits() -> np.ndarray:
+        h = np.array(part, np.uint64) if mix is None else remix(np.array(part, np.uint64), mix)
+        return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
     for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
         recent.append(m[0])
         if len(recent) == shingle:
             part.append(xxhash.xxh64_intdigest(b" ".join(recent), SEED))
             count += 1
         if len(part) == 100_000:
-            sums += np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            sums += bits()
             part = []
     if recent and not count:
         part, count = [xxhash.xxh64_intdigest(b" ".join(recent), SEED)], 1
     if part:
-        sums += np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        sums += bits()
     return np.packbits((2 * sums > count).astype(np.uint8)).view(">u8")[0].astype(np.uint64)
 
 
@@ -240,3 +253,69 @@ def near_duplicates(df: DataFrame, scratch: Scratch, shingle: int = 3, distance:
 
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# -- near duplicates by similarity, for filtering
+
+
+WORDS = 4
+TABLES = 48
+SEGMENTS = 11
+
+
+def wide_fingerprints(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """Adds w0 to w3: a SimHash of 256 bits, from four mixes of each shingle's hash."""
+
+    def make():
+        return lambda texts: [x.view(np.int64) for x in wide_of(texts, shingle)]
+
+    return map_text(df, text_col, [T.StructField(f"w{i}", T.LongType()) for i in range(WORDS)], make)
+
+
+def wide_of(texts: list[str], shingle: int) -> list[np.ndarray]:
+    return [fingerprints_of(texts, shingle, mix=np.uint64(0x9E3779B97F4A7C15) * np.uint64(i) if i else None) for i in range(WORDS)]
+
+
+def _sampled_cells(seed: int = 7) -> Column:
+    """For each table, the popcounts of some 2-bit segments of the 256 bits, as one key."""
+    r = np.random.default_rng(seed)
+    keys = []
+    for k in range(TABLES):
+        value = F.lit(0).cast("long")
+        for s in r.choice(WORDS * 32, SEGMENTS, replace=False).tolist():
+            value = value * 3 + F.bit_count(F.shiftrightunsigned(F.col(f"w{s // 32}"), 2 * (s % 32)).bitwiseAND(F.lit(3)))
+        keys.append(value * TABLES + k)
+    return F.array(*keys)
+
+
+def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, least) of rows with a similar row: the least id that each reaches over links.
+
+    Two texts are linked if their 256-bit SimHashes over shingles differ in no more bits than sets of that Jaccard
+    similarity do on average. Candidates share a cell of one of 48 tables of sampled segment popcounts; in cells of more
+    than max_cell members each is tried with the cell's least only, and the other tables' cells link the rest.
+    Texts without words are left alone.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * WORDS * np.arccos(cosine) / np.pi)
+    all_w = [f"w{i}" for i in range(WORDS)]
+    marked = scratch.cut(wide_fingerprints(df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S")), shingle, text_col).select(id_col, *all_w).withColumn("node", F.xxhash64(*all_w)))
+    nodes = scratch.cut(marked.groupBy("node", *all_w).agg(F.min(id_col).alias("low")))
+    cells = nodes.select("node", "w0", F.explode(_sampled_cells()).alias("cell"))
+    size = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min(F.struct("node", "w0")).alias("first")).where(F.col("members") > 1)
+    met = scratch.cut(cells.join(size, "cell"))
+    rough = int(most / WORDS + 12)
+    few = met.where(F.col("members") <= max_cell)
+    a, b = few.select("cell", F.col("node").alias("u"), F.col("w0").alias("x")), few.select("cell", F.col("node").alias("v"), F.col("w0").alias("y"))
+    pairs = a.join(b, "cell").where(F.col("u") < F.col("v"))
+    crowd = met.where(F.col("members") > max_cell).select("cell", F.col("first.node").alias("u"), F.col("first.w0").alias("x"), F.col("node").alias("v"), F.col("w0").alias("y")).where(F.col("u") != F.col("v"))
+    near = pairs.unionByName(crowd).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= rough).select("u", "v").distinct()
+    left = nodes.select(F.col("node").alias("u"), *[F.col(c).alias(f"a{c}") for c in all_w])
+    right = nodes.select(F.col("node").alias("v"), *[F.col(c).alias(f"b{c}") for c in all_w])
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in all_w), F.lit(0))
+    edges = near.join(left, "u").join(right, "v").where(differ <= most).select("u", "v")
+    joined = components(edges, scratch)
+    placed = nodes.join(joined, "node", "left").select("node", "low", F.coalesce("least", "node").alias("root"))
+    names = placed.groupBy("root").agg(F.min("low").alias("least"))
+    by_node = placed.join(names, "root").select("node", "least")
+    return marked.join(by_node, "node").select(id_col, "least")

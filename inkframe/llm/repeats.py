@@ -29,9 +29,10 @@ from .common import Scratch, chunks, without
 from .decontaminate import powers
 
 BASE = 0x9E3779B97F4A7C15
-GRAM = 64
+GRAM = 100
 #: Distinct phrases of one gram that are compared pair by pair.
-MAX_PAIRED = 64
+MAX_PAIRED = 256
+STEP = 17
 PIECE = 4_000_000
 OUTPUTS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
 
@@ -167,31 +168,39 @@ def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of rows, within both lengths."""
-    differ = a != b
-    first = np.where(differ.any(1), differ.argmax(1), a.shape[1])
-    return np.minimum(first, np.minimum(na, nb))
+    """Bytes of the common prefix of rows of 8-byte words, within both lengths."""
+    x = a ^ b
+    at = (x != 0).argmax(1)
+    word = x[np.arange(len(x)), at]
+    low = word & (~word + np.uint64(1))
+    inside = np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 3
+    return np.minimum(np.where(word == 0, 8 * a.shape[1], 8 * at + inside), np.minimum(na, nb))
+
+
+def _words(parts: list[bytes], side: int) -> np.ndarray:
+    width = -(-side // 8) * 8
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), "<u8").reshape(len(parts), width // 8)
 
 
 def widest(gram: np.ndarray, left: list[bytes], right: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
     """For rows sorted by gram: how far shared strings reach left and right of the gram; -1 where none is shared."""
     n = len(gram)
-    a = np.frombuffer(b"".join(x[::-1].ljust(side, b"\0") for x in left), np.uint8).reshape(n, side)
-    b = np.frombuffer(b"".join(x.ljust(side, b"\0") for x in right), np.uint8).reshape(n, side)
+    a, b = _words([x[::-1] for x in left], side), _words(right, side)
     na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     reach_l, reach_r = np.full(n, -1), np.full(n, -1)
+    i = np.arange(n)
     for d in range(1, n):
-        i = np.flatnonzero(gram[:-d] == gram[d:])
+        i = i[i < n - d]
+        i = i[gram[i] == gram[i + d]]
         if not len(i):
             break
-        for lo in range(0, len(i), 20_000):
-            p = i[lo : lo + 20_000]
-            q = p + d
-            l, r = _agree(a[p], a[q], na[p], na[q]), _agree(b[p], b[q], nb[p], nb[q])
-            ok = l + r >= side
-            for x in (p[ok], q[ok]):
-                np.maximum.at(reach_l, x, l[ok])
-                np.maximum.at(reach_r, x, r[ok])
+        q = i + d
+        l = _agree(a[i], a[q], na[i], na[q])
+        r = _agree(b[i], b[q], nb[i], nb[q])
+        ok = l + r >= side
+        for x in (i[ok], q[ok]):
+            np.maximum.at(reach_l, x, l[ok])
+            np.maximum.at(reach_r, x, r[ok])
     return reach_l, reach_r
 
 
@@ -225,20 +234,25 @@ def _compared(phrases: DataFrame, length: int) -> DataFrame:
     return few.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, at int, l int, r int")
 
 
-def _hashed(df: DataFrame, length: int, coarse: bool, step: int = 17) -> DataFrame:
-    """(key, at, n, t, h): hashes of a phrase's strings by how far left of the gram they start; coarse ones are shorter
-    stretches, at least one of which two phrases share if they share a string."""
+def _hashed(df: DataFrame, length: int, coarse: bool) -> DataFrame:
+    """(key, at, n, t, h): hashes of a phrase's strings by how far left of the gram they start.
+
+    Coarse ones are shorter stretches: two phrases that share a string which starts t bytes left of the gram share the
+    stretch of t rounded down to STEP. Fine ones are the strings of those t whose stretches are in df's column cells.
+    """
     side = length - GRAM
+    columns = ["key", "at", "gram", "n", "left", "right"] + ["cells"] * (not coarse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             out = []
-            for key, at, gram, n, left, right in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "at", "gram", "n", "left", "right")), strict=True):
-                for t in range(0, len(left) + 1, step if coarse else 1):
-                    r = max(0, side - t - (step - 1)) if coarse else side - t
-                    if r <= len(right):
+            for key, at, gram, n, left, right, *cells in zip(*(b.column(i).to_pylist() for i in range(len(columns))), strict=True):
+                starts = range(0, len(left) + 1, STEP) if coarse else (t for c in cells[0] for t in range(c, min(c + STEP, len(left) + 1)))
+                for t in starts:
+                    r = max(0, side - t - (STEP - 1)) if coarse else side - t
+                    if 0 <= r <= len(right):
                         h = xxhash.xxh64_intdigest(b"%d %d " % (gram, t) + left[len(left) - t :] + right[:r])
                         out.append((key, at, n, t, h - (1 << 63)))
                 if len(out) > 50_000:
@@ -248,24 +262,27 @@ def _hashed(df: DataFrame, length: int, coarse: bool, step: int = 17) -> DataFra
                 yield _batch(list(zip(*out, strict=True)), types, names)
 
     names, types = ["key", "at", "n", "t", "h"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-    return df.select("key", "at", "gram", "n", "left", "right").mapInArrow(run, "key long, at int, n long, t int, h long")
+    return df.select(*columns).mapInArrow(run, "key long, at int, n long, t int, h long")
 
 
 def _shared(hashed: DataFrame) -> DataFrame:
-    return hashed.join(hashed.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > 1), "h")
+    return hashed.join(hashed.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("h"), "h")
 
 
 def _counted(crowd: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same as _compared for grams with many phrases, by counting hashes."""
     side = length - GRAM
-    rough = _shared(_hashed(crowd, length, True)).select("key", "at").distinct()
+    rough = _shared(_hashed(crowd, length, True)).groupBy("key", "at").agg(F.collect_set("t").alias("cells"))
     some = crowd.join(rough, ["key", "at"])
     strings = _shared(scratch.cut(_hashed(some, length, False))).where(F.col("n") == 1)
     return strings.groupBy("key", "at").agg(F.max("t").cast("int").alias("l"), (side - F.min("t")).cast("int").alias("r"))
 
 
 def covers(df: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(key, at, l, r): gram places and how far left and right of the gram repeated strings reach. df has key, text."""
+    """(key, marks): gram places (at) and how far left (l) and right (r) of the gram repeated strings reach.
+
+    df has key and text.
+    """
     side = length - GRAM
     found = parse(df, length)
     again = found.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("gram")
@@ -276,14 +293,18 @@ def covers(df: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     wanted = dictionary.join(grams, "gram").select("rep.key", "rep.at", "gram", "n", "members")
     phrases = scratch.cut(_phrases(df, wanted, length))
     crowd = phrases.where(F.col("members") > MAX_PAIRED)
-    return whole.unionByName(_compared(phrases, length)).unionByName(_counted(crowd, length, scratch))
+    out = whole.unionByName(_compared(phrases, length)).unionByName(_counted(crowd, length, scratch))
+    out = scratch.cut(out.groupBy("key").agg(F.collect_set(F.struct("at", "l", "r")).alias("marks")))
+    for gone in (met, dictionary, phrases):
+        scratch.drop(gone)
+    return out
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the bytes outside every string of length bytes that starts twice)."""
     base = without(df, [f.name for f in OUTPUTS] + ["_key", "_covers"])
     docs = base.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    by_row = covers(docs, length, scratch).groupBy("key").agg(F.collect_set(F.struct("at", "l", "r")).alias("_covers")).withColumnRenamed("key", "_key")
+    by_row = covers(docs, length, scratch).withColumnsRenamed({"key": "_key", "marks": "_covers"})
     joined = base.withColumn("_key", row_key(id_col, text_col)).join(by_row, "_key", "left").drop("_key")
     kept = [f for f in joined.schema.fields if f.name not in ("_covers", text_col)]
     schema = T.StructType(kept + OUTPUTS)

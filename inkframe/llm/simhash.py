@@ -18,6 +18,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,16 +277,26 @@ def wide_of(texts: list[str], shingle: int) -> list[np.ndarray]:
     return [fingerprints_of(texts, shingle, mix=np.uint64(0x9E3779B97F4A7C15) * np.uint64(i) if i else None) for i in range(WORDS)]
 
 
-def _sampled_cells(seed: int = 7) -> Column:
-    """For each table, the popcounts of some 2-bit segments of the 256 bits, as one key."""
+def sampled_cells(w: np.ndarray, seed: int = 7) -> np.ndarray:
+    """For each row of WORDS fingerprints and each table, the popcounts of some 2-bit segments of the 256 bits, as one key."""
     r = np.random.default_rng(seed)
-    keys = []
-    for k in range(TABLES):
-        value = F.lit(0).cast("long")
-        for s in r.choice(WORDS * 32, SEGMENTS, replace=False).tolist():
-            value = value * 3 + F.bit_count(F.shiftrightunsigned(F.col(f"w{s // 32}"), 2 * (s % 32)).bitwiseAND(F.lit(3)))
-        keys.append(value * TABLES + k)
-    return F.array(*keys)
+    bits = np.stack([(w[:, i] >> np.uint64(2 * s)) & np.uint64(3) for i in range(WORDS) for s in range(32)], axis=1)
+    counts = np.bitwise_count(bits).astype(np.int64)
+    place = 3 ** np.arange(SEGMENTS)
+    return np.stack([counts[:, r.choice(WORDS * 32, SEGMENTS, replace=False)] @ place * TABLES + k for k in range(TABLES)], axis=1)
+
+
+def _with_cells(nodes: DataFrame) -> DataFrame:
+    """(node, w0, cell), a row for each table."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                w = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(sampled_cells(w)), pa.list_(pa.int64()))], names=["node", "w0", "cells"])
+
+    cells = nodes.select("node", *[f"w{i}" for i in range(WORDS)]).mapInArrow(run, "node long, w0 long, cells array<long>")
+    return cells.select("node", "w0", F.explode("cells").alias("cell"))
 
 
 def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -301,7 +312,7 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     all_w = [f"w{i}" for i in range(WORDS)]
     marked = scratch.cut(wide_fingerprints(df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S")), shingle, text_col).select(id_col, *all_w).withColumn("node", F.xxhash64(*all_w)))
     nodes = scratch.cut(marked.groupBy("node", *all_w).agg(F.min(id_col).alias("low")))
-    cells = nodes.select("node", "w0", F.explode(_sampled_cells()).alias("cell"))
+    cells = _with_cells(nodes)
     size = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min(F.struct("node", "w0")).alias("first")).where(F.col("members") > 1)
     met = scratch.cut(cells.join(size, "cell"))
     rough = int(most / WORDS + 12)

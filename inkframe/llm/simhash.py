@@ -287,24 +287,78 @@ def sampled_cells(w: np.ndarray, seed: int = 7) -> np.ndarray:
 
 
 def _with_cells(nodes: DataFrame) -> DataFrame:
-    """(node, w0, cell), a row for each table."""
+    """(node, w0 to w3, cell), a row for each table."""
+    words = [f"w{i}" for i in range(WORDS)]
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 w = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(sampled_cells(w)), pa.list_(pa.int64()))], names=["node", "w0", "cells"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(sampled_cells(w)), pa.list_(pa.int64()))], names=["node", *words, "cells"])
+
+    cells = nodes.select("node", *words).mapInArrow(run, f"node long, {', '.join(f'{w} long' for w in words)}, cells array<long>")
+    return cells.select("node", *words, F.explode("cells").alias("cell"))
+
+
+def forest(cell: np.ndarray, w: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """For rows sorted by cell: links of rows within so many bits, as few as join what all such links join in a cell."""
+    above = list(range(len(cell)))
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out, i = [], np.arange(len(cell))
+    for d in range(1, len(cell)):
+        i = i[i < len(cell) - d]
+        i = i[cell[i] == cell[i + d]]
+        if not len(i):
+            break
+        for x in i[np.bitwise_count(w[i] ^ w[i + d]).sum(1, dtype=np.int64) <= most].tolist():
+            p, q = root(x), root(x + d)
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                out.append((x, x + d))
+    return out
+
+
+def _cell_links(cells: DataFrame, most: int) -> DataFrame:
+    """(u, v) links inside cells of bounded size."""
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            node = t["node"].to_numpy()
+            found = np.array(forest(t["cell"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in words], axis=1), most), np.int64).reshape(-1, 2)
+            u, v = node[found[:, 0]], node[found[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            cell = t["cell"].to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if cut:
+                yield done(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
 
-    cells = nodes.select("node", *[f"w{i}" for i in range(WORDS)]).mapInArrow(run, "node long, w0 long, cells array<long>")
-    return cells.select("node", "w0", F.explode("cells").alias("cell"))
+    return cells.select("cell", "node", *words).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
 def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, least) of rows with a similar row: the least id that each reaches over links.
 
     Two texts are linked if their 256-bit SimHashes over shingles differ in no more bits than sets of that Jaccard
-    similarity do on average. Candidates share a cell of one of 48 tables of sampled segment popcounts; in cells of more
-    than max_cell members each is tried with the cell's least only, and the other tables' cells link the rest.
+    similarity do on average. Candidates share a cell of one of 48 tables of sampled segment popcounts. In each cell all pairs
+    are tried, and of the links found as few are put out as join the same; in cells of more than max_cell members each is
+    tried with the cell's least only, and the other tables' cells link the rest.
     Texts without words are left alone.
     """
     cosine = 2 * similarity / (1 + similarity)
@@ -313,18 +367,12 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     marked = scratch.cut(wide_fingerprints(df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S")), shingle, text_col).select(id_col, *all_w).withColumn("node", F.xxhash64(*all_w)))
     nodes = scratch.cut(marked.groupBy("node", *all_w).agg(F.min(id_col).alias("low")))
     cells = _with_cells(nodes)
-    size = cells.groupBy("cell").agg(F.count("*").alias("members"), F.min(F.struct("node", "w0")).alias("first")).where(F.col("members") > 1)
+    first = F.min(F.struct("node", *all_w))
+    size = cells.groupBy("cell").agg(F.count("*").alias("members"), first.alias("first")).where(F.col("members") > 1)
     met = scratch.cut(cells.join(size, "cell"))
-    rough = int(most / WORDS + 12)
-    few = met.where(F.col("members") <= max_cell)
-    a, b = few.select("cell", F.col("node").alias("u"), F.col("w0").alias("x")), few.select("cell", F.col("node").alias("v"), F.col("w0").alias("y"))
-    pairs = a.join(b, "cell").where(F.col("u") < F.col("v"))
-    crowd = met.where(F.col("members") > max_cell).select("cell", F.col("first.node").alias("u"), F.col("first.w0").alias("x"), F.col("node").alias("v"), F.col("w0").alias("y")).where(F.col("u") != F.col("v"))
-    near = pairs.unionByName(crowd).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= rough).select("u", "v").distinct()
-    left = nodes.select(F.col("node").alias("u"), *[F.col(c).alias(f"a{c}") for c in all_w])
-    right = nodes.select(F.col("node").alias("v"), *[F.col(c).alias(f"b{c}") for c in all_w])
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in all_w), F.lit(0))
-    edges = near.join(left, "u").join(right, "v").where(differ <= most).select("u", "v")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in all_w), F.lit(0))
+    crowd = met.where((F.col("members") > max_cell) & (F.col("node") != F.col("first.node")) & (differ <= most)).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
+    edges = _cell_links(met.where(F.col("members") <= max_cell), most).unionByName(crowd).distinct()
     joined = components(edges, scratch)
     placed = nodes.join(joined, "node", "left").select("node", "low", F.coalesce("least", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("low").alias("least"))

@@ -358,8 +358,9 @@ def _with_cells(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *W, "mins").mapInArrow(run, "node long, cell long, tried long")
 
 
-def forest(cell: np.ndarray, w: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """For rows sorted by cell: links of rows within so many bits, as few as join what all such links join in a cell."""
+def forest(cell: np.ndarray, w: np.ndarray, sure: int, most: int) -> list[tuple[int, int, bool]]:
+    """For rows sorted by cell: links of rows within sure bits, as few as join what all such links join in a cell; then
+    all pairs within most bits (False) that these links don't join."""
     above = list(range(len(cell)))
 
     def root(x: int) -> int:
@@ -367,31 +368,33 @@ def forest(cell: np.ndarray, w: np.ndarray, most: int) -> list[tuple[int, int]]:
             above[x] = x = above[above[x]]
         return x
 
-    out, i = [], np.arange(len(cell))
+    out, open_pairs, i = [], [], np.arange(len(cell))
     for d in range(1, len(cell)):
         i = i[i < len(cell) - d]
         i = i[cell[i] == cell[i + d]]
         if not len(i):
             break
-        for x in i[np.bitwise_count(w[i] ^ w[i + d]).sum(1, dtype=np.int64) <= most].tolist():
+        apart = np.bitwise_count(w[i] ^ w[i + d]).sum(1, dtype=np.int64)
+        for x in i[apart <= sure].tolist():
             p, q = root(x), root(x + d)
             if p != q:
                 above[max(p, q)] = min(p, q)
-                out.append((x, x + d))
-    return out
+                out.append((x, x + d, True))
+        open_pairs += [(x, x + d) for x in i[(apart > sure) & (apart <= most)].tolist()]
+    return out + [(x, y, False) for x, y in open_pairs if root(x) != root(y)]
 
 
-def _cell_links(cells: DataFrame, most: int) -> DataFrame:
-    """(u, v) links inside cells of bounded size."""
+def _cell_links(cells: DataFrame, sure: int, most: int) -> DataFrame:
+    """(u, v, sure) links inside cells of bounded size."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> pa.RecordBatch:
             node = t["node"].to_numpy()
-            found = np.array(forest(t["cell"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in W], axis=1), most), np.int64).reshape(-1, 2)
+            found = np.array(forest(t["cell"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in W], axis=1), sure, most), np.int64).reshape(-1, 3)
             u, v = node[found[:, 0]], node[found[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(found[:, 2] == 1)], names=["u", "v", "sure"])
 
         for b in batches:
             if not b.num_rows:
@@ -406,7 +409,34 @@ def _cell_links(cells: DataFrame, most: int) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return cells.select("cell", "node", *W).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    return cells.select("cell", "node", *W).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, sure boolean")
+
+
+def _shingle_sets(df: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of each text."""
+
+    def make():
+        def work(texts: list[str]) -> list[list]:
+            w, _ = wide_of(texts, shingle)
+            raw = [t.encode().lower() for t in texts]
+            h, run, grams = shingle_hashes(raw, shingle)
+            parts = [np.unique(np.concatenate(list(long_hashes(x, shingle)))) if len(x) > LONG_TEXT else np.unique(h[r : r + n]) for x, r, n in zip(raw, run, grams, strict=True)]
+            return [*w.view(np.int64), [x.view(np.int64) for x in parts]]
+
+        return work
+
+    fields = [*[T.StructField(c, T.LongType()) for c in W], T.StructField("shingles", T.ArrayType(T.LongType()))]
+    return map_text(df, text_col, fields, make).select(F.xxhash64(*W).alias("node"), "shingles")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_col: str, id_col: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts have the Jaccard similarity. Only the texts of these pairs are read again."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = nodes.select("node", F.col("low").alias(id_col)).join(wanted, "node", "left_semi")
+    sets = _shingle_sets(docs.join(ids.select(id_col), id_col, "left_semi"), shingle, text_col).dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
 def _counted(cells: DataFrame) -> DataFrame:
@@ -418,9 +448,10 @@ def _counted(cells: DataFrame) -> DataFrame:
 def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, least) of rows with a similar row: the least id that each reaches over links.
 
-    Two texts are linked if their 256-bit SimHashes over shingles differ in no more bits than sets of that Jaccard
-    similarity do on average. Candidates share a cell of one of 48 tables of sampled segment popcounts. In each cell all pairs
-    are tried, and of the links found as few are put out as join the same.
+    Texts of that Jaccard similarity differ in a known number of bits of a 256-bit SimHash on average. Two that differ in
+    far fewer bits (1.75 standard deviations) are linked; two within as many more are linked if an exact comparison of their
+    shingles finds the similarity. Candidates share a cell of one of 48 tables of sampled segment popcounts. In each cell
+    all pairs are tried; of the sure links as few are put out as join the same, and only pairs that they don't join are compared.
 
     A cell's share of all rows is fixed, so with more rows more cells have over max_cell members. Those are divided three
     times, by one of the texts' least shingle hashes each time: two texts of Jaccard similarity J stay together in one of
@@ -430,7 +461,9 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     Texts without words are left alone.
     """
     cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * WORDS * np.arccos(cosine) / np.pi)
+    p = np.arccos(cosine) / np.pi
+    spread = 1.75 * (64 * WORDS * p * (1 - p)) ** 0.5
+    sure, most = int(64 * WORDS * p - spread), int(64 * WORDS * p + spread)
     worded = df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S"))
     marked = scratch.cut(wide_fingerprints(worded, shingle, text_col).select(id_col, *W, "mins").withColumn("node", F.xxhash64(*W)))
     nodes = scratch.cut(marked.groupBy("node", *W).agg(F.min("mins").alias("mins"), F.min(id_col).alias("low")))
@@ -446,10 +479,16 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     crowd = still.select("node", "cell").join(words, "node")
     first = crowd.groupBy("cell").agg(F.min(F.struct("node", *W)).alias("first"))
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in W), F.lit(0))
-    led = crowd.join(first, "cell").where((F.col("node") != F.col("first.node")) & (differ <= most)).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
-    edges = _cell_links(small.join(words, "node"), most).unionByName(led).distinct()
-    joined = components(edges, scratch)
+    led = crowd.join(first, "cell").where((F.col("node") != F.col("first.node")) & (differ <= most)).select(F.col("first.node").alias("u"), F.col("node").alias("v"), (differ <= sure).alias("sure"))
+    edges = scratch.cut(_cell_links(small.join(words, "node"), sure, most).unionByName(led).distinct())
+    joined = scratch.cut(components(edges.where("sure").select("u", "v"), scratch))
+    at_u, at_v = (joined.select(F.col("node").alias(x), F.col("least").alias(f"root_{x}")) for x in "uv")
+    apart = edges.where(~F.col("sure")).select("u", "v").join(at_u, "u", "left").join(at_v, "v", "left")
+    apart = scratch.cut(apart.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "uv"}).where("root_u != root_v"))
+    alike = _verified(apart.select("u", "v"), nodes, worded, shingle, similarity, text_col, id_col)
+    again = components(apart.join(alike, ["u", "v"]).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), scratch)
     placed = nodes.select("node", "low").join(joined, "node", "left").select("node", "low", F.coalesce("least", "node").alias("root"))
+    placed = placed.join(again.select(F.col("node").alias("root"), "least"), "root", "left").select("node", "low", F.coalesce("least", "root").alias("root"))
     names = placed.groupBy("root").agg(F.min("low").alias("least"))
     by_node = placed.join(names, "root").select("node", "least")
     return marked.select(id_col, "node").join(by_node, "node").select(id_col, "least")

@@ -101,23 +101,31 @@ def xxh64_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
     return out
 
 
+#: A byte's bits, one in each byte of an integer, so that up to 255 of them add up without a carry.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def _majority(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """For runs of hashes: bits set in over half of each run."""
+    """For runs of hashes (first and count, run after run): bits set in over half of each run."""
     out = np.zeros(len(first), np.uint64)
     has = np.flatnonzero(count)
-    step = 250_000
-    sums = np.zeros((len(has), 64), np.int64)
+    if not len(has):
+        return out
     begin, n = first[has], count[has]
-    for lo in range(0, len(h), step):
-        hi = min(len(h), lo + step)
-        a, b = np.searchsorted(begin + n, lo, side="right"), np.searchsorted(begin, hi)
-        if a == b:
-            continue
-        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        cut = np.maximum(begin[a:b], lo) - lo
-        sums[a:b] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    ones = np.packbits((2 * sums > n[:, None]).astype(np.uint8), axis=1)
-    out[has] = ones.view(">u8").ravel().astype(np.uint64)
+    # runs are cut into parts of at most 255
+    parts = -(-n // 255)
+    run_of = np.cumsum(parts) - parts
+    at = np.repeat(begin - 255 * run_of, parts) + 255 * np.arange(int(parts.sum()))
+    ends = np.append(at[1:], len(h))
+    sums = np.empty((len(at), 64), np.uint8)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, at[lo] + 100_000, side="right")))
+        lanes = LANES[h[at[lo] : ends[hi - 1]].astype(">u8").view(np.uint8)].reshape(-1, 8)
+        sums[lo:hi] = np.add.reduceat(lanes, at[lo:hi] - at[lo], axis=0).view(np.uint8)
+        lo = hi
+    total = np.add.reduceat(sums, run_of, axis=0, dtype=np.int64)
+    out[has] = np.packbits((2 * total > n[:, None]).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 

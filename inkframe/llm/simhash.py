@@ -283,126 +283,100 @@ def hex_of(fp: Column) -> Column:
 # -- near duplicates by similarity, for filtering
 
 
-WORDS = 4
-TABLES = 48
-SEGMENTS = 9
-#: Least hashes of a text, and how many of them each table tries in crowded cells.
-MINS = 16
-TRIED = 3
-MIN_BITS = 21
-W = [f"w{i}" for i in range(WORDS)]
+#: One text in so many is sampled for frequent shingles; of those found MET times, at most FREQUENT are kept.
+SAMPLE = 16
+MET = 3
+FREQUENT = 65_536
+#: Rounds in which crowded cells are tried with chosen members only, before all pairs that are still apart.
+ROUNDS = 2
+PIVOTS = 4
+EPS = 1e-6
+
+
+def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    raw = [t.encode().lower() for t in texts]
+    h, run, grams = shingle_hashes(raw, shingle)
+    out = [np.unique(h[r : r + n]) for r, n in zip(run, grams, strict=True)]
+    for i, x in enumerate(raw):
+        if len(x) > LONG_TEXT:
+            out[i] = np.unique(np.concatenate([np.empty(0, np.uint64), *long_hashes(x, shingle)]))
+    return out
 
 
-def wide_fingerprints(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """Adds w0 to w3, a SimHash of 256 bits from four mixes of each shingle's hash, and mins, the least of 16 hashes of the shingles."""
+def set_name(x: np.ndarray) -> int:
+    """A 64-bit name of a set of hashes."""
+    with np.errstate(over="ignore"):
+        total = remix(x, np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+        return int(remix(np.array([total]), np.uint64(len(x))).view(np.int64)[0])
+
+
+def _sets(df: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """Adds shingles, the distinct shingle hashes, and node, their name."""
 
     def make():
         def work(texts: list[str]) -> list[list]:
-            w, mins = wide_of(texts, shingle)
-            return [*w.view(np.int64), list(mins.T)]
+            sets = shingle_sets(texts, shingle)
+            return [[x.view(np.int64) for x in sets], [set_name(x) for x in sets]]
 
         return work
 
-    return map_text(df, text_col, [*[T.StructField(c, T.LongType()) for c in W], T.StructField("mins", T.ArrayType(T.IntegerType()))], make)
+    return map_text(df, text_col, [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("node", T.LongType())], make)
 
 
-def _mixed(h: np.ndarray) -> list[np.ndarray]:
-    return [h, *[remix(h, np.uint64(0x9E3779B97F4A7C15) * np.uint64(i)) for i in range(1, WORDS)]]
+def frequent_shingles(worded: DataFrame, shingle: int, text_col: str) -> np.ndarray:
+    """Shingle hashes that many texts of a sample share, the most frequent last. Only speed depends on them."""
+    some = worded.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
+    each = _sets(some, shingle, text_col).select(F.explode("shingles").alias("h"))
+    found = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MET).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.array([r.h for r in found.collect()], np.int64)[::-1].view(np.uint64)
 
 
-def _turned(mixed: list[np.ndarray]) -> Iterator[np.ndarray]:
-    for g in mixed:
-        for k in range(MINS // WORDS):
-            yield _turn(g, 64 * WORDS // MINS * k) if k else g
+def prefix_of(x: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a text's shingles in an order that all texts share: the others by hash, then the frequent ones (hot, sorted,
+    and their ranks). They are so many that two texts with the similarity share one."""
+    n = len(x) - int(np.ceil(similarity * len(x) - EPS)) + 1 if len(x) else 0
+    if not len(hot):
+        return x[:n]
+    at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+    is_hot = hot[at] == x
+    return np.concatenate([x[~is_hot], x[is_hot][np.argsort(rank[at[is_hot]])]])[:n]
 
 
-def wide_of(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """WORDS fingerprints and MINS least hashes (their lower bits; 0 without words) of each text."""
-    with np.errstate(over="ignore"):
-        raw = [t.encode().lower() for t in texts]
-        h, run, grams = shingle_hashes(raw, shingle)
-        mixed = _mixed(h)
-        w = np.stack([_majority(g, run, grams) for g in mixed])
-        least = np.zeros((MINS, len(raw)), np.uint64)
-        has = np.flatnonzero(grams)
-        if len(has):
-            for k, g in enumerate(_turned(mixed)):
-                least[k, has] = np.minimum.reduceat(g, run[has])
-        for i, x in enumerate(raw):
-            if len(x) > LONG_TEXT:
-                sums, count, low = np.zeros((WORDS, 64), np.int64), 0, np.full(MINS, 2**64 - 1, np.uint64)
-                for h in long_hashes(x, shingle):
-                    mixed = _mixed(h)
-                    sums, count = sums + np.stack([bit_sums(g) for g in mixed]), count + len(h)
-                    low = np.minimum(low, [g.min() for g in _turned(mixed)])
-                if count:
-                    w[:, i], least[:, i] = [_over_half(s, count) for s in sums], low
-        # the least hashes share their top bits, and turns of one hash share bits, so the lower ones are mixed again
-        return w, (remix(least, np.uint64(0)) & np.uint64((1 << MIN_BITS) - 1)).astype(np.int32)
-
-
-def sampled_cells(w: np.ndarray, seed: int = 7) -> np.ndarray:
-    """For each row of WORDS fingerprints and each table, the popcounts of some 2-bit segments of the 256 bits, as one key."""
-    r = np.random.default_rng(seed)
-    bits = np.stack([(w[:, i] >> np.uint64(2 * s)) & np.uint64(3) for i in range(WORDS) for s in range(32)], axis=1)
-    counts = np.bitwise_count(bits).astype(np.int64)
-    place = 3 ** np.arange(SEGMENTS)
-    return np.stack([counts[:, r.choice(WORDS * 32, SEGMENTS, replace=False)] @ place * TABLES + k for k in range(TABLES)], axis=1)
-
-
-def _with_cells(nodes: DataFrame) -> DataFrame:
-    """(node, cell, tried), a row for each table; tried packs TRIED of the least hashes."""
-    pick = (np.arange(TABLES)[:, None] * TRIED + np.arange(TRIED)) % MINS
+def _prefixed(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, text_col: str) -> DataFrame:
+    """Adds node, size (distinct shingles) and prefix."""
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                w = np.stack([b.column(1 + i).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
-                mins = b.column(1 + WORDS).flatten().to_numpy().reshape(-1, MINS).astype(np.int64)
-                tried = sum(mins[:, pick[:, j]] << (MIN_BITS * j) for j in range(TRIED))
-                node = np.repeat(b.column(0).to_numpy(), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sampled_cells(w).ravel()), pa.array(tried.ravel())], names=["node", "cell", "tried"])
-
-    return nodes.select("node", *W, "mins").mapInArrow(run, "node long, cell long, tried long")
-
-
-def forest(cell: np.ndarray, w: np.ndarray, sure: int, most: int) -> list[tuple[int, int, bool]]:
-    """For rows sorted by cell: links of rows within sure bits, as few as join what all such links join in a cell; then
-    all pairs within most bits (False) that these links don't join."""
-    above = list(range(len(cell)))
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    out, open_pairs, i = [], [], np.arange(len(cell))
-    for d in range(1, len(cell)):
-        i = i[i < len(cell) - d]
-        i = i[cell[i] == cell[i + d]]
-        if not len(i):
-            break
-        apart = np.bitwise_count(w[i] ^ w[i + d]).sum(1, dtype=np.int64)
-        for x in i[apart <= sure].tolist():
-            p, q = root(x), root(x + d)
-            if p != q:
-                above[max(p, q)] = min(p, q)
-                out.append((x, x + d, True))
-        open_pairs += [(x, x + d) for x in i[(apart > sure) & (apart <= most)].tolist()]
-    return out + [(x, y, False) for x, y in open_pairs if root(x) != root(y)]
-
-
-def _cell_links(cells: DataFrame, sure: int, most: int) -> DataFrame:
-    """(u, v, sure) links inside cells of bounded size."""
+    def make():
+        rank = np.argsort(frequent)
+        hot = frequent[rank]
+
+        def work(texts: list[str]) -> list[list]:
+            sets = shingle_sets(texts, shingle)
+            return [[set_name(x) for x in sets], [len(x) for x in sets], [prefix_of(x, similarity, hot, rank).view(np.int64) for x in sets]]
+
+        return work
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    return map_text(df, text_col, fields, make)
+
+
+def can_meet(size: np.ndarray, rest: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows x and y of a cell can have the similarity if the cell's shingle is their first common one. rest counts
+    a text's shingles from that one on."""
+    a, b = size[x], size[y]
+    return (similarity * (a + b) <= (1 + similarity) * np.minimum(rest[x], rest[y]) + EPS) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - EPS)
+
+
+def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(table of whole cells, sorted by cell and node) in each task; it gives lists of columns."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        names = [x.split()[0] for x in schema.split(", ")]
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            node = t["node"].to_numpy()
-            found = np.array(forest(t["cell"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in W], axis=1), sure, most), np.int64).reshape(-1, 3)
-            u, v = node[found[:, 0]], node[found[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(found[:, 2] == 1)], names=["u", "v", "sure"])
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            for columns in work({c: t[c].to_numpy() for c in t.column_names}):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for b in batches:
             if not b.num_rows:
@@ -412,91 +386,145 @@ def _cell_links(cells: DataFrame, sure: int, most: int) -> DataFrame:
             cell = t["cell"].to_numpy()
             cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
             if cut:
-                yield done(t.slice(0, cut))
+                yield from done(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
-
-    return cells.select("cell", "node", *W).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, sure boolean")
-
-
-def _shingle_sets(df: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(node, shingles): the distinct shingle hashes of each text."""
-
-    def make():
-        def work(texts: list[str]) -> list[list]:
-            w, _ = wide_of(texts, shingle)
-            raw = [t.encode().lower() for t in texts]
-            h, run, grams = shingle_hashes(raw, shingle)
-            parts = [np.unique(np.concatenate(list(long_hashes(x, shingle)))) if len(x) > LONG_TEXT else np.unique(h[r : r + n]) for x, r, n in zip(raw, run, grams, strict=True)]
-            return [*w.view(np.int64), [x.view(np.int64) for x in parts]]
-
-        return work
-
-    fields = [*[T.StructField(c, T.LongType()) for c in W], T.StructField("shingles", T.ArrayType(T.LongType()))]
-    return map_text(df, text_col, fields, make).select(F.xxhash64(*W).alias("node"), "shingles")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_col: str, id_col: str) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts have the Jaccard similarity. Only the texts of these pairs are read again."""
+            yield from done(pa.Table.from_batches(held))
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, schema)
+
+
+def _spans(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each cell begins, and its members."""
+    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+    return begin, np.diff(np.append(begin, len(cell)))
+
+
+def _met(tokens: DataFrame, similarity: float, max_cell: int) -> DataFrame:
+    """Of cells with up to max_cell members all pairs that can have the similarity, as (true, u, v, 0, 0); of larger ones
+    their members, as (false, cell, node, size, rest)."""
+
+    def work(t):
+        cell, node, size, rest = t["cell"], t["node"], t["size"].astype(np.int64), t["rest"].astype(np.int64)
+        # equal sets are one member
+        keep = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
+        cell, node, size, rest = cell[keep], node[keep], size[keep], rest[keep]
+        begin, members = _spans(cell)
+        # in a pair, the smaller text has the shingle among its first ones, as many as a pair of equal sizes must share one of
+        first = (1 + similarity) * rest + EPS >= 2 * similarity * size
+        use = (members > 1) & (np.add.reduceat(first.astype(np.int64), begin) > 0)
+        small = np.repeat(use & (members <= max_cell), members)
+        large = np.repeat(use & (members > max_cell), members)
+        i, us, vs = np.flatnonzero(small), [], []
+        for d in range(1, max_cell):
+            i = i[i < len(cell) - d]
+            i = i[cell[i] == cell[i + d]]
+            if not len(i):
+                break
+            x = i[can_meet(size, rest, i, i + d, similarity)]
+            us.append(node[x])
+            vs.append(node[x + d])
+        if us and sum(map(len, us)):
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+            zero = np.zeros(len(pairs), np.int32)
+            yield [np.ones(len(pairs), bool), pairs[:, 0], pairs[:, 1], zero, zero]
+        if large.any():
+            yield [np.zeros(int(large.sum()), bool), cell[large], node[large], size[large].astype(np.int32), rest[large].astype(np.int32)]
+
+    return _by_cell(tokens, work, "pair boolean, a long, b long, size int, rest int")
+
+
+def _crowd_pairs(crowd: DataFrame, similarity: float, pivot: int | None) -> DataFrame:
+    """(u, v) pairs of cells that can have the similarity and have different roots: with one member of each cell, chosen
+    by number pivot, or all of them."""
+
+    def work(t):
+        cell, node, root, size, rest = t["cell"], t["node"], t["root"], t["size"].astype(np.int64), t["rest"].astype(np.int64)
+        first = (1 + similarity) * rest + EPS >= 2 * similarity * size
+        out, held = [], 0
+        for lo, n in zip(*_spans(cell), strict=True):
+            i = np.arange(lo, lo + n)
+            if (root[i] == root[lo]).all():
+                continue
+            heads = i[first[i]]
+            if pivot is not None:
+                with np.errstate(over="ignore"):
+                    mixed = remix(node[heads].view(np.uint64), np.uint64(pivot * PIVOTS + int(cell[lo]) % PIVOTS + 1))
+                heads = heads[[np.argmin(mixed)]]
+            for x in heads.tolist():
+                y = i[(root[i] != root[x]) & can_meet(size, rest, np.full(n, x), i, similarity)]
+                if len(y):
+                    out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+                    held += len(y)
+                if held > 1_000_000:
+                    pairs = np.unique(np.concatenate(out), axis=0)
+                    yield [pairs[:, 0], pairs[:, 1]]
+                    out, held = [], 0
+        if out:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield [pairs[:, 0], pairs[:, 1]]
+
+    return _by_cell(crowd, work, "u long, v long")
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, worded: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have the Jaccard similarity. Only the texts of these pairs are read again."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = nodes.select("node", F.col("low").alias(id_col)).join(wanted, "node", "left_semi")
-    sets = _shingle_sets(docs.join(ids.select(id_col), id_col, "left_semi"), shingle, text_col).dropDuplicates(["node"])
+    named = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    texts = worded.select(text_col).where(F.col(text_col).isNotNull()).withColumn("text_hash", F.xxhash64(text_col)).join(named.select("text_hash"), "text_hash", "left_semi")
+    sets = _sets(texts, shingle, text_col).select("node", "shingles").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return both.where((1 + similarity) * common + EPS >= similarity * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def _counted(cells: DataFrame) -> DataFrame:
-    """The rows of cells with two members or more, with their number."""
-    size = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    return cells.join(size, "cell")
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs whose nodes aren't joined yet."""
+    if roots is None:
+        return pairs
+    at_u, at_v = (roots.select(F.col("node").alias(x), F.col("least").alias(f"root_{x}")) for x in "uv")
+    met = pairs.join(at_u, "u", "left").join(at_v, "v", "left")
+    return met.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
 def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, least) of rows with a similar row: the least id that each reaches over links.
-
-    Texts of that Jaccard similarity differ in a known number of bits of a 256-bit SimHash on average. Two that differ in
-    far fewer bits (1.75 standard deviations) are linked; two within as many more are linked if an exact comparison of their
-    shingles finds the similarity. Candidates share a cell of one of 48 tables of sampled segment popcounts. In each cell
-    all pairs are tried; of the sure links as few are put out as join the same, and only pairs that they don't join are compared.
-
-    A cell's share of all rows is fixed, so with more rows more cells have over max_cell members. Those are divided three
-    times, by one of the texts' least shingle hashes each time: two texts of Jaccard similarity J stay together in one of
-    the three with probability 1 - (1 - J) ** 3 (0.99 at 0.8), whatever the number of rows. Parts that are still crowded
-    hold texts with a common shingle and like fingerprints, mostly copies of one text; there each member is tried with the
-    part's least and with a random block of the part.
-    Texts without words are left alone.
+    """(id, least) of rows with words: the least id that each reaches over links of texts with that Jaccard similarity.
+
+    Exact: every pair with the similarity is joined, and every link has been compared shingle by shingle. Texts with equal
+    shingle sets are one node. All texts sort their shingles in one order, and two with the similarity share one of their
+    first few (a prefix filter); the more so as frequent shingles come last. Pairs meet in the cells of those shingles and
+    must pass the bounds that sizes and places give. Pairs of cells up to max_cell are all tried. Larger cells are tried with
+    chosen members first, and then in all pairs that are still apart, so a large group of like texts costs no square of its
+    size. A large cell of unlike texts that pass all bounds does.
+
+    A null id is ignored as a name. Texts without words are left alone.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    p = np.arccos(cosine) / np.pi
-    spread = 1.75 * (64 * WORDS * p * (1 - p)) ** 0.5
-    sure, most = int(64 * WORDS * p - spread), int(64 * WORDS * p + spread)
     worded = df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S"))
-    marked = scratch.cut(wide_fingerprints(worded, shingle, text_col).select(id_col, *W, "mins").withColumn("node", F.xxhash64(*W)))
-    nodes = scratch.cut(marked.groupBy("node", *W).agg(F.min("mins").alias("mins"), F.min(id_col).alias("low")))
-    words = nodes.select("node", *W)
-    met = scratch.cut(_counted(_with_cells(nodes)))
-    part = lambda j: F.shiftright("tried", MIN_BITS * j).bitwiseAND(F.lit((1 << MIN_BITS) - 1))
-    parts = met.where(F.col("members") > max_cell).select("node", F.explode(F.array(*[F.xxhash64("cell", F.lit(j), part(j)) for j in range(TRIED)])).alias("cell"))
-    parted = scratch.cut(_counted(parts))
-    still = parted.where(F.col("members") > max_cell)
-    block = F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("members") * 2 / max_cell))
-    small = met.where(F.col("members") <= max_cell).select("node", "cell").unionByName(parted.where(F.col("members") <= max_cell).select("node", "cell"))
-    small = small.unionByName(still.select("node", F.xxhash64("cell", block).alias("cell")))
-    crowd = still.select("node", "cell").join(words, "node")
-    first = crowd.groupBy("cell").agg(F.min(F.struct("node", *W)).alias("first"))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in W), F.lit(0))
-    led = crowd.join(first, "cell").where((F.col("node") != F.col("first.node")) & (differ <= most)).select(F.col("first.node").alias("u"), F.col("node").alias("v"), (differ <= sure).alias("sure"))
-    edges = scratch.cut(_cell_links(small.join(words, "node"), sure, most).unionByName(led).distinct())
-    joined = scratch.cut(components(edges.where("sure").select("u", "v"), scratch))
-    at_u, at_v = (joined.select(F.col("node").alias(x), F.col("least").alias(f"root_{x}")) for x in "uv")
-    apart = edges.where(~F.col("sure")).select("u", "v").join(at_u, "u", "left").join(at_v, "v", "left")
-    apart = scratch.cut(apart.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "uv"}).where("root_u != root_v"))
-    alike = _verified(apart.select("u", "v"), nodes, worded, shingle, similarity, text_col, id_col)
-    again = components(apart.join(alike, ["u", "v"]).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")), scratch)
-    placed = nodes.select("node", "low").join(joined, "node", "left").select("node", "low", F.coalesce("least", "node").alias("root"))
-    placed = placed.join(again.select(F.col("node").alias("root"), "least"), "root", "left").select("node", "low", F.coalesce("least", "root").alias("root"))
-    names = placed.groupBy("root").agg(F.min("low").alias("least"))
-    by_node = placed.join(names, "root").select("node", "least")
-    return marked.select(id_col, "node").join(by_node, "node").select(id_col, "least")
+    frequent = frequent_shingles(worded, shingle, text_col)
+    marked = _prefixed(worded.withColumn("text_hash", F.xxhash64(text_col)), shingle, similarity, frequent, text_col)
+    marked = scratch.cut(marked.select(id_col, "text_hash", "node", "size", "prefix"))
+    tokens = marked.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("cell", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
+    met = scratch.cut(_met(tokens, similarity, max_cell))
+    pairs = scratch.cut(met.where("pair").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    crowd = met.where("not pair").select(F.col("a").alias("cell"), F.col("b").alias("node"), "size", "rest")
+    crowded, roots = not crowd.isEmpty(), None
+
+    def rooted() -> DataFrame:
+        if roots is None:
+            return crowd.withColumn("root", F.col("node"))
+        return crowd.join(roots.withColumnRenamed("least", "root"), "node", "left").select("cell", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
+
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        if k and not last and not crowded:
+            continue
+        tried = pairs if last else pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v") if not k else None
+        if crowded:
+            more = _crowd_pairs(rooted(), similarity, None if last else k)
+            tried = tried.unionByName(more) if tried is not None else more
+        alike = _verified(scratch.cut(_apart(tried.distinct(), roots)), marked, worded, shingle, similarity, text_col)
+        links = alike if roots is None else alike.unionByName(roots.select(F.col("least").alias("u"), F.col("node").alias("v")))
+        roots = scratch.cut(components(links, scratch))
+    placed = marked.select(id_col, "node").join(roots, "node", "left").select(id_col, F.coalesce("least", "node").alias("root"))
+    names = placed.groupBy("root").agg(F.min(id_col).alias("least"))
+    return placed.join(names, "root").select(id_col, "least")

@@ -122,3 +122,20 @@ def test_pipeline(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def pages_of(r, n, template, tails):
+    """Pages of one template, each with a tail of its own of some length."""
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(template)]
+    return [base + [r.choice(words) for _ in range(r.choice(tails))] for _ in range(n)]
+
+
+def test_similar_groups_keeps_unlike_family(spark):
+    """Pages of a template that are all below the similarity stay."""
+    r = random.Random(11)
+    rows = [(i, " ".join(p)) for i, p in enumerate(pages_of(r, 1000, 320, range(45, 66)))]
+    some = [jaccard(rows[r.randrange(1000)][1], rows[i][1]) for i in range(200)]
+    assert 0.7 < min(some) and sorted(some)[-2] < 0.8
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), Scratch(spark)).collect()
+    assert sum(x.doc_id == x.least for x in got) == len(got) == 1000

@@ -139,3 +139,43 @@ def test_similar_groups_keeps_unlike_family(spark):
     assert 0.7 < min(some) and sorted(some)[-2] < 0.8
     got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), Scratch(spark)).collect()
     assert sum(x.doc_id == x.least for x in got) == len(got) == 1000
+
+
+def test_similar_groups_hot_template(spark):
+    """Of thousands of pages of one template, each has one partner, and all of these are found."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i, p in enumerate(pages_of(r, 2000, 320, range(55, 66))):
+        k = r.randrange(10, 38)
+        rows += [(2 * i, " ".join(p)), (2 * i + 1, " ".join(p[:-k] + [r.choice(words) for _ in range(k)]))]
+        assert jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), Scratch(spark)).collect()
+    assert len(got) == 4000 and all(x.least == x.doc_id - x.doc_id % 2 for x in got)
+
+
+@pytest.mark.parametrize("max_cell", [3, 48])
+def test_similar_groups_exact(spark, max_cell):
+    """Chains of changes and crowded cells give the groups that all pairs give."""
+    r = random.Random(max_cell)
+    texts = []
+    for _ in range(3):
+        now = [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.randrange(60, 150))]
+        for _ in range(70):
+            texts.append(" ".join(now))
+            if r.random() < 0.8:
+                c = now if r.random() < 0.5 else list(now)
+                lo = r.randrange(len(c) - 12)
+                c[lo : lo + r.randrange(1, 12)] = [f"x{r.randrange(999)}" for _ in range(r.randrange(0, 12))]
+                if c is not now:
+                    texts.append(" ".join(c))
+    texts += ["a b", "a b", "a b c", "A  b", "a"]
+    above = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 and above[i] != above[j]:
+                lo, hi = sorted((above[i], above[j]))
+                above = [lo if x == hi else x for x in above]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.least for x in simhash.similar_groups(df, Scratch(spark), max_cell=max_cell).collect()}
+    assert got == dict(enumerate(above)) and 3 < len(set(above)) < len(texts) / 2

@@ -179,3 +179,18 @@ def test_similar_groups_exact(spark, max_cell):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.least for x in simhash.similar_groups(df, Scratch(spark), max_cell=max_cell).collect()}
     assert got == dict(enumerate(above)) and 3 < len(set(above)) < len(texts) / 2
+
+
+def test_near_duplicates_of_any_id(spark):
+    """Null and repeated ids: what differs in text stays, and of copies one stays."""
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(80))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    near = lambda t: t + " more words"
+    rows = [(None, a), (None, b), (None, near(b)), (1, c), (1, d), (1, c), (2, near(d)), (3, e), (None, near(e)), (4, f), (4, near(f))]
+    rows += [(None, None), (None, None), (5, None), (6, ""), (6, g), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    sure = [(None, a), (1, c), (1, d), (3, e), (None, None), (5, None), (6, ""), (6, g), (None, "")]
+    assert len(got) == len(sure) + 2 and set(sure) < set(got)
+    assert len({(None, b), (None, near(b))} & set(got)) == len({(4, f), (4, near(f))} & set(got)) == 1

@@ -9,7 +9,9 @@ A line goes if it is in a run of at least min_words words that also begins earli
 test, for each line, the shortest such run that starts with it and the shortest that ends with it: together these cover
 every longer run. They are at most min_words lines long, which bounds the doubling.
 
-A line's words are its blanks and one. Null texts stay null; repeated rows (same id and text) are cut alike and don't
+A line's words are its runs of anything but white space (tabs, no-break spaces and the like included); in scripts written
+without blanks, two ideographs or kana and four letters of Thai, Lao, Khmer or Burmese make a word. Any line counts as one
+at least, blank ones too. Null texts stay null; repeated rows (same id and text) are cut alike and don't
 count as repeats of each other; null ids come first; an empty table gives no rows; columns named like an output are
 replaced.
 """
@@ -22,12 +24,22 @@ from pyspark.sql import functions as F
 from .common import Scratch, without
 
 OUTPUTS = ["n_lines", "n_removed", "kept"]
+IDEOGRAPHS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+JOINED = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[^\s\p{{Z}}\x{{85}}{IDEOGRAPHS}{JOINED}]+|[{IDEOGRAPHS}]{{1,2}}|[{JOINED}]{{1,4}}"
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col), F.length(F.col(text_col)))
 
 
+def words_in(line: Column) -> Column:
+    """How many words a line has; plain lines, with single blanks between words, are counted without the pattern."""
+    blanks = F.length(line) - F.length(F.translate(line, " ", ""))
+    plain = (F.length(line) == F.octet_length(line)) & ~F.contains(line, F.lit("  ")) & (F.translate(line, "\t\r\x0b\x0c", "") == line) & (F.trim(line) == line)
+    return F.when(plain, blanks + 1).otherwise(F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
+
+
 def _until(words: Column, min_words: int) -> Column:
     """How many of the first elements reach min_words; null if all together don't."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
@@ -40,7 +52,7 @@ def repeated_lines(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame
     """(key, id, pos, line, fwd, bwd) of lines that occur more than once; fwd and bwd are the lengths of the shortest
     long enough runs from and up to the line. df has key, id, text."""
     split = df.where(F.col("text").isNotNull()).dropDuplicates(["key"]).select("key", "id", F.split("text", "\n").alias("lines"))
-    counted = split.select("key", "id", F.transform("lines", lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))).alias("lines"))
+    counted = split.select("key", "id", F.transform("lines", lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), words_in(x).alias("words"))).alias("lines"))
     words = F.transform("lines", lambda x: x["words"])
     ready = counted.withColumn("words", words)
     each = F.transform(

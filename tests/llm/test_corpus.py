@@ -194,3 +194,23 @@ def test_near_duplicates_of_any_id(spark):
     sure = [(None, a), (1, c), (1, d), (3, e), (None, None), (5, None), (6, ""), (6, g), (None, "")]
     assert len(got) == len(sure) + 2 and set(sure) < set(got)
     assert len({(None, b), (None, near(b))} & set(got)) == len({(4, f), (4, near(f))} & set(got)) == 1
+
+
+def test_line_words(spark):
+    """Words are parted by any white space, or not at all in some scripts; a row of blanks is no long run."""
+    passages = {
+        1: "\n".join("\t".join(f"a{i}f{k}" for k in range(12)) for i in range(10)),
+        2: "\u00a0".join(f"b{i}" for i in range(40)),
+        3: "\u6c49\u5b57\u6587\u672c" * 20,
+        4: "\u0e01\u0e32\u0e23\u0e17" * 40,
+        5: "\r\x0b".join(f"c{i}" for i in range(40)),
+        6: " ".join(f"\u00e9{i}" for i in range(30)),
+        7: " " * 40,
+        8: " ".join(f"d{i}" for i in range(29)),
+        9: "  ".join(f"e{i}" for i in range(20)),
+        10: "\u6c49\u5b57" * 10,
+    }
+    rows = [(100 * c + i, f"own line {c} {i}\n{t}\nlast line {c} {i}") for i, t in passages.items() for c in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 30).collect()}
+    assert {i: got[100 + i] for i in passages} == {1: 10, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, 8: 0, 9: 0, 10: 0}
+    assert not any(got[i] for i in passages)

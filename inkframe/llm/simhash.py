@@ -287,9 +287,13 @@ def hex_of(fp: Column) -> Column:
 SAMPLE = 16
 MET = 3
 FREQUENT = 65_536
-#: Rounds in which crowded cells are tried with chosen members only, before all pairs that are still apart.
+#: A shingle of so many sampled texts is not dealt out by its cell, which one task would have to sort.
+HOT = 20_000
+#: Rounds in which each cell tries one member with all others, before all pairs that are still apart.
 ROUNDS = 2
 PIVOTS = 4
+#: Words of a set's fingerprint, of 64 bits each; a word is a segment.
+WORDS = 8
 EPS = 1e-6
 
 
@@ -311,6 +315,13 @@ def set_name(x: np.ndarray) -> int:
         return int(remix(np.array([total]), np.uint64(len(x))).view(np.int64)[0])
 
 
+def set_bits(x: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of hashes: each turns one bit. Two sets differ in at least as many hashes as their
+    fingerprints do in bits, and these in at least as many bits as their segments' popcounts differ by."""
+    turned = np.bincount((x >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 def _sets(df: DataFrame, shingle: int, text_col: str) -> DataFrame:
     """Adds shingles, the distinct shingle hashes, and node, their name."""
 
@@ -324,12 +335,13 @@ def _sets(df: DataFrame, shingle: int, text_col: str) -> DataFrame:
     return map_text(df, text_col, [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("node", T.LongType())], make)
 
 
-def frequent_shingles(worded: DataFrame, shingle: int, text_col: str) -> np.ndarray:
-    """Shingle hashes that many texts of a sample share, the most frequent last. Only speed depends on them."""
+def frequent_shingles(worded: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, list[int]]:
+    """Shingle hashes that many texts of a sample share, the most frequent last, and the hottest of them. Only speed
+    depends on them."""
     some = worded.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
     each = _sets(some, shingle, text_col).select(F.explode("shingles").alias("h"))
-    found = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MET).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return np.array([r.h for r in found.collect()], np.int64)[::-1].view(np.uint64)
+    found = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= MET).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in found], np.int64)[::-1].view(np.uint64), [r.h for r in found if r.n >= HOT]
 
 
 def prefix_of(x: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -344,7 +356,7 @@ def prefix_of(x: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarra
 
 
 def _prefixed(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, text_col: str) -> DataFrame:
-    """Adds node, size (distinct shingles) and prefix."""
+    """Adds node, size (distinct shingles), bits (the set's fingerprint) and prefix."""
 
     def make():
         rank = np.argsort(frequent)
@@ -352,30 +364,41 @@ def _prefixed(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarr
 
         def work(texts: list[str]) -> list[list]:
             sets = shingle_sets(texts, shingle)
-            return [[set_name(x) for x in sets], [len(x) for x in sets], [prefix_of(x, similarity, hot, rank).view(np.int64) for x in sets]]
+            return [[set_name(x) for x in sets], [len(x) for x in sets], [set_bits(x) for x in sets], [prefix_of(x, similarity, hot, rank).view(np.int64) for x in sets]]
 
         return work
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return map_text(df, text_col, fields, make)
+    longs = T.ArrayType(T.LongType())
+    return map_text(df, text_col, [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", longs), T.StructField("prefix", longs)], make)
+
+
+def _meets(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two rows (with size and rest) of a cell can have the similarity if the cell's shingle is their first common
+    one. rest counts a text's shingles from that one on."""
+    a, b = x["size"], y["size"]
+    return (similarity * (a + b) <= (1 + similarity) * F.least(x["rest"], y["rest"]) + EPS) & (F.least(a, b) >= similarity * F.greatest(a, b) - EPS)
+
 
+def _leads(similarity: float) -> Column:
+    """Whether the cell's shingle is among a text's first ones, as many as it shares one of with a text of its size or more."""
+    return (1 + similarity) * F.col("rest") + EPS >= 2 * similarity * F.col("size")
 
-def can_meet(size: np.ndarray, rest: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rows x and y of a cell can have the similarity if the cell's shingle is their first common one. rest counts
-    a text's shingles from that one on."""
-    a, b = size[x], size[y]
-    return (similarity * (a + b) <= (1 + similarity) * np.minimum(rest[x], rest[y]) + EPS) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - EPS)
 
+def _apart_by(similarity: float) -> float:
+    """The share of two sets' summed sizes in which they may differ."""
+    return (1 - similarity) / (1 + similarity)
 
-def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
-    """work(table of whole cells, sorted by cell and node) in each task; it gives lists of columns."""
+
+def _by_cell(rows: DataFrame, key: str, work, schema: str, most: int | None = None) -> DataFrame:
+    """work(columns of whole cells) in each task, rows sorted by key; it gives lists of columns. A cell of over most rows,
+    where that is given, may come in parts."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         names = [x.split()[0] for x in schema.split(", ")]
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            for columns in work({c: t[c].to_numpy() for c in t.column_names}):
+            for columns in work(t):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for b in batches:
@@ -383,148 +406,158 @@ def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
                 continue
             held.append(b)
             t = pa.Table.from_batches(held)
-            cell = t["cell"].to_numpy()
+            cell = t[key].to_numpy()
             cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if most and len(cell) - cut > most:
+                cut = len(cell)
             if cut:
                 yield from done(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _spans(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each cell begins, and its members."""
-    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
-    return begin, np.diff(np.append(begin, len(cell)))
+def _met(tokens: DataFrame, similarity: float, hot: list[int]) -> DataFrame:
+    """The rows of cells with several members, one of which leads. Rows of hot shingles pass without being gathered."""
 
+    def work(t):
+        cell, size, rest = t["cell"].to_numpy(), t["size"].to_numpy(), t["rest"].to_numpy()
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        members = np.diff(np.append(begin, len(cell)))
+        leads = (1 + similarity) * rest + EPS >= 2 * similarity * size
+        use = np.repeat((members > 1) & np.logical_or.reduceat(leads, begin), members)
+        yield [t[c].to_numpy()[use] for c in ("cell", "node", "size", "rest")]
 
-def _met(tokens: DataFrame, similarity: float, max_cell: int) -> DataFrame:
-    """Of cells with up to max_cell members all pairs that can have the similarity, as (true, u, v, 0, 0); of larger ones
-    their members, as (false, cell, node, size, rest)."""
+    if not hot:
+        return _by_cell(tokens, "cell", work, "cell long, node long, size int, rest int", 100_000)
+    is_hot = F.col("cell").isin(hot)
+    return _by_cell(tokens.where(~is_hot), "cell", work, "cell long, node long, size int, rest int", 100_000).unionByName(tokens.where(is_hot))
 
-    def work(t):
-        cell, node, size, rest = t["cell"], t["node"], t["size"].astype(np.int64), t["rest"].astype(np.int64)
-        # equal sets are one member
-        keep = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
-        cell, node, size, rest = cell[keep], node[keep], size[keep], rest[keep]
-        begin, members = _spans(cell)
-        # in a pair, the smaller text has the shingle among its first ones, as many as a pair of equal sizes must share one of
-        first = (1 + similarity) * rest + EPS >= 2 * similarity * size
-        use = (members > 1) & (np.add.reduceat(first.astype(np.int64), begin) > 0)
-        small = np.repeat(use & (members <= max_cell), members)
-        large = np.repeat(use & (members > max_cell), members)
-        i, us, vs = np.flatnonzero(small), [], []
-        for d in range(1, max_cell):
-            i = i[i < len(cell) - d]
-            i = i[cell[i] == cell[i + d]]
-            if not len(i):
-                break
-            x = i[can_meet(size, rest, i, i + d, similarity)]
-            us.append(node[x])
-            vs.append(node[x + d])
-        if us and sum(map(len, us)):
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-            zero = np.zeros(len(pairs), np.int32)
-            yield [np.ones(len(pairs), bool), pairs[:, 0], pairs[:, 1], zero, zero]
-        if large.any():
-            yield [np.zeros(int(large.sum()), bool), cell[large], node[large], size[large].astype(np.int32), rest[large].astype(np.int32)]
 
-    return _by_cell(tokens, work, "pair boolean, a long, b long, size int, rest int")
+def _pivot_pairs(met: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(u, v) of each cell's pivot of round k, one of the members that lead, and all others that can have the similarity."""
+    mix = F.xxhash64(F.col("node"), F.lit(k), F.pmod("cell", F.lit(PIVOTS)))
+    pivot = met.where(_leads(similarity)).groupBy("cell").agg(F.min(F.struct(mix.alias("mix"), "node", "size", "rest")).alias("p"))
+    each = met.select("cell", F.struct("node", "size", "rest").alias("m")).join(pivot, "cell").where(F.col("m.node") != F.col("p.node"))
+    return each.where(_meets(F.col("m"), F.col("p"), similarity)).select(F.least("m.node", "p.node").alias("u"), F.greatest("m.node", "p.node").alias("v"))
 
 
-def _crowd_pairs(crowd: DataFrame, similarity: float, pivot: int | None) -> DataFrame:
-    """(u, v) pairs of cells that can have the similarity and have different roots: with one member of each cell, chosen
-    by number pivot, or all of them."""
+def _open_pairs(met: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v) of all pairs of cells that have different roots, pass the bounds and whose fingerprints are near enough.
+
+    A cell of over block members is cut into blocks, and every two blocks meet, so no task holds a larger part of one.
+    """
+    rooted = met.join(roots.withColumnRenamed("least", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("lo < hi")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = rooted.join(cells.select("cell", "blocks"), "cell").withColumn("own", own).withColumn("other", other)
+    key = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    rows = placed.select(key.alias("key"), "node", "root", "size", "rest", "own", (F.col("own") == F.col("other")).alias("inner"))
+    words = [f"b{i}" for i in range(WORDS)]
+    wide = rows.join(bits.select("node", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)]), "node")
 
     def work(t):
-        cell, node, root, size, rest = t["cell"], t["node"], t["root"], t["size"].astype(np.int64), t["rest"].astype(np.int64)
-        first = (1 + similarity) * rest + EPS >= 2 * similarity * size
-        out, held = [], 0
-        for lo, n in zip(*_spans(cell), strict=True):
-            i = np.arange(lo, lo + n)
-            if (root[i] == root[lo]).all():
-                continue
-            heads = i[first[i]]
-            if pivot is not None:
-                with np.errstate(over="ignore"):
-                    mixed = remix(node[heads].view(np.uint64), np.uint64(pivot * PIVOTS + int(cell[lo]) % PIVOTS + 1))
-                heads = heads[[np.argmin(mixed)]]
-            for x in heads.tolist():
-                y = i[(root[i] != root[x]) & can_meet(size, rest, np.full(n, x), i, similarity)]
-                if len(y):
-                    out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-                    held += len(y)
-                if held > 1_000_000:
-                    pairs = np.unique(np.concatenate(out), axis=0)
-                    yield [pairs[:, 0], pairs[:, 1]]
-                    out, held = [], 0
-        if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
+        key, node, root, own, inner = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "root", "own", "inner"))
+        size, rest = t["size"].to_numpy().astype(np.int64), t["rest"].to_numpy().astype(np.int64)
+        fp = np.stack([t[w].to_numpy() for w in words], axis=1).view(np.uint64)
+        ones = np.bitwise_count(fp).astype(np.int16)
+        i, held, count = np.arange(len(key)), [], 0
+        for d in range(1, len(key)):
+            i = i[i < len(key) - d]
+            i = i[key[i] == key[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            a, b = size[i], size[j]
+            ok = (root[i] != root[j]) & (inner[i] | (own[i] != own[j])) & (similarity * (a + b) <= (1 + similarity) * np.minimum(rest[i], rest[j]) + EPS)
+            ok &= np.minimum(a, b) >= similarity * np.maximum(a, b) - EPS
+            x, y = i[ok], j[ok]
+            most = _apart_by(similarity) * (size[x] + size[y]) + EPS
+            ok = np.abs(ones[x] - ones[y]).sum(1) <= most
+            x, y, most = x[ok], y[ok], most[ok]
+            ok = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64) <= most
+            x, y = x[ok], y[ok]
+            if len(x):
+                held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+                count += len(x)
+            if count > 1_000_000:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                yield [pairs[:, 0], pairs[:, 1]]
+                held, count = [], 0
+        if held:
+            pairs = np.unique(np.concatenate(held), axis=0)
             yield [pairs[:, 0], pairs[:, 1]]
 
-    return _by_cell(crowd, work, "u long, v long")
+    return _by_cell(wide, "key", work, "u long, v long")
+
+
+def _near(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose fingerprints are near enough: by segment popcounts, then bit by bit."""
+    at_u, at_v = (bits.select(F.col("node").alias(x), F.struct("size", "bits").alias(f"at_{x}")) for x in "uv")
+    both = pairs.join(at_u, "u").join(at_v, "v")
+    most = _apart_by(similarity) * (F.col("at_u.size") + F.col("at_v.size")) + EPS
+    a, b = ([F.col(f"at_{x}.bits")[i] for i in range(WORDS)] for x in "uv")
+    manhattan = sum((F.abs(F.bit_count(x) - F.bit_count(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    hamming = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return both.where((manhattan <= most) & (hamming <= most)).select("u", "v")
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, worded: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, bits: DataFrame, worded: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have the Jaccard similarity. Only the texts of these pairs are read again."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    named = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    texts = worded.select(text_col).where(F.col(text_col).isNotNull()).withColumn("text_hash", F.xxhash64(text_col)).join(named.select("text_hash"), "text_hash", "left_semi")
+    named = bits.join(wanted, "node", "left_semi").select("text_hash")
+    texts = worded.select(text_col).withColumn("text_hash", F.xxhash64(text_col)).join(named, "text_hash", "left_semi")
     sets = _sets(texts, shingle, text_col).select("node", "shingles").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where((1 + similarity) * common + EPS >= similarity * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes aren't joined yet."""
-    if roots is None:
-        return pairs
     at_u, at_v = (roots.select(F.col("node").alias(x), F.col("least").alias(f"root_{x}")) for x in "uv")
     met = pairs.join(at_u, "u", "left").join(at_v, "v", "left")
     return met.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
-def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 48, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 2048, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, least) of rows with words: the least id that each reaches over links of texts with that Jaccard similarity.
 
     Exact: every pair with the similarity is joined, and every link has been compared shingle by shingle. Texts with equal
     shingle sets are one node. All texts sort their shingles in one order, and two with the similarity share one of their
-    first few (a prefix filter); the more so as frequent shingles come last. Pairs meet in the cells of those shingles and
-    must pass the bounds that sizes and places give. Pairs of cells up to max_cell are all tried. Larger cells are tried with
-    chosen members first, and then in all pairs that are still apart, so a large group of like texts costs no square of its
-    size. A large cell of unlike texts that pass all bounds does.
+    first few; the more so as frequent shingles come last. Pairs meet in the cells of those shingles and must pass the
+    bounds that sizes and places give, then those of the sets' fingerprints: segment popcounts differ by no more than
+    the fingerprints' bits, and those by no more than the sets.
 
-    A null id is ignored as a name. Texts without words are left alone.
+    Each cell first tries one member with all others, twice, and what is alike is joined; then all pairs of a cell that are
+    still apart are tried, in blocks of max_cell. So a large group of like texts costs no square of its size.
+
+    A null id is ignored as a name. Null and empty texts and those without words are left out; repeated rows share a
+    group; an empty table gives no rows; other columns are not looked at.
     """
     worded = df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S"))
-    frequent = frequent_shingles(worded, shingle, text_col)
+    frequent, hot = frequent_shingles(worded, shingle, text_col)
     marked = _prefixed(worded.withColumn("text_hash", F.xxhash64(text_col)), shingle, similarity, frequent, text_col)
-    marked = scratch.cut(marked.select(id_col, "text_hash", "node", "size", "prefix"))
-    tokens = marked.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("cell", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
-    met = scratch.cut(_met(tokens, similarity, max_cell))
-    pairs = scratch.cut(met.where("pair").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    crowd = met.where("not pair").select(F.col("a").alias("cell"), F.col("b").alias("node"), "size", "rest")
-    crowded, roots = not crowd.isEmpty(), None
-
-    def rooted() -> DataFrame:
-        if roots is None:
-            return crowd.withColumn("root", F.col("node"))
-        return crowd.join(roots.withColumnRenamed("least", "root"), "node", "left").select("cell", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
-
+    marked = scratch.cut(marked.select(id_col, "text_hash", "node", "size", "bits", "prefix"))
+    bits = scratch.cut(marked.groupBy("node").agg(F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    tokens = bits.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("cell", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
+    met = scratch.cut(_met(tokens, similarity, hot))
+    roots = None
     for k in range(ROUNDS + 1):
-        last = k == ROUNDS
-        if k and not last and not crowded:
-            continue
-        tried = pairs if last else pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v") if not k else None
-        if crowded:
-            more = _crowd_pairs(rooted(), similarity, None if last else k)
-            tried = tried.unionByName(more) if tried is not None else more
-        alike = _verified(scratch.cut(_apart(tried.distinct(), roots)), marked, worded, shingle, similarity, text_col)
+        if k < ROUNDS:
+            tried = _near(_pivot_pairs(met, similarity, k).distinct(), bits, similarity)
+            tried = _apart(tried, roots) if roots is not None else tried
+        else:
+            tried = _open_pairs(met, roots, bits, similarity, max_cell).distinct()
+        tried = scratch.cut(tried)
+        alike = _verified(tried, bits, worded, shingle, similarity, text_col)
         links = alike if roots is None else alike.unionByName(roots.select(F.col("least").alias("u"), F.col("node").alias("v")))
-        roots = scratch.cut(components(links, scratch))
+        before, roots = roots, scratch.cut(components(links, scratch))
+        scratch.drop(tried)
+        scratch.drop(before)
     placed = marked.select(id_col, "node").join(roots, "node", "left").select(id_col, F.coalesce("least", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min(id_col).alias("least"))
     return placed.join(names, "root").select(id_col, "least")

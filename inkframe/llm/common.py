@@ -51,6 +51,23 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread_join(rows: DataFrame, counted: DataFrame, on: list[str], hot: int = 10_000, parts: int = 64) -> DataFrame:
+    """rows joined with counted, a table with one row a key and how many times rows have it (column times, not put out).
+
+    Rows of keys with over hot rows, or over a 10,000th of all, are dealt over parts tasks. So at most 10,000 such keys
+    are broadcast.
+    """
+    total = counted.agg(F.sum("times")).first()[0] or 0
+    least = max(hot, total // 10_000)
+    many = F.col("times") > least
+    salts = F.when(many, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    split = counted.withColumn("_salt", F.explode(salts)).drop("times")
+    hot_keys = counted.where(many).select(*on, F.lit(True).alias("_hot"))
+    dealt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(parts)).cast("int")
+    salted = rows.join(F.broadcast(hot_keys), on, "left").withColumn("_salt", F.when(F.col("_hot"), dealt).otherwise(0))
+    return salted.join(split, [*on, "_salt"]).drop("_salt", "_hot")
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that an operator is about to add, so that clashing names are replaced."""
     low = {n.lower() for n in names}

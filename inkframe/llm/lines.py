@@ -18,10 +18,10 @@ replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
+from .common import Scratch, spread_join, without
 
 OUTPUTS = ["n_lines", "n_removed", "kept"]
 IDEOGRAPHS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -40,32 +40,43 @@ def words_in(line: Column) -> Column:
     return F.when(plain, blanks + 1).otherwise(F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
 
 
-def _until(words: Column, min_words: int) -> Column:
-    """How many of the first elements reach min_words; null if all together don't."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-    add = lambda a, w: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["sum"] + w).alias("sum"), (a["n"] + 1).alias("n")))
-    done = F.aggregate(words, start, add)
-    return F.when(done["sum"] >= min_words, done["n"])
-
-
-def repeated_lines(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """(key, id, pos, line, fwd, bwd) of lines that occur more than once; fwd and bwd are the lengths of the shortest
-    long enough runs from and up to the line. df has key, id, text."""
-    split = df.where(F.col("text").isNotNull()).dropDuplicates(["key"]).select("key", "id", F.split("text", "\n").alias("lines"))
-    counted = split.select("key", "id", F.transform("lines", lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), words_in(x).alias("words"))).alias("lines"))
-    words = F.transform("lines", lambda x: x["words"])
-    ready = counted.withColumn("words", words)
-    each = F.transform(
-        "lines",
-        lambda x, i: F.struct(
-            x["line"].alias("line"),
-            _until(F.slice("words", i + 1, min_words), min_words).alias("fwd"),
-            _until(F.reverse(F.slice("words", F.greatest(F.lit(1), i + 2 - min_words), F.least(i + 1, F.lit(min_words)))), min_words).alias("bwd"),
-        ),
-    )
-    placed = ready.select("key", "id", F.posexplode(each).alias("pos", "x")).select("key", "id", "pos", "x.line", "x.fwd", "x.bwd")
-    again = placed.groupBy("line").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("line")
-    return scratch.cut(placed.join(again, "line").select("key", "id", "pos", "line", "fwd", "bwd"))
+def hashed_lines(df: DataFrame) -> DataFrame:
+    """(key, id, pos, line, words) of all lines; no shuffle. df has key, id, text."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x, F.length(x)).alias("line"), words_in(x).alias("words")))
+    return df.where(F.col("text").isNotNull()).select("key", "id", F.posexplode(lines).alias("pos", "x")).select("key", "id", "pos", "x.line", "x.words")
+
+
+def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, pos, length) of the shortest runs of at least min_words words from each line, and up to each line, that
+    hold no other lines than the given ones. lines has key, id, pos, words; running sums of words in the order of lines,
+    met by the sums that are to be reached, say where a run ends or begins."""
+    of_doc = Window.partitionBy("key").orderBy("pos")
+    parted = lines.withColumn("part", F.col("pos") - F.row_number().over(of_doc))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("key", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = parted.withColumn("before", before).withColumn("after", F.col("before") + F.col("words"))
+
+    def met(own: Column, wanted: Column, name: str, order: list[Column]) -> DataFrame:
+        sides = F.array(F.struct(own.alias("value"), F.lit(True).alias("there")), F.struct(wanted.alias("value"), F.lit(False).alias("there")))
+        both = summed.select("key", "id", "part", "pos", F.explode(sides).alias("x")).select("key", "id", "part", "pos", "x.value", "x.there")
+        other = F.last(F.when(F.col("there"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("key", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn(name, other).where(~F.col("there") & F.col(name).isNotNull())
+
+    # the least sum up to a line's end that is large enough, and the largest sum before a line that is small enough; lines
+    # have words, so equal sums don't occur twice on a side
+    ends = met(F.col("after"), F.col("before") + min_words, "end", [F.desc("value"), F.desc("there")])
+    starts = met(F.col("before"), F.col("after") - min_words, "start", [F.asc("value"), F.desc("there")])
+    from_here = ends.select("key", "id", "pos", (F.col("end") - F.col("pos") + 1).alias("length"))
+    to_here = starts.select("key", "id", F.col("start").alias("pos"), (F.col("pos") - F.col("start") + 1).alias("length"))
+    return from_here.unionByName(to_here).distinct()
+
+
+def repeated_lines(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, pos, line, words) of lines that occur more than once. df has key, id, text."""
+    placed = scratch.cut(hashed_lines(df))
+    again = scratch.cut(placed.groupBy("line").agg(F.count("*").alias("times")).where(F.col("times") > 1))
+    met = spread_join(placed, again, ["line"])
+    # repeated rows have equal keys: one of each stays
+    return scratch.cut(met.dropDuplicates(["key", "pos"]).select("key", "id", "pos", "line", "words"))
 
 
 def doubled_ranks(lines: DataFrame, scratch: Scratch, longest: int) -> list[DataFrame]:
@@ -77,8 +88,8 @@ def doubled_ranks(lines: DataFrame, scratch: Scratch, longest: int) -> list[Data
         pairs = now.join(after, ["key", "pos"])
         twice = pairs.groupBy("rank", "next").agg(F.count("*").alias("times")).where(F.col("times") > 1)
         # ids grow along the sorted partitions, so they keep the order of the runs
-        named = scratch.cut(twice.orderBy("rank", "next").select("rank", "next", F.monotonically_increasing_id().alias("name")))
-        now = scratch.cut(pairs.join(named, ["rank", "next"]).select("key", "pos", F.col("name").alias("rank")))
+        named = scratch.cut(twice.orderBy("rank", "next").select("rank", "next", "times", F.monotonically_increasing_id().alias("name")))
+        now = scratch.cut(spread_join(pairs, named, ["rank", "next"]).select("key", "pos", F.col("name").alias("rank")))
         out.append(now)
         step *= 2
     return out
@@ -86,11 +97,9 @@ def doubled_ranks(lines: DataFrame, scratch: Scratch, longest: int) -> list[Data
 
 def repeated_runs(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     """(key, pos, length) of shortest long enough runs that also begin earlier. df has key, id, text."""
-    lines = repeated_lines(df, scratch, min_words)
+    lines = repeated_lines(df, scratch)
     ranks = doubled_ranks(lines, scratch, min_words)
-    from_here = lines.where(F.col("fwd").isNotNull()).select("key", "id", "pos", F.col("fwd").alias("length"))
-    to_here = lines.where(F.col("bwd").isNotNull()).select("key", "id", (F.col("pos") - F.col("bwd") + 1).alias("pos"), F.col("bwd").alias("length"))
-    runs = from_here.unionByName(to_here).distinct()
+    runs = scratch.cut(shortest_runs(lines, min_words))
     named = None
     for k, rank in enumerate(ranks):
         level = runs.where((F.col("length") >= 1 << k) & (F.col("length") < 2 << k))
@@ -102,8 +111,8 @@ def repeated_runs(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
         named = both if named is None else named.unionByName(both)
     named = scratch.cut(named)
     place = F.struct("id", "key", "pos")
-    first = named.groupBy("length", "rank", "end_rank").agg(F.min(place).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
-    return named.join(first, ["length", "rank", "end_rank"]).where(place != F.col("first")).select("key", "pos", "length")
+    first = scratch.cut(named.groupBy("length", "rank", "end_rank").agg(F.min(place).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1))
+    return spread_join(named, first, ["length", "rank", "end_rank"]).where(place != F.col("first")).select("key", "pos", "length")
 
 
 def dedup_lines(df: DataFrame, scratch: Scratch, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

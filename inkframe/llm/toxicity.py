@@ -1,12 +1,13 @@
 """Toxicity scores from a weighted lexicon found by Aho-Corasick in folded text.
 
 Folding lower-cases, maps look-alike letters and digit substitutions to plain letters, drops zero-width marks and turns
-other signs into spaces. The lexicon holds word beginnings whose share of toxic training texts clearly exceeds that of
+other signs into spaces. The lexicon holds word beginnings and whole words whose share of toxic training texts clearly exceeds that of
 the others, weighted by log odds; phrases that training shows to be harmless are exceptions, and hits inside them don't
 count. The summed weight and the weight per word go through a logistic curve.
 
 Texts without hits (null and empty ones too) get the curve's low end; without labels of both classes the score is the
-share of toxic labels, 0 where there are none. Repeated rows score alike; columns named like an output are replaced.
+share of toxic labels, 0 where there are none. Texts of any length are read whole; repeated rows score alike, also under
+different or null ids; an empty table gives no rows; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ LOOK_ALIKES = {
 ZERO_WIDTH = "­​‌‍⁠﻿"
 FOLD = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(x): k for k, v in LOOK_ALIKES.items() for x in v} | {ord(x): None for x in ZERO_WIDTH} | {ord(x): " " for x in " …‘’“”«»–—¿¡"}
 OUTPUTS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_weight", T.DoubleType()), T.StructField("toxic_hits", T.LongType())]
+#: Terms are word beginnings of so many letters, and whole words that are longer.
 SHORTEST, LONGEST = 3, 9
 
 
@@ -106,7 +108,8 @@ def _terms(batches):
     for b in batches:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = set(fold(text or "").split())
-            counts[y].update({w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)})
+            begun = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+            counts[y].update(begun | {w for w in words if len(w) > LONGEST})
     yield from _counted(counts)
 
 
@@ -120,19 +123,20 @@ def _counted(counts):
 def train_rows(docs: DataFrame, labels: DataFrame, max_rows: int, text_col: str = "text") -> DataFrame:
     """(text, y) of at most max_rows labelled texts of each class, chosen by a hash of doc_id.
 
-    Rows with crc32(doc_id as text) mod 5 = 0 are held out.
+    Rows with crc32(doc_id as text) mod 5 = 0 are held out, and those without a doc_id. Of several texts of a doc_id the
+    least is taken.
     """
     known = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    return docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "y").dropDuplicates()
+    return docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: int = 20_000, min_texts: int = 4, min_sure: float = 1.2, min_own: int = 2, very_sure: float = 4.0, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, min_texts: int = 4, min_sure: float = 1.2, min_own: int = 2, very_sure: float = 4.0, text_col: str = "text") -> Model:
     """Lexicon, exceptions and curve from a bounded sample of labelled rows (max_rows of each class).
 
     Terms count by the sure part of their log odds (two standard errors off). A term stays only if it is the surest one
     of at least min_own toxic texts, or very sure and the surest of one: words that merely come along in copies of toxic texts explain none.
-    What comes to the driver is bounded by max_terms and by max_rows.
+    What comes to the driver are the terms of these rows that pass, and two numbers a row: bounded by max_rows.
     """
     rows = train_rows(docs, labels, max_rows, text_col)
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: in
     stats = rows.mapInArrow(_terms, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     sure = weight - 2 * F.sqrt(1 / t + 1 / c)
     strong = stats.where(F.col("toxic") >= min_texts).select("term", "toxic", weight.alias("w"), sure.alias("sure")).where(F.col("sure") >= min_sure)
-    best_rows = strong.orderBy(F.desc("sure"), "term").limit(max_terms).collect()
+    best_rows = strong.orderBy(F.desc("sure"), "term").collect()
     found, support = {r["term"]: r["w"] for r in best_rows}, {r["term"]: r["sure"] for r in best_rows}
     for term in sorted(found, key=len):
         best = max((model.weights.get(term[:n], 0.0) for n in range(SHORTEST, len(term))), default=0.0)
@@ -166,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: in
                     counts[1][max(terms, key=lambda t: (support.get(t, 0), t))] += 1
         yield from _counted(counts)
 
-    own = rows.mapInArrow(explained, schema).groupBy("term").agg(F.sum("toxic").alias("toxic")).limit(max_terms).collect()
+    own = rows.mapInArrow(explained, schema).groupBy("term").agg(F.sum("toxic").alias("toxic")).collect()
     kept = [r["term"] for r in own if r["toxic"] >= min_own or support[r["term"]] >= very_sure]
     texts = {r["term"]: r["toxic"] for r in best_rows}
     model.weights = {whole: found[whole] for whole in (_whole(t, texts) for t in kept)}
@@ -187,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: in
         yield from _counted(counts)
 
     spared = rows.mapInArrow(phrases, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where((F.col("other") >= 5) & (F.col("toxic") * n0 * 5 < F.col("other") * n1))
-    model.exceptions = sorted(r["term"] for r in spared.orderBy(F.desc("other"), "term").limit(max_terms).select("term").collect())
+    model.exceptions = sorted(r["term"] for r in spared.select("term").collect())
 
     def measured(batches):
         scanner = scanner_of.scanner()

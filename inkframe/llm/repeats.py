@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, without
+from .common import Scratch, chunks, spread_join, without
 from .decontaminate import powers
 
 BASE = 0x9E3779B97F4A7C15
@@ -73,7 +73,8 @@ class Parser:
         grams = (total[GRAM:] - total[:-GRAM]) * self.inverse[: len(buf) - GRAM + 1]
         order = _mix(grams)
         grams = order.view(np.int64)
-        order = (order >> np.uint64(32)).astype(np.uint32)
+        # 0 is kept for places outside of strings
+        order = np.maximum((order >> np.uint64(32)).astype(np.uint32), 1)
         n = self.side + 1
         least = _slide(order, n, np.minimum)
         starts_in = np.zeros(len(buf) + 1, np.int32)
@@ -83,7 +84,7 @@ class Parser:
         inside = np.cumsum(starts_in)[: len(least)] > 0
         # a gram is a trigger if it equals the minimum of some string that holds it: of all those, the greatest minimum
         padded = np.concatenate([np.zeros(n - 1, np.uint32), np.where(inside, least, 0), np.zeros(n - 1, np.uint32)])
-        at = np.flatnonzero((_slide(padded, n, np.maximum) == order) & (order > 0))
+        at = np.flatnonzero(_slide(padded, n, np.maximum) == order)
         if not len(at):
             return none
         doc = np.searchsorted(begin, at, side="right") - 1
@@ -285,17 +286,17 @@ def covers(df: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """
     side = length - GRAM
     found = parse(df, length)
-    again = found.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("gram")
-    met = scratch.cut(found.join(again, "gram"))
+    again = scratch.cut(found.groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > 1))
+    met = scratch.cut(spread_join(found, again, ["gram"]))
     dictionary = scratch.cut(met.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("rep")))
-    whole = met.join(dictionary.where(F.col("n") > 1).select("gram", "phrase"), ["gram", "phrase"]).select("key", "at", F.lit(side).alias("l"), F.lit(side).alias("r"))
+    whole = spread_join(met, dictionary.where(F.col("n") > 1).select("gram", "phrase", F.col("n").alias("times")), ["gram", "phrase"]).select("key", "at", F.lit(side).alias("l"), F.lit(side).alias("r"))
     grams = dictionary.groupBy("gram").agg(F.count("*").alias("members"), F.count_if(F.col("n") == 1).alias("single")).where((F.col("members") > 1) & (F.col("single") > 0)).select("gram", "members")
     wanted = dictionary.join(grams, "gram").select("rep.key", "rep.at", "gram", "n", "members")
     phrases = scratch.cut(_phrases(df, wanted, length))
     crowd = phrases.where(F.col("members") > MAX_PAIRED)
     out = whole.unionByName(_compared(phrases, length)).unionByName(_counted(crowd, length, scratch))
     out = scratch.cut(out.groupBy("key").agg(F.collect_set(F.struct("at", "l", "r")).alias("marks")))
-    for gone in (met, dictionary, phrases):
+    for gone in (again, met, dictionary, phrases):
         scratch.drop(gone)
     return out
 

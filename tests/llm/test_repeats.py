@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from inkframe.llm import queries, repeats
@@ -57,3 +58,13 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1500)
     pieces = repeats.Parser(200).of([b"", raw])
     assert [x.tolist() for x in whole[1:]] == [x.tolist() for x in pieces[1:]] and set(pieces[0]) == {1}
+
+
+def test_every_string_holds_a_trigger(monkeypatch):
+    """Also where the least of a string's hashes has no upper bits."""
+    mix = repeats._mix
+    monkeypatch.setattr(repeats, "_mix", lambda h: np.where(mix(h) % np.uint64(40) == 0, mix(h) & np.uint64(0xFFFFFFFF), mix(h)))
+    r = random.Random(6)
+    raw = bytes(r.choice(b"abcdef ghi") for _ in range(3000))
+    at = repeats.Parser(200).of([raw])[1]
+    assert all(((at >= s) & (at <= s + 100)).any() for s in range(len(raw) - 199))

@@ -294,6 +294,8 @@ ROUNDS = 2
 PIVOTS = 4
 #: Words of a set's fingerprint, of 64 bits each; a word is a segment.
 WORDS = 8
+#: Pairs whose texts' hashes, 16 bytes a pair, are broadcast.
+FEW = 1_000_000
 EPS = 1e-6
 
 
@@ -509,6 +511,8 @@ def _verified(pairs: DataFrame, bits: DataFrame, worded: DataFrame, shingle: int
     """The pairs (u, v) of nodes whose sets have the Jaccard similarity. Only the texts of these pairs are read again."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     named = bits.join(wanted, "node", "left_semi").select("text_hash")
+    # the hashes go to the texts if they are few, or else the texts to the hashes
+    named = F.broadcast(named) if pairs.count() <= FEW else named
     texts = worded.select(text_col).withColumn("text_hash", F.xxhash64(text_col)).join(named, "text_hash", "left_semi")
     sets = _sets(texts, shingle, text_col).select("node", "shingles").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")

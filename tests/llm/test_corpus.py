@@ -214,3 +214,17 @@ def test_line_words(spark):
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 30).collect()}
     assert {i: got[100 + i] for i in passages} == {1: 10, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, 8: 0, 9: 0, 10: 0}
     assert not any(got[i] for i in passages)
+
+
+def test_similar_groups_hot_shingle(spark, monkeypatch):
+    """Groups don't depend on which shingles count as hot, nor on how pairs' texts are found."""
+    r = random.Random(13)
+    base = [f"w{r.randrange(900)}" for _ in range(200)]
+    rows = [(i, " ".join(base[:100] + [f"x{i}a{k}" for k in range(i % 7)] + base[100:])) for i in range(300)]
+    df = spark.createDataFrame([(*x, "old") for x in rows], "doc_id long, text string, node string")
+    groups = lambda: sorted((x.doc_id, x.least) for x in simhash.similar_groups(df, Scratch(spark), max_cell=64).collect())
+    want = groups()
+    for name, value in (("HOT", 3), ("FEW", 0), ("SAMPLE", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    assert groups() == want == [(i, 0) for i in range(300)]
+    assert simhash.similar_groups(df.limit(0), Scratch(spark)).count() == 0

@@ -36,7 +36,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", (F.col("n_chars") + 22).alias("size"))
-    return paging.number_pages(docs, "book", ["doc_id"])
+    return paging.number_pages(docs, "book", "doc_id")
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +159,13 @@ def se3_merge_shift(spark, sf_dir):
 
 @query("SELECT lang, source, doc_id, lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS VARCHAR), 5, '0') || '.png' AS name FROM documents")
 def se1_merge_names(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")).cast("string")
+    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("set_id"), "source", "doc_id", F.concat_ws("/", "lang", "source").alias("file"))
+    files = docs.groupBy("set_id", "source", "file").agg(F.count("*").alias("page_count"))
+    shifts = paging.merge_offsets(files, "source").select("file", "shift")
+    placed = paging.number_pages(docs, "file", "doc_id").join(shifts, "file")
+    n = (F.col("page_no") + F.col("shift")).cast("string")
     name = F.concat(F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(F.substring(n, 1, 5)), F.lit(".png"))
-    return read(spark, sf_dir, "documents").select("lang", "source", "doc_id", name.alias("name"))
+    return placed.select(F.col("set_id").alias("lang"), "source", "doc_id", name.alias("name"))
 
 
 @query(f"SELECT source AS book, min(doc_id) AS first_doc, count(DISTINCT lang) = 1 AS same_type, CAST(sum(n_chars) AS BIGINT) > 4294967296 AS too_large FROM documents GROUP BY source")
@@ -172,7 +176,7 @@ def pf8_validate(spark, sf_dir):
 # -- names and ranges
 
 
-@query("""SELECT page_id, lower(regexp_extract(url, '[^.]*$')) AS ext, CASE WHEN lower(regexp_extract(url, '[^.]*$')) IN ('cbz', 'zip') THEN 'cbz' WHEN lower(regexp_extract(url, '[^.]*$')) IN ('cbr', 'rar') THEN 'cbr' WHEN lower(regexp_extract(url, '[^.]*$')) = 'pdf' THEN 'pdf' WHEN lower(regexp_extract(url, '[^.]*$')) IN ('xtc', 'xtch') THEN 'xtc' ELSE 'unknown' END AS kind,
+@query("""SELECT page_id, lower(regexp_extract(url, '[^.]*$')) AS ext, CASE WHEN lower(regexp_extract(url, '[^.]*$')) = 'cbz' THEN 'cbz' WHEN lower(regexp_extract(url, '[^.]*$')) = 'cbr' THEN 'cbr' WHEN lower(regexp_extract(url, '[^.]*$')) = 'pdf' THEN 'pdf' WHEN lower(regexp_extract(url, '[^.]*$')) IN ('xtc', 'xtch') THEN 'xtc' ELSE 'unknown' END AS kind,
 regexp_matches(url, '(?i)\\.(jpg|jpeg|png|webp|bmp|gif)$') AND NOT starts_with(lower(url), '__macos') AS is_image FROM pages""")
 def sc1_file_type(spark, sf_dir):
     u = F.col("url")
@@ -385,3 +389,7 @@ def bench_order_books(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", (200 + F.col("l_linenumber") * 40).alias("w"), (300 + (F.col("l_partkey") * 37) % 1500).cast("int").alias("h"))
     w, h = F.col("w"), F.col("h")
     return li.groupBy("l_orderkey").agg(F.count("*").alias("pages"), F.sum(G.page_size(w, h)).alias("bytes"), F.sum(G.output_page_count(w, h)).alias("outputs"))
+
+
+# registers its queries here
+from . import catalog_books  # noqa: E402, F401

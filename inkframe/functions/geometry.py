@@ -31,7 +31,7 @@ def fit_rect(w: Column, h: Column, tw: int, th: int, mode: str = "pad") -> Colum
     if mode == "fill":
         return F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(tw).alias("w"), F.lit(th).alias("h"))
     pick = {"pad": F.least, "cover": F.greatest}.get(mode)
-    scale = pick(F.lit(float(tw)) / w, F.lit(float(th)) / h) if pick else F.lit(1.0)
+    scale = pick(F.lit(float(tw)) / F.nullif(w, F.lit(0)), F.lit(float(th)) / F.nullif(h, F.lit(0))) if pick else F.lit(1.0)
     nw, nh = F.floor(w * scale).cast("int"), F.floor(h * scale).cast("int")
     return F.struct(F.floor((tw - nw) / 2).cast("int").alias("x"), F.floor((th - nh) / 2).cast("int").alias("y"), nw.alias("w"), nh.alias("h"))
 
@@ -40,9 +40,23 @@ def overlap_segments(w: Column, h: Column, tw: int, th: int) -> Column:
     """3 to 10 overlapping parts of a tall page, each as high as a turned target is wide."""
     seg = F.floor(F.lit(tw) / (F.lit(float(th)) / w)).cast("int")
     shift = lambda n: F.floor(seg - (seg * n - h) / (n - 1)).cast("int")
-    n = F.coalesce(F.get(F.filter(F.sequence(F.lit(3), F.lit(9)), lambda k: ~(shift(k) / seg > 0.95)), F.lit(0)), F.lit(10))
+    # a page too narrow for a part of its own height shifts by more than any share of nothing: ten parts
+    n = F.coalesce(F.get(F.filter(F.sequence(F.lit(3), F.lit(9)), lambda k: ~(shift(k) / F.nullif(seg, F.lit(0)) > 0.95)), F.lit(0)), F.lit(10))
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(0).alias("x"), (shift(n) * i).alias("y"), w.alias("w"), F.when(i == n - 1, h - shift(n) * i).otherwise(seg).alias("h")))
-    return F.when(seg > 0, parts)
+    return parts
+
+
+def strip_slices(w: Column, h: Column, tw: int, th: int, overlap: int) -> Column:
+    """Slices of an image scaled to the target's width, as rectangles of the unscaled image; the last one ends at its end."""
+    scale = F.lit(float(tw)) / w
+    high = F.floor(h * scale).cast("int")
+    step = th - th * overlap // 100
+    full = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((high - th) / step).cast("int"))) if step > 0 else F.array(F.lit(0))
+    tops = F.transform(full, lambda k: k * step)
+    last = F.element_at(tops, -1)
+    tops = F.when((high > th) & (last + th < high), F.concat(tops, F.array(high - th))).otherwise(tops)
+    at = lambda y: F.floor(y / scale).cast("int")
+    return F.transform(tops, lambda y: F.struct(F.lit(0).alias("x"), at(y).alias("y"), w.alias("w"), F.greatest(F.lit(1), F.least(h, at(F.least(y + th, high))) - at(y)).alias("h"), y.alias("top")))
 
 
 def half_split(w: Column, h: Column) -> Column:

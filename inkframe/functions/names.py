@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions by kind.
-KINDS = {"cbz": ["cbz", "zip"], "cbr": ["cbr", "rar"], "pdf": ["pdf"], "xtc": ["xtc", "xtch"]}
+KINDS = {"cbz": ["cbz"], "cbr": ["cbr"], "pdf": ["pdf"], "xtc": ["xtc", "xtch"]}
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif"]
 
 
@@ -61,6 +61,34 @@ def page_ranges(text: Column, total: Column) -> Column:
 
 
 def equal_parts(total: Column, n: Column) -> Column:
-    """n page ranges that differ by one page at most, longer ones first."""
-    q, r = F.floor(total / n).cast("int"), (total % n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * q + F.least(i, r) + 1).alias("start"), ((i + 1) * q + F.least(i + 1, r)).alias("end")))
+    """n page ranges that differ by one page at most, longer ones first; none where parts_error has a message."""
+    m = F.nullif(n, F.lit(0))
+    q, r = F.floor(total / m).cast("int"), (total % m).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), n) - 1), lambda i: F.struct((i * q + F.least(i, r) + 1).alias("start"), ((i + 1) * q + F.least(i + 1, r)).alias("end")))
+    return F.when(parts_error(total, n).isNull(), parts)
+
+
+def parts_error(total: Column, n: Column) -> Column:
+    """Why a book of so many pages can't be split into n parts; null if it can."""
+    many = F.format_string("Cannot split %d pages into %d parts", total, n)
+    return F.when(n.isNull() | total.isNull() | (n < 1), F.lit("Must have at least 1 part")).when(n > total, many)
+
+
+def page_title(page_no: Column, chapter: Column, folder: Column, offset: int = 0) -> Column:
+    """`Page 7`, with the page's bookmark, or else its folder, behind it."""
+    name = F.coalesce(chapter, folder)
+    plain = F.concat(F.lit("Page "), (page_no + offset).cast("string"))
+    return F.when(name.isNull(), plain).otherwise(F.concat(plain, F.lit(" - "), name))
+
+
+def info_hash(magnet: Column) -> Column:
+    """The lower-cased hash of a magnet link; null if it has none."""
+    return F.nullif(F.lower(F.regexp_extract(magnet, "(?i)xt=urn:btih:([a-z0-9]+)", 1)), F.lit(""))
+
+
+def with_trackers(magnet: Column, trackers: list[str]) -> Column:
+    """The link with each tracker that it doesn't name yet."""
+    for t in trackers:
+        coded = F.url_encode(F.lit(t))
+        magnet = F.when(F.contains(magnet, coded), magnet).otherwise(F.concat(magnet, F.lit("&tr="), coded))
+    return magnet

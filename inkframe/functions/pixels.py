@@ -67,3 +67,14 @@ def hilbert(width: int, height: int) -> list[tuple[int, int]]:
         order = [(y, x) for x, y in order] + [(x, y + s) for x, y in order] + [(x + s, y + s) for x, y in order] + [(2 * s - 1 - y, s - 1 - x) for x, y in order]
         s *= 2
     return [(x, y) for x, y in order if x < width and y < height]
+
+
+def float_luma(r: Column, g: Column, b: Column) -> Column:
+    """Gray of exact weights, rounded half to even."""
+    return F.bround(r * F.lit(0.299) + g * F.lit(0.587) + b * F.lit(0.114), 0).cast("int")
+
+
+def contrast_alone(g: Column, black: Column, white: Column) -> Column:
+    """Contrast between two grays, clamped and rounded half to even; unchanged if they don't leave a range."""
+    v = (g - black) / F.nullif(white - black, F.lit(0)) * 255
+    return F.when(white > black, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)), 0).cast("int")).otherwise(g)

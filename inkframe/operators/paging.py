@@ -6,22 +6,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_pages(pages: DataFrame, book: str, order: list[str]) -> DataFrame:
-    return pages.withColumn("page_no", F.row_number().over(Window.partitionBy(book).orderBy(*order)))
+def in_ranges(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """Adds _range: which of some value ranges of about equal row counts a row's number order falls in.
+
+    The bounds are approximate quantiles; only the balance depends on them, so a book of any length is cut into ranges.
+    """
+    bounds = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005) or [0.0]
+    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))])
+    return rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(order).cast("double")))))
+
+
+def running(rows: DataFrame, book: str, order: str, sums: dict[str, str], totals: dict[str, str] | None = None, count: str | None = None, parts: int = 64) -> DataFrame:
+    """Adds sums over a book's earlier rows (name: column), totals over all of them, and a row number (count), in the
+    order of a number.
+
+    Rows are sorted by book and range only; what earlier ranges and whole books hold is summed up first, one row a range.
+    """
+    ranged = in_ranges(rows, order, parts)
+    all_ = {**sums, **(totals or {})}
+    by_range = ranged.groupBy(book, "_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{k}") for k, c in all_.items()])
+    before, whole = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(book)
+    held = by_range.select(
+        book, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"),
+        *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_pre_{k}") for k in sums], *[F.sum(f"_sum_{k}").over(whole).alias(k) for k in totals or {}],
+    )
+    here = Window.partitionBy(book, "_range").orderBy(order)
+    up_to = here.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(held, [book, "_range"])
+    for k, c in sums.items():
+        out = out.withColumn(k, (F.col(f"_pre_{k}") + F.coalesce(F.sum(c).over(up_to), F.lit(0))).cast("long"))
+    if count:
+        out = out.withColumn(count, (F.col("_rows") + F.row_number().over(here)).cast("int"))
+    return out.drop("_range", "_rows", *[f"_pre_{k}" for k in sums])
+
+
+def number_pages(pages: DataFrame, book: str, order: str) -> DataFrame:
+    """Adds page_no, a page's place in its book by a number."""
+    return running(pages, book, order, {}, count="page_no")
 
 
 def manifest(pages: DataFrame, book: str = "book", toc_entries: int = 0, has_metadata: bool = False) -> DataFrame:
     """Adds offset: where each page will lie in its book's container, from sizes alone. pages has page_no and size."""
-    w = Window.partitionBy(book)
-    head = F.lit(56 + 256 + 96 * toc_entries if has_metadata else 48) + 16 * F.count("*").over(w)
-    before = F.coalesce(F.sum("size").over(w.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("offset", (head + before).cast("long"))
+    placed = running(pages.withColumn("_one", F.lit(1)), book, "page_no", {"_before": "size"}, {"_pages": "_one"})
+    head = F.lit(56 + 256 + 96 * toc_entries if has_metadata else 48) + 16 * F.col("_pages")
+    return placed.withColumn("offset", (head + F.col("_before")).cast("long")).drop("_one", "_before", "_pages")
 
 
 def output_mapping(pages: DataFrame, book: str = "book") -> DataFrame:
     """Adds out_start: the first output page of each original page, which has n_out of them."""
-    w = Window.partitionBy(book).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("out_start", (F.coalesce(F.sum("n_out").over(w), F.lit(0)) + 1).cast("long"))
+    return running(pages, book, "page_no", {"out_start": "n_out"}).withColumn("out_start", F.col("out_start") + 1)
 
 
 def toc_ends(toc: DataFrame, book: str, total: str) -> DataFrame:
@@ -65,3 +98,8 @@ def islands(rows: DataFrame, part: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(part).orderBy(order)
     new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
     return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w).cast("long")).drop("_new")
+
+
+def in_path_order(files: DataFrame, path: str) -> DataFrame:
+    """Files sorted by path as readers of any language expect, numbers as text."""
+    return files.orderBy(F.collate(F.col(path), "UNICODE"))

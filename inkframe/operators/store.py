@@ -24,3 +24,21 @@ def references(store: DataFrame) -> DataFrame:
 
 def without_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids, "id", "left_anti")
+
+
+def by_id(store: DataFrame, key) -> DataFrame:
+    return store.where(F.col("id") == key)
+
+
+def by_session(store: DataFrame, session) -> DataFrame:
+    """A session's results, oldest first."""
+    return store.where(F.col("session_id") == session).orderBy("created_at", "id")
+
+
+def newest_first(store: DataFrame) -> DataFrame:
+    return store.orderBy(F.desc("created_at"), "id")
+
+
+def append(results: DataFrame, path: str) -> None:
+    """Adds results to the stored table, a folder a day, so that expiry reads and drops whole days."""
+    results.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)

@@ -35,19 +35,20 @@ def build(blobs: list[bytes], two_bit: bool = False, meta: tuple = (), toc: list
 
 
 def parse(raw: bytes) -> tuple[dict, list[tuple[str, int, int]], list[bytes]]:
-    """Header and metadata, table of contents, page blobs. ValueError for other bytes."""
-    if raw[:4] not in (b"XTC\0", b"XTCH", b"XTCh"):
+    """Header and metadata, table of contents, page blobs, each where the header says. ValueError for other bytes."""
+    if raw[:3] != b"XTC":
         raise ValueError("not a container")
-    version, n, flags, _, _, index, _, _ = struct.unpack_from("<HHIIQQQQ", raw, 4)
+    version, n, flags, _, meta, index, _, _ = struct.unpack_from("<HHIIQQQQ", raw, 4)
     info, toc = {"version": version, "page_count": n, "two_bit": raw[3:4] in b"Hh" and raw[3:4] != b""}, []
-    if flags:
-        at = 56
+    if flags and meta:
+        at = meta
         for name, size in zip(("title", "author", "publisher", "language"), SIZES, strict=True):
             info[name] = raw[at : at + size].split(b"\0")[0].decode("utf-8", "replace")
             at += size
         info["create_time"], info["cover"], chapters = struct.unpack_from("<IHH", raw, at)
+        own = struct.unpack_from("<Q", raw, 48)[0] if len(raw) >= 56 else 0
         for i in range(chapters):
-            p = 312 + 96 * i
+            p = (own or at + 16) + 96 * i
             toc.append((raw[p : p + 80].split(b"\0")[0].decode("utf-8", "replace"), *struct.unpack_from("<HH", raw, p + 80)))
     pages = []
     for i in range(n):

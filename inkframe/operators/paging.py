@@ -11,8 +11,9 @@ def in_ranges(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
 
     The bounds are approximate quantiles; only the balance depends on them, so a book of any length is cut into ranges.
     """
-    bounds = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005) or [0.0]
-    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))])
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), shares, 1000)).first()[0] or [0.0]
+    cuts = F.array(*[F.lit(x) for x in sorted(set(bounds))])
     return rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(order).cast("double")))))
 
 

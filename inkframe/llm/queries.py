@@ -104,3 +104,17 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "pipeline": pipeline,
 }
+
+
+def _rules_sql() -> str:
+    return ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+#: SQL where it can express an operator; the others are held against plain versions in the tests.
+ORACLE = {
+    "op3_url_filter": f"""WITH rules(rh, rp, v) AS (VALUES {_rules_sql()}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END AS raw, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM u),
+f AS (SELECT p.page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v, length(rh) + length(rp)) AS v FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.page_id)
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id""",
+}

@@ -1,17 +1,20 @@
 """URL rules behind a blocked Bloom filter.
 
-Listed entries (host, path, verdict) set eight bits in one block of a filter. Every url's candidates (its host and each
-parent domain, with the path prefixes of the lengths that the list has) probe only their own block; what passes goes to
-an exact hash join on (host, path), which removes false positives; the longest entry wins. All is DataFrame work: the
-filter is a table of blocks, broadcast only if its row count, known from the list, is within a bound, else shuffled.
+Listed entries (host, path, verdict), or listed urls in canonical form, set eight bits in one block of a filter. Every
+url's candidates (its host and each parent domain, with the path prefixes of the lengths that the list has) probe only
+their own block; what passes goes to an exact hash join on (host, path), which removes false positives; the longest entry
+wins. All is DataFrame work. A filter of a list within a bound is one broadcast row of arrays, probed in the url's own
+row: then only urls with a possible hit are shuffled. A larger filter is a table of blocks that probes are joined with.
 
 Null urls and those without :// have an empty host and path, and only entries with an empty host or path could fit
 them. Equal entries with two verdicts: allow wins. Repeated rows are judged alike; an empty list leaves the default
-verdict everywhere; columns named like an output are replaced.
+verdict everywhere; an empty table gives no rows; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,25 +52,75 @@ def build_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
     return marked.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(LANES)])
 
 
+def listed_urls(urls: DataFrame, url_col: str = "url", verdict: str = "block") -> DataFrame:
+    """Entries (host, path, verdict) of a list of urls in canonical form: host in lower case without a user, a trailing dot
+    or the scheme's own port, an empty path as /, no query and no fragment. What isn't a url is left out."""
+    u = F.col(url_col)
+    scheme = F.lower(F.regexp_extract(u, r"(?s)^(.*?)://", 1))
+    host = F.regexp_replace(host_of(u), r"^.*@", "")
+    own = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", "")).otherwise(host)
+    path = path_of(u)
+    entries = urls.select(F.regexp_replace(own, r"\.$", "").alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), F.lit(verdict).alias("verdict"))
+    return entries.where(F.contains(u, F.lit("://")) & (F.col("host") != "")).distinct()
+
+
+def packed_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
+    """The filter as one row: an array of all blocks for each lane."""
+    blocks = listed.sparkSession.range(n_blocks).select(F.col("id").alias("block")).join(build_filter(listed, n_blocks), "block", "left")
+    lanes = [F.coalesce(f"w{i}", F.lit(0)).alias(f"w{i}") for i in range(LANES)]
+    rows = blocks.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", *lanes))).alias("blocks"))
+    return rows.select(*[F.col(f"blocks.w{i}").alias(f"_w{i}") for i in range(LANES)])
+
+
+def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
+    """What could be listed for a url: (rule_host, rule_path) of its host and parents with the prefixes of those lengths."""
+    labels = F.split(host, r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda k: k <= F.length(path))
+    return F.flatten(F.transform(parents, lambda h: F.transform(fits, lambda k: F.struct(h.alias("rule_host"), F.substring(path, F.lit(1), k).alias("rule_path")))))
+
+
 def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str = "allow", entries_per_block: int = 16) -> DataFrame:
     """Adds host, path, rule (the longest listed entry that fits, host before path; else null) and verdict."""
     listed = listed.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.min("verdict").alias("listed_verdict"))
     n = listed.count()
+    parted = without(df, [x for x in OUTPUTS if x != url_col] + ["_could"]).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
+    kept = [F.col(f"`{c}`") for c in parted.columns if c not in ("host", "path")]
+    if not n:
+        return parted.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     n_blocks = max(1, -(-n // entries_per_block))
-    small = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
-    lengths = listed.select(F.length("path").alias("n")).distinct().groupBy().agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    parted = without(df, [x for x in OUTPUTS if x != url_col]).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    labels = F.split(F.col("host"), r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # one row of path lengths, at most as many as a url has characters
-    urls = parted.select("host", "path").distinct().join(F.broadcast(lengths), F.lit(True), "left")
-    fits = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda k: k <= F.length("path"))
-    probes = urls.select("host", "path", F.explode(parents).alias("rule_host"), fits.alias("fits")).select("host", "path", "rule_host", F.explode(F.transform("fits", lambda k: F.substring(F.col("path"), F.lit(1), k))).alias("rule_path"))
+    # at most as many as a path has characters
+    lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
+    could = candidates(F.col("host"), F.col("path"), lengths)
+    exact = listed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "listed_verdict")
     rh, rp = F.col("rule_host"), F.col("rule_path")
-    passed = probes.withColumn("block", _block(rh, rp, n_blocks)).join(small(build_filter(listed, n_blocks)), "block")
-    for i in range(LANES):
-        passed = passed.where(F.col(f"w{i}").bitwiseAND(_bit(rh, rp, i)) != 0)
-    exact = passed.select("host", "path", "rule_host", "rule_path").join(small(listed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "listed_verdict")), ["rule_host", "rule_path"])
-    best = exact.groupBy("host", "path").agg(F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), "rule_host", "rule_path", "listed_verdict")).alias("best"))
-    out = parted.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in parted.columns if c not in ("host", "path")], "host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))
+
+    def longest(passed: DataFrame) -> DataFrame:
+        ranked = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), "rule_host", "rule_path", "listed_verdict")).alias("best")
+        return passed.groupBy("host", "path").agg(ranked)
+
+    if n <= BROADCAST_ROWS:
+        held = parted.join(F.broadcast(packed_filter(listed, n_blocks)))
+        lane = lambda x, i: F.element_at(f"_w{i}", (_block(x["rule_host"], x["rule_path"], n_blocks) + 1).cast("int")).bitwiseAND(_bit(x["rule_host"], x["rule_path"], i)) != 0
+        passes = lambda x: reduce(lambda a, i: a & lane(x, i), range(1, LANES), lane(x, 0))
+        marked = held.withColumn("_could", F.filter(could, passes)).drop(*[f"_w{i}" for i in range(LANES)])
+        some = marked.where(F.size("_could") > 0)
+        probes = some.select("host", "path", "_could").dropDuplicates(["host", "path"]).select("host", "path", F.explode("_could").alias("c")).select("host", "path", "c.*")
+        best = longest(probes.join(F.broadcast(exact), ["rule_host", "rule_path"]))
+        judged = some.drop("_could").join(best, ["host", "path"], "left")
+        others = marked.where(F.size("_could") == 0).drop("_could")
+        out = judged.unionByName(others, allowMissingColumns=True)
+    else:
+        urls = parted.select("host", "path").distinct()
+        probes = urls.select("host", "path", F.explode(could).alias("c")).select("host", "path", "c.*").withColumn("block", _block(rh, rp, n_blocks))
+        passed = probes.join(build_filter(listed, n_blocks), "block")
+        for i in range(LANES):
+            passed = passed.where(F.col(f"w{i}").bitwiseAND(_bit(rh, rp, i)) != 0)
+        best = longest(passed.join(exact, ["rule_host", "rule_path"]))
+        # urls without a host and path have nothing to be joined by
+        empty = (F.col("host") == "") & (F.col("path") == "")
+        fits_empty = not listed.where("host = '' and path = ''").isEmpty()
+        some = parted if fits_empty else parted.where(~empty)
+        out = some.join(best, ["host", "path"], "left")
+        out = out if fits_empty else out.unionByName(parted.where(empty), allowMissingColumns=True)
+    return out.select(*kept, "host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))

@@ -350,6 +350,22 @@ def test_odd_urls(spark):
     assert urls.judge(df.limit(0), lists).count() == 0
 
 
+def test_long_url_list(spark):
+    """Lists of more entries than a block holds, in canonical form, with either kind of filter."""
+    n = 100_001
+    raw = spark.range(n).selectExpr("concat('HTTP', if(id % 2 = 0, 's', ''), '://u@Site', id, '.Example', if(id % 2 = 0, ':443', ':80'), if(id % 3 = 0, '', concat('/d', id % 7, '/')), '?q#f') AS url")
+    listed = urls.listed_urls(raw.unionByName(spark.createDataFrame([(None,), ("",), ("none",), ("x://",)], "url string")))
+    assert listed.count() == n
+    rows = [(i, f"https://{'a.' * (i % 3)}site{i * 7}.example{'/d' + str(i * 7 % 7 + (i % 5 == 0)) + '/x' if i * 7 % 3 else '/'}") for i in range(3000)] + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted((i, "block" if i * 7 % 3 == 0 or i % 5 else "allow") for i, _ in rows if i is not None)
+    for rows_ in (10**6, 0):
+        urls.BROADCAST_ROWS = rows_
+        got = urls.judge(df, listed).collect()
+        assert sorted((r.page_id, r.verdict) for r in got if r.page_id is not None) == want and len(got) == len(rows)
+    urls.BROADCAST_ROWS = 100_000
+
+
 # -- toxicity
 
 

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a local master, and an error on others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='inkframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,21 +33,28 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/inkframe-{uuid.uuid4().hex}"
-        self.n = 0
+        self.made: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         """The rows of df, written once and read back: later plans start here, and lost executors don't lose it."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}/{len(self.made) + 1}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._inkframe_path = path
+        self.made.append(out)
         return out
 
+    def drop_since(self, mark: int, *kept: DataFrame) -> None:
+        """Deletes the tables made after the first mark ones, but for those kept."""
+        for df in self.made[mark:]:
+            if not any(df is k for k in kept):
+                self.drop(df)
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table that no later plan reads."""
         path = getattr(df, "_inkframe_path", None)
         if path:
+            df._inkframe_path = None
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -97,6 +97,7 @@ def doubled_ranks(lines: DataFrame, scratch: Scratch, longest: int) -> list[Data
 
 def repeated_runs(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     """(key, pos, length) of shortest long enough runs that also begin earlier. df has key, id, text."""
+    mark = len(scratch.made)
     lines = repeated_lines(df, scratch)
     ranks = doubled_ranks(lines, scratch, min_words)
     runs = scratch.cut(shortest_runs(lines, min_words))
@@ -112,6 +113,7 @@ def repeated_runs(df: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
     named = scratch.cut(named)
     place = F.struct("id", "key", "pos")
     first = scratch.cut(named.groupBy("length", "rank", "end_rank").agg(F.min(place).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1))
+    scratch.drop_since(mark, named, first)
     return spread_join(named, first, ["length", "rank", "end_rank"]).where(place != F.col("first")).select("key", "pos", "length")
 
 

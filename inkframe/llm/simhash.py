@@ -542,6 +542,7 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     A null id is ignored as a name. Null and empty texts and those without words are left out; repeated rows share a
     group; an empty table gives no rows; other columns are not looked at.
     """
+    mark = len(scratch.made)
     worded = df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S"))
     frequent, hot = frequent_shingles(worded, shingle, text_col)
     marked = _prefixed(worded.withColumn("text_hash", F.xxhash64(text_col)), shingle, similarity, frequent, text_col)
@@ -559,9 +560,9 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
         tried = scratch.cut(tried)
         alike = _verified(tried, bits, worded, shingle, similarity, text_col)
         links = alike if roots is None else alike.unionByName(roots.select(F.col("least").alias("u"), F.col("node").alias("v")))
-        before, roots = roots, scratch.cut(components(links, scratch))
-        scratch.drop(tried)
-        scratch.drop(before)
+        roots = scratch.cut(components(links, scratch))
+        scratch.drop_since(mark, marked, bits, met, roots)
+    scratch.drop_since(mark, marked, roots)
     placed = marked.select(id_col, "node").join(roots, "node", "left").select(id_col, F.coalesce("least", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min(id_col).alias("least"))
     return placed.join(names, "root").select(id_col, "least")

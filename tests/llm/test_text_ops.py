@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkframe.llm import bpe, decontaminate, media, queries, simhash, toxicity, urls, wordpiece
+from inkframe.llm.common import Scratch
 
 TEXT = st.text(st.sampled_from("aAbé ñ\n\t.,1'x𝒳日 "), max_size=60) | st.text(max_size=40).filter(lambda t: "\ud800" not in t and all(not 0xD800 <= ord(c) <= 0xDFFF for c in t))
 ODD = [None, "", " ", "\n\n", "a", "a" * 3000, "word " * 2000, "日本 " * 300, "it's IT'S", "x\u0000y"]
@@ -394,3 +395,56 @@ def test_toxicity_odd(spark, odd):
     assert len(rows) == odd.count() and {r.score for r in rows} == {0.0}
     one = spark.createDataFrame([(i, 1, 1) for i in range(20)] + [(3, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, one)).count() == odd.count()
+
+
+# -- odd rows through whole operators
+
+
+def test_simhash_odd(spark, odd):
+    """Null and empty texts have fingerprint zero and one component; repeated rows share theirs; null ids name nothing."""
+    got = simhash.near_duplicates(odd, Scratch(spark)).collect()
+    want = [simhash.fingerprints_of([t or ""])[0] for t in ODD]
+    assert len(got) == odd.count()
+    for r in got:
+        if r.doc_id is not None:
+            assert np.uint64(r.fp & (2**64 - 1)) == want[r.doc_id % len(ODD)] and r.component_id <= r.doc_id % len(ODD)
+    zero = {r.component_id for r in got if r.fp == 0}
+    assert zero == {0} and all(r.component_id is not None for r in got if r.doc_id is not None)
+    lone = [r for r in got if r.doc_id is None]
+    assert len(lone) == 1 and lone[0].component_id is None
+    assert simhash.near_duplicates(odd.limit(0), Scratch(spark)).count() == 0
+
+
+def test_decontaminate_odd(spark, odd):
+    """Repeated rows are judged alike, null ids stay, columns that clash with outputs are replaced."""
+    items = spark.createDataFrame([(1, "word " * 12), (2, None), (3, ""), (None, "a")], "item_id long, text string")
+    rows = odd.withColumnRenamed("fp", "items").withColumnRenamed("n_tokens", "n_words")
+    got = decontaminate.find_hits(rows, items).collect()
+    assert len(got) == odd.count() and all(isinstance(r.n_words, int) for r in got)
+    by_id = {}
+    for r in got:
+        if r.doc_id is not None:
+            by_id.setdefault(r.doc_id % len(ODD), []).append((r.n_words, tuple(r["items"])))
+    assert all(a == b for a, b in by_id.values()) and by_id[6][0] == (2000, ("1",)) and by_id[0][0] == (0, ())
+    assert decontaminate.find_hits(rows.limit(0), items).count() == 0
+
+
+def test_empty_tables(spark, odd):
+    vocabulary = queries._vocabulary()
+    assert wordpiece.token_counts(odd.limit(0), vocabulary).count() == 0 and media.media_columns(odd.limit(0)).count() == 0
+    assert wordpiece.token_counts(odd, vocabulary).count() == media.media_columns(odd).count() == odd.count()
+
+
+def test_toxicity_plain(spark):
+    """Scores of a fitted model against plain matching, with ties, repeated rows, long texts and clashing columns."""
+    m = toxicity.Model({"idiot": 5.0, "clown": 3.0, "clowns": 3.0}, ["clown fish"], [-3.0, 2.0, 0.5])
+    texts = ["you idiot", "a clown fish and clowns", "x " * 50_000 + "id10ts", "", None, "clown fishes", "idiot"] * 2
+    df = spark.createDataFrame([(None if i == 3 else i % 5, t, "old", "old") for i, t in enumerate(texts)], "doc_id long, text string, score string, predicted string")
+    got = toxicity.score(df, m).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        words = toxicity.fold(r.text or "").split()
+        spared = {i for i in range(len(words) - 1) if words[i : i + 2] == ["clown", "fish"]}
+        found = [max((w for t, w in m.weights.items() if x.startswith(t)), default=0) for i, x in enumerate(words) if i not in spared]
+        z = sum(a * b for a, b in zip(m.curve, toxicity.features(sum(found), len(words)), strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5) and r.toxic_hits == sum(x > 0 for x in found)

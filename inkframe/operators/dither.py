@@ -1,4 +1,4 @@
-"""Dithering and packing of many equal-size pages at once: numpy steps over places, all pages in lockstep."""
+"""Dithering and packing of many equal-size pages at once: numpy steps over skewed rows, all pages in lockstep."""
 
 from __future__ import annotations
 
@@ -45,24 +45,33 @@ def dither(pages: np.ndarray, algorithm: str, two_bit: bool = False) -> np.ndarr
         return out.astype(np.uint8)
     plane = pages.astype(np.float32)
     divisor, shares = KERNELS.get(algorithm, KERNELS["floyd"])
-    for y in range(h):
-        for x in range(w):
-            old = plane[:, y, x].astype(np.float64)
-            new = levels(old, two_bit)
-            plane[:, y, x] = new
-            err = old - new
-            if algorithm == "ostromoukhov":
-                v = np.clip(old, 0, 255)
-                low = v <= 128
-                t = np.where(low, v / 128.0, (v - 128) / 127.0)
-                ends = [(0.7, 0.3, 1, 0), (0.2, 0.4, -1, 1), (0.1, 0.3, 0, 1)]
-                parts = [(dx, dy, err * np.where(low, a * (1 - t) + b * t, b * (1 - t) + a * t)) for a, b, dx, dy in ends]
-            else:
-                e = err / divisor
-                parts = [(dx, dy, e * weight) for dx, dy, weight in shares]
-            for dx, dy, part in parts:
-                if 0 <= x + dx < w and y + dy < h:
-                    plane[:, y + dy, x + dx] = (plane[:, y + dy, x + dx].astype(np.float64) + part).astype(np.float32)
+    if algorithm == "ostromoukhov":
+        shares = [(1, 0, 0), (-1, 1, 0), (0, 1, 0)]
+    # Rows run in lockstep, each so far behind the one above that every place still gets its shares in the order of rows
+    # and columns, and no two places of a step share a target.
+    lag = 5 if max(abs(dx) for dx, _, _ in shares) == 2 else 3
+    for step in range(w + lag * (h - 1)):
+        y = np.arange(max(0, -(-(step - w + 1) // lag)), min(h, step // lag + 1))
+        x = step - lag * y
+        old = plane[:, y, x].astype(np.float64)
+        new = levels(old, two_bit)
+        plane[:, y, x] = new
+        err = old - new
+        if algorithm == "ostromoukhov":
+            v = np.clip(old, 0, 255)
+            low = v <= 128
+            t = np.where(low, v / 128.0, (v - 128) / 127.0)
+            ends = [(0.7, 0.3), (0.2, 0.4), (0.1, 0.3)]
+            parts = [err * np.where(low, a * (1 - t) + b * t, b * (1 - t) + a * t) for a, b in ends]
+        else:
+            e = err / divisor
+            parts = [e * weight for _, _, weight in shares]
+        for (dx, dy, _), part in zip(shares, parts, strict=True):
+            to_x, to_y = x + dx, y + dy
+            ok = (to_x >= 0) & (to_x < w) & (to_y < h)
+            if not ok.all():
+                to_x, to_y, part = to_x[ok], to_y[ok], part[:, ok]
+            plane[:, to_y, to_x] = (plane[:, to_y, to_x].astype(np.float64) + part).astype(np.float32)
     return np.clip(plane, 0, 255).astype(np.uint8)
 
 
@@ -95,22 +104,25 @@ def unpack(blob: bytes) -> tuple[int, int, np.ndarray]:
     return w, h, np.array([255, 170, 85, 0], np.uint8)[code].T[:, ::-1]
 
 
-def encode_pages(rasters: DataFrame, algorithm: str = "stucki", two_bit: bool = False, width: int = 8, id_col: str = "vec_id", gray_col: str = "gray") -> DataFrame:
-    """Adds page_blob to rasters whose gray column holds rows of `width` bytes; no shuffle."""
+def encode_pages(rasters: DataFrame, algorithm: str = "stucki", two_bit: bool = False, width: int = 8, id_col: str = "vec_id", gray_col: str = "gray", width_col: str | None = None) -> DataFrame:
+    """Adds page_blob to rasters whose gray column holds rows of `width` bytes, or of width_col's; no shuffle.
+
+    Null, empty and ragged rasters get a null blob; an empty table gives no rows; a column page_blob is replaced."""
     kept = rasters.drop("page_blob")
     schema = T.StructType(kept.schema.fields + [T.StructField("page_blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blobs: list[bytes | None] = [None] * b.num_rows
-            by_height: dict[int, list[tuple[int, bytes]]] = {}
-            for i, g in enumerate(b.column(b.schema.get_field_index(gray_col)).to_pylist()):
-                if g:
-                    by_height.setdefault(len(g) // width, []).append((i, g))
-            for h, some in by_height.items():
-                pages = np.frombuffer(b"".join(g[: h * width] for _, g in some), np.uint8).reshape(-1, h, width)
+            widths = b.column(b.schema.get_field_index(width_col)).to_pylist() if width_col else [width] * b.num_rows
+            by_size: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+            for i, (g, w) in enumerate(zip(b.column(b.schema.get_field_index(gray_col)).to_pylist(), widths, strict=True)):
+                if g and w and w > 0 and len(g) % w == 0:
+                    by_size.setdefault((len(g) // w, w), []).append((i, g))
+            for (h, w), some in by_size.items():
+                pages = np.frombuffer(b"".join(g for _, g in some), np.uint8).reshape(-1, h, w)
                 for (i, _), payload in zip(some, pack(dither(pages, algorithm, two_bit), two_bit), strict=True):
-                    blobs[i] = page_blob(payload, width, h, two_bit)
+                    blobs[i] = page_blob(payload, w, h, two_bit)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blobs, pa.binary())], names=[f.name for f in schema.fields])
 
     return kept.mapInArrow(run, schema)

@@ -173,3 +173,41 @@ def test_store_append(spark, tmp_path):
 def test_feed_odd(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no xml"), (4, "<rss><channel></channel></rss>")], "id int, xml string")
     assert feed.items(df, "xml").count() == 0
+
+
+def plain_dither(page, algorithm, two_bit):
+    """Place by place in the order of rows and columns."""
+    h, w = page.shape
+    plane = page.astype(np.float32)
+    divisor, shares = dither.KERNELS.get(algorithm, dither.KERNELS["floyd"])
+    for y in range(h):
+        for x in range(w):
+            old = np.float64(plane[y, x])
+            plane[y, x] = new = float(dither.levels(np.array(old), two_bit))
+            if algorithm == "ostromoukhov":
+                v = min(255.0, max(0.0, old))
+                t = v / 128.0 if v <= 128 else (v - 128) / 127.0
+                ends = [(0.7, 0.3, 1, 0), (0.2, 0.4, -1, 1), (0.1, 0.3, 0, 1)]
+                parts = [(dx, dy, (old - new) * (a * (1 - t) + b * t if v <= 128 else b * (1 - t) + a * t)) for a, b, dx, dy in ends]
+            else:
+                parts = [(dx, dy, (old - new) / divisor * weight) for dx, dy, weight in shares]
+            for dx, dy, part in parts:
+                if 0 <= x + dx < w and y + dy < h:
+                    plane[y + dy, x + dx] = np.float32(np.float64(plane[y + dy, x + dx]) + part)
+    return np.clip(plane, 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("algorithm", [*dither.KERNELS, "ostromoukhov", "other"])
+def test_dither_plain(algorithm):
+    r = np.random.default_rng(7)
+    for h, w in ((1, 1), (1, 9), (9, 1), (2, 3), (13, 7), (6, 17)):
+        pages = r.integers(0, 256, (3, h, w), np.uint8)
+        for two_bit in (False, True):
+            assert (dither.dither(pages, algorithm, two_bit) == np.stack([plain_dither(p, algorithm, two_bit) for p in pages])).all()
+
+
+def test_encode_odd(spark):
+    rows = [(1, 8, bytes(16)), (2, 5, bytes(16)), (3, 8, b""), (4, None, bytes(8)), (5, 8, None), (6, 4, bytes(16)), (1, 8, bytes(16))]
+    df = spark.createDataFrame([(*x, "old") for x in rows], "vec_id long, w int, gray binary, page_blob string")
+    got = [(x.vec_id, x.page_blob and dither.unpack(bytes(x.page_blob))[:2]) for x in dither.encode_pages(df, width_col="w").collect()]
+    assert sorted(got, key=str) == sorted([(1, (8, 2)), (2, None), (3, None), (4, None), (5, None), (6, (4, 4)), (1, (8, 2))], key=str)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import dither_sql
 from .functions import geometry as G
 from .functions import names as N
 from .functions import pixels as P
@@ -334,9 +335,10 @@ def _dithered(algorithm: str, two_bit: bool = False):
     return run
 
 
-for _k, _name in enumerate(dither.ALGORITHMS[1:], 2):
+for _name in dither.ALGORITHMS[1:]:
     QUERIES[f"di_{_name.replace('-', '_')}"] = _dithered(_name)
     QUERIES[f"di_{_name.replace('-', '_')}_2bit"] = _dithered(_name, True)
+ORACLE |= dither_sql.all_pages(PIXELS)
 
 
 # -- result store

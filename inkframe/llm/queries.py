@@ -117,4 +117,35 @@ u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM u),
 f AS (SELECT p.page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v, length(rh) + length(rp)) AS v FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.page_id)
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id""",
+    "op2_line_dedup": r"""WITH docs AS (SELECT DISTINCT doc_id AS id, text FROM documents WHERE text IS NOT NULL),
+t AS (SELECT row_number() OVER (ORDER BY id NULLS FIRST, text) AS key, id, text, string_split(text, chr(10)) AS lines FROM docs),
+l AS (SELECT key, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM t),
+n AS (SELECT key, pos, greatest(1, len(regexp_extract_all(line, '[^\s\x0B\p{Z}\x{85}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+|[\p{Han}\p{Hiragana}\p{Katakana}]{1,2}|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{1,4}'))) AS words FROM l),
+w AS (SELECT *, sum(words) OVER (PARTITION BY key ORDER BY pos) AS upto FROM n),
+ways AS (SELECT key, a.pos AS first, min(b.pos) AS last FROM w a JOIN w b USING (key) WHERE b.upto - (a.upto - a.words) >= 30 GROUP BY key, a.pos
+  UNION SELECT key, max(a.pos), b.pos FROM w a JOIN w b USING (key) WHERE b.upto - (a.upto - a.words) >= 30 GROUP BY key, b.pos),
+runs AS (SELECT key, first, last, array_to_string(lines[first:last], chr(10)) AS run FROM ways JOIN t USING (key)),
+later AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run, last - first ORDER BY key, first) > 1),
+gone AS (SELECT key, list(DISTINCT pos) AS gone FROM (SELECT key, unnest(range(first, last + 1)) AS pos FROM later) GROUP BY key),
+cut AS (SELECT id, text, len(lines) AS n_lines, coalesce(len(gone), 0) AS n_removed, array_to_string(list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)) AS kept FROM t LEFT JOIN gone USING (key))
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN cut ON d.doc_id IS NOT DISTINCT FROM cut.id AND d.text = cut.text""",
+    "op6_decontaminate": r"""WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM items WHERE len(w) > 0)),
+places AS (SELECT r, size, k, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT r, k, p.size, item_id FROM places p JOIN windows i ON p.size = i.size AND p.phrase = i.phrase),
+hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS pos FROM (SELECT DISTINCT r, k, size FROM found)) GROUP BY r),
+held AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (r) LEFT JOIN held USING (r)""",
+    "op9_repeats": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, unnest(range(1, octet_length(b) - 198)) AS s, unnest(list_transform(range(1, octet_length(b) - 198), lambda i: array_slice(b, i, i + 199))) AS string FROM d WHERE octet_length(b) >= 200),
+again AS (SELECT unnest(places, recursive := true) FROM (SELECT list({'r': r, 's': s}) AS places FROM s GROUP BY string HAVING count(*) > 1)),
+runs AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT r, min(s) AS first, max(s) + 199 AS last FROM runs GROUP BY r, run),
+marks AS (SELECT r, list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts, CAST(sum(last - first + 1) AS BIGINT) AS n_removed FROM spans GROUP BY r),
+ends AS (SELECT d.r, doc_id, b, n_removed, [1] || list_transform(coalesce(lasts, []), lambda x: x + 1) AS starts, coalesce(firsts, []) || [octet_length(b) + 1] AS stops FROM d LEFT JOIN marks USING (r))
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, len(stops) - 1 AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(stops) + 1), lambda i: CASE WHEN stops[i] > starts[i] THEN hex(array_slice(b, starts[i], stops[i] - 1)) ELSE '' END), ''))) AS kept_sha256 FROM ends""",
 }

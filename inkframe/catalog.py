@@ -393,5 +393,5 @@ def bench_order_books(spark, sf_dir):
     return li.groupBy("l_orderkey").agg(F.count("*").alias("pages"), F.sum(G.page_size(w, h)).alias("bytes"), F.sum(G.output_page_count(w, h)).alias("outputs"))
 
 
-# registers its queries here
-from . import catalog_books  # noqa: E402, F401
+# register their queries here
+from . import catalog_books, catalog_files  # noqa: E402, F401

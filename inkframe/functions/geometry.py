@@ -84,6 +84,11 @@ def orientation_angle(orientation: Column) -> Column:
     return F.when(orientation == "landscape", 90).otherwise(0)
 
 
+def frame_angle(orientation: Column, w: Column, h: Column) -> Column:
+    """The turn of a video frame: tall frames are never turned."""
+    return F.when(w >= h, orientation_angle(orientation)).otherwise(0)
+
+
 def wide_halves(w: Column, h: Column, overlap: int = 40) -> Column:
     """Left and right halves of a wide page with some overlap; a tall page stays whole."""
     mid = F.floor(w / 2).cast("int")

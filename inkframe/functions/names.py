@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Extensions by kind.
 KINDS = {"cbz": ["cbz"], "cbr": ["cbr"], "pdf": ["pdf"], "xtc": ["xtc", "xtch"]}
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif"]
+# Extensions that each kind of input takes.
+INPUTS = {"pdf": ["pdf"], "image": IMAGES, "video": ["mp4", "webm", "mkv", "avi", "mov"], "xtc": ["xtc", "xtch", "xtg", "xth"], "comic": ["cbz", "cbr"]}
 
 
 def extension(name: Column) -> Column:
@@ -26,6 +28,28 @@ def is_page_image(path: Column) -> Column:
     return path.rlike(rf"(?i)\.({'|'.join(IMAGES)})$") & ~F.lower(path).startswith("__macos")
 
 
+def input_kind(name: Column) -> Column:
+    """The kind of input that takes a file of this name; null if none does. The dot must be there."""
+    return F.coalesce(*[F.when(name.rlike(rf"(?i)\.({'|'.join(exts)})$"), kind) for kind, exts in INPUTS.items()])
+
+
+def container_extension(two_bit: Column) -> Column:
+    return F.when(two_bit, "xtch").otherwise("xtc")
+
+
+def part_name(name: Column, part: Column, ext: Column) -> Column:
+    """The name of a part, counted from 1, of a split file."""
+    return F.concat(output_name(name, ""), F.lit("_part"), part.cast("string"), F.lit("."), ext)
+
+
+def merged_name(ext: Column) -> Column:
+    return F.concat(F.lit("merged."), ext)
+
+
+def edited_name(name: Column, two_bit: Column) -> Column:
+    return F.concat(output_name(name, ""), F.lit("_edited."), container_extension(two_bit))
+
+
 def output_name(name: Column, suffix: str) -> Column:
     return F.regexp_replace(name, r"\.[^/.]+$", suffix)
 

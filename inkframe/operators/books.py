@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import struct
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .dither import decode_pages
 from .paging import manifest, merge_offsets
 
 
@@ -35,6 +39,45 @@ def same_type(files: DataFrame) -> DataFrame:
     return found.select("set_id", error.isNull().alias("valid"), "type", error.alias("error"))
 
 
+def merge_output(kind: Column, wanted: Column) -> Column:
+    """What a merge of files of this type puts out: containers become what is wanted (xtc or cbz), others stay as they are;
+    null for types that can't be merged."""
+    return F.when(kind == "xtc", F.when(wanted == "cbz", "cbz").otherwise("xtc")).when(kind.isin("cbz", "pdf"), kind)
+
+
+def first_of_folders(pages: DataFrame) -> DataFrame:
+    """(book, folder, first): the first page of each last folder; pages at the top count for none. pages has book, page_no,
+    path."""
+    return pages.withColumn("folder", N.folder_title(F.col("path"))).where(F.col("folder").isNotNull()).groupBy("book", "folder").agg(F.min("page_no").alias("first"))
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """(book, page_blob) of each book's first page, as it is stored on its own. pages has book, page_no, page_blob."""
+    return pages.groupBy("book").agg(F.min_by("page_blob", "page_no").alias("page_blob"))
+
+
+def archive_entries(pages: DataFrame) -> DataFrame:
+    """(book, name, png): encoded pages as images of an archive, named by page; pages that don't decode keep their number
+    and give a null png. No shuffle. pages has book, page_no, page_blob."""
+    decoded = decode_pages(pages.select("book", "page_no", "page_blob"))
+    name = F.concat(F.lpad(F.col("page_no").cast("string"), 5, "0"), F.lit(".png"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [png_of(g, w, h) if g is not None else None for w, h, g in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["book", "name", "png"])
+
+    kind = pages.schema["book"].dataType.simpleString()
+    return decoded.select("book", name.alias("name"), "width", "height", "gray").mapInArrow(run, f"book {kind}, name string, png binary")
+
+
+def png_of(gray: bytes, w: int, h: int) -> bytes:
+    """A gray image of 8 bits; every row goes without a filter."""
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + gray[y * w : y * w + w] for y in range(h))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
 def continued(files: DataFrame, base: Column) -> DataFrame:
     """Adds toc_offset: the pages of the files just before, as long as they have the same base name. files has set_id,
     file_idx, page_count; a set is one batch of chosen files."""

@@ -128,6 +128,32 @@ def encode_pages(rasters: DataFrame, algorithm: str = "stucki", two_bit: bool =
     return kept.mapInArrow(run, schema)
 
 
+def decode_pages(pages: DataFrame) -> DataFrame:
+    """Adds width, height, gray (rows of bytes) and error to pages with a page_blob; no shuffle.
+
+    Blobs that don't decode, null ones included, say so in error; columns of these names are replaced."""
+    made = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("gray", T.BinaryType()), T.StructField("error", T.StringType())]
+    kept = pages.drop(*[f.name for f in made])
+    schema = T.StructType(kept.schema.fields + made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_decoded(x) for x in b.column(b.schema.get_field_index("page_blob")).to_pylist()]
+            new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)] if rows else []
+            if new:
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[f.name for f in schema.fields])
+
+    return kept.mapInArrow(run, schema)
+
+
+def _decoded(blob: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None]:
+    try:
+        w, h, gray = unpack(blob or b"")
+        return w, h, np.ascontiguousarray(gray).tobytes(), None
+    except ValueError:
+        return None, None, None, "not an encoded page"
+
+
 def rasters_of(embeddings: DataFrame) -> DataFrame:
     """vec_id and its 8 x 8 grays as bytes."""
     from ..functions.pixels import gray_of

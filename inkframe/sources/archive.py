@@ -41,6 +41,20 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("page_no", F.row_number().over(Window.partitionBy("book").orderBy("entry_path")))
 
 
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """(book, entry_path, content, page_no) of the images in folders, a folder a book, numbered in the order of paths.
+
+    Only images are opened, and paths alone are sorted. Spark passes over empty files.
+    """
+    glob = "*.{" + ",".join(x for e in IMAGES for x in (e, e.upper())) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).withColumnRenamed("path", "entry_path")
+    from pyspark.sql import Window
+
+    placed = files.select("entry_path", F.regexp_replace("entry_path", "/[^/]*$", "").alias("book"))
+    placed = placed.withColumn("page_no", F.row_number().over(Window.partitionBy("book").orderBy("entry_path")))
+    return files.select("entry_path", "content").join(placed, "entry_path").select("book", "entry_path", "content", "page_no")
+
+
 def write_archive(images: list[bytes], ext: str = "png") -> bytes:
     """A zip with entries 00001.ext, 00002.ext, ..."""
     out = io.BytesIO()

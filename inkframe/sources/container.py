@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZES = (128, 64, 32, 16)
@@ -57,6 +57,17 @@ def parse(raw: bytes) -> tuple[dict, list[tuple[str, int, int]], list[bytes]]:
     return info, toc, pages
 
 
+def page_count(head: Column) -> Column:
+    """How many pages a container has, by the first bytes of its header; null for other bytes."""
+    low, high = (F.conv(F.hex(F.substring(head, i, 1)), 16, 10).cast("int") for i in (7, 8))
+    return F.when(F.hex(F.substring(head, 1, 3)) == F.lit(b"XTC".hex()), low + 256 * high)
+
+
+def page_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(book, page_count) of containers; no page is sliced, and null stands for files that are none. Spark passes over empty files."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("book"), page_count(F.substring("content", 1, 8)).alias("page_count"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(book, page_no, page_blob, error) of containers; a broken file gives one row with error."""
 

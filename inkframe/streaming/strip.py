@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,5 +50,6 @@ def settled_queries(events: DataFrame, gap: str = "800 milliseconds") -> DataFra
 
 
 def last_page(pages: DataFrame, book: str) -> DataFrame:
-    w = Window.partitionBy(book).orderBy(F.desc("page_no"))
-    return pages.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Each book's page of the greatest page_no."""
+    rest = F.struct(*[F.col(c) for c in pages.columns if c != book])
+    return pages.groupBy(book).agg(F.max_by(rest, "page_no").alias("_x")).select(book, "_x.*")

@@ -9,6 +9,8 @@ columns named like an output are replaced.
 from __future__ import annotations
 
 import base64
+from array import array
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -19,7 +21,7 @@ from .common import map_text
 
 NONE = np.int32(2**31 - 1)
 OUTPUTS = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
-#: Longer pieces are merged alone, with block minima in place of a full row scan for each merge.
+#: Longer pieces are merged alone, from a heap in place of a full row scan for each merge.
 LONG_PIECE = 192
 LONG_TEXT = 1_000_000
 MAX_CACHE = 400_000
@@ -50,6 +52,11 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def as_dict(self) -> dict[int, int]:
+        """The same for one key at a time: left id in the upper 32 bits, right id in the lower."""
+        held = self.values != NONE
+        return dict(zip(self.keys[held].tolist(), self.values[held].tolist(), strict=True))
+
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Values, NONE where absent. A negative id pairs with nothing."""
         shape = left.shape
@@ -83,6 +90,7 @@ class Bpe:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.cache: dict[str, bytes] = {}
+        self.rank_of: dict[int, int] | None = None
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece; pieces are merged by length bucket."""
@@ -136,37 +144,37 @@ class Bpe:
             rank[has, at[has] - 1] = self.pairs.get(ids[has, at[has] - 1], best[has])
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """The same merges for one long piece: neighbours are linked, and least ranks are kept by block."""
-        n = len(ids)
-        ids = ids.copy()
-        block = max(16, int(n**0.5))
-        size = -(-n // block) * block
-        rank = np.full(size, NONE, np.int32)
-        rank[: n - 1] = self.pairs.get(ids[:-1], ids[1:])
-        least = rank.reshape(-1, block).min(1)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = np.ones(n, bool)
-
-        def put(i: int, a: int, b: int) -> None:
-            rank[i] = self.pairs.get(np.array([a]), np.array([b]))[0] if b >= 0 else NONE
-
-        while True:
-            b = int(least.argmin())
-            if least[b] == NONE:
-                return ids[alive]
-            i = b * block + int(rank[b * block : (b + 1) * block].argmin())
+        """The same merges for one long piece: neighbours are linked, and pairs wait in a heap by rank, then place."""
+        if self.rank_of is None:
+            self.rank_of = self.pairs.as_dict()
+        n, of = len(ids), self.rank_of
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        at = np.flatnonzero(rank != NONE)
+        # one number holds rank and place; entries whose pair has since changed are passed over
+        heap = ((rank[at].astype(np.int64) << 32) | at).tolist()
+        heapify(heap)
+        known = array("i", np.append(rank, NONE).astype(np.int32).tobytes())
+        token, nxt, prev = array("i", ids.astype(np.int32).tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        none = int(NONE)
+        while heap:
+            r, i = divmod(heappop(heap), 1 << 32)
+            if known[i] != r:
+                continue
             j = nxt[i]
-            ids[i], alive[j], rank[j] = rank[i], False, NONE
+            token[i], token[j], known[j] = r, -1, none
             k = nxt[i] = nxt[j]
+            known[i] = none
             if k < n:
                 prev[k] = i
-            put(i, int(ids[i]), int(ids[k]) if k < n else -1)
-            touched = {b, j // block}
+                known[i] = new = of.get((r << 32) | token[k], none)
+                if new != none:
+                    heappush(heap, (new << 32) | i)
             if (p := prev[i]) >= 0:
-                put(p, int(ids[p]), int(ids[i]))
-                touched.add(p // block)
-            for x in touched:
-                least[x] = rank[x * block : (x + 1) * block].min()
+                known[p] = new = of.get((token[p] << 32) | r, none)
+                if new != none:
+                    heappush(heap, (new << 32) | p)
+        out = np.frombuffer(token, np.int32)
+        return out[out >= 0]
 
     def _ids(self, pieces: list[list[str]]) -> list[bytes]:
         cache = self.cache

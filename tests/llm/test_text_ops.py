@@ -448,3 +448,12 @@ def test_toxicity_plain(spark):
         found = [max((w for t, w in m.weights.items() if x.startswith(t)), default=0) for i, x in enumerate(words) if i not in spared]
         z = sum(a * b for a, b in zip(m.curve, toxicity.features(sum(found), len(words)), strict=True))
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5) and r.toxic_hits == sum(x > 0 for x in found)
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "etaoin", " ", "0123456789", "éüß日本", "-=_."])
+def test_bpe_long_pieces_of_few_letters(coder, reference_coder, alphabet):
+    """Pieces too long for a matrix row, with the least pair in many places."""
+    r = random.Random(7)
+    for n in (193, 194, 400, 5000):
+        text = "".join(r.choice(alphabet) for _ in range(n))
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == reference_coder.encode_ordinary(text)

@@ -280,9 +280,10 @@ def _counted(crowd: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
 
 def covers(df: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(key, marks): gram places (at) and how far left (l) and right (r) of the gram repeated strings reach.
+    """(key, marks): byte ranges (lo, hi) that together are all repeated strings. df has key and text.
 
-    df has key and text.
+    Ranges whose grams begin less than a gram apart touch, so those of a cell are one: a text that is one long run, with a
+    trigger at each byte, still has no more ranges than cells.
     """
     side = length - GRAM
     found = parse(df, length)
@@ -295,7 +296,10 @@ def covers(df: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     phrases = scratch.cut(_phrases(df, wanted, length))
     crowd = phrases.where(F.col("members") > MAX_PAIRED)
     out = whole.unionByName(_compared(phrases, length)).unionByName(_counted(crowd, length, scratch))
-    out = scratch.cut(out.groupBy("key").agg(F.collect_set(F.struct("at", "l", "r")).alias("marks")))
+    ranges = out.select("key", F.floor(F.col("at") / GRAM).alias("cell"), F.greatest(F.col("at") - F.col("l"), F.lit(0)).alias("lo"), (F.col("at") + GRAM + F.col("r")).alias("hi"))
+    # both groupings are by key, or finer: one shuffle
+    joined = ranges.repartition("key").groupBy("key", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = scratch.cut(joined.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
     for gone in (again, met, dictionary, phrases):
         scratch.drop(gone)
     return out
@@ -324,7 +328,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch, length: int = 200, id_col: s
 
 def cut_out(raw: bytes, marks: list[dict]) -> tuple[int, int, int, bytes]:
     spans: list[list[int]] = []
-    for lo, hi in sorted((max(0, m["at"] - m["l"]), min(len(raw), m["at"] + GRAM + m["r"])) for m in marks):
+    for lo, hi in sorted((m["lo"], min(len(raw), m["hi"])) for m in marks):
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], hi)
         else:

@@ -68,3 +68,13 @@ def test_every_string_holds_a_trigger(monkeypatch):
     raw = bytes(r.choice(b"abcdef ghi") for _ in range(3000))
     at = repeats.Parser(200).of([raw])[1]
     assert all(((at >= s) & (at <= s + 100)).any() for s in range(len(raw) - 199))
+
+
+def test_runs_have_few_ranges(spark):
+    """A text with a trigger at each byte, and one that repeats a block: a range a cell, not one a byte."""
+    texts = ["a" * 50_000, "x" + "a" * 300 + "y", ("0123456789" * 9 + "-") * 400, "b" * 199]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = repeats.covers(df.select(repeats.row_key("doc_id", "text").alias("key"), "text"), 200, Scratch(spark)).selectExpr("max(size(marks)) AS n").first().n
+    assert 0 < marks <= 500
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in repeats.remove_repeats(df, Scratch(spark)).collect())
+    assert got == [(i, *w) for i, w in enumerate(plain(texts))]

@@ -83,11 +83,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[list]]], chunk_bytes: int = 2_000_000) -> DataFrame:
+def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], chunk_bytes: int = 2_000_000, also: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns computed from a text column (null as empty), Arrow batch by Arrow batch; no shuffle.
 
     make() runs in each task and returns a function from some texts to the new columns' values; it gets at most
-    chunk_bytes of text at once (or one longer text), so memory doesn't grow with the batch.
+    chunk_bytes of text at once (or one longer text), so memory doesn't grow with the batch. Lists of the columns in also
+    follow the texts.
     """
     names = [f.name for f in fields]
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names} or c == text_col])
@@ -105,7 +106,7 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], make: Ca
             for lo, hi in chunks(column, chunk_bytes):
                 part = batch.slice(lo, hi - lo)
                 texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
-                made = [pa.array(v, type=t) for v, t in zip(work(texts), arrow, strict=True)]
+                made = [pa.array(v, type=t) for v, t in zip(work(texts, *[part.column(part.schema.get_field_index(c)).to_pylist() for c in also]), arrow, strict=True)]
                 old = [(part.schema.field(i), part.column(i)) for i in range(part.num_columns) if not (drop_text and i == at)]
                 yield pa.RecordBatch.from_arrays([c for _, c in old] + made, names=[f.name for f, _ in old] + names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lines, media, repeats, simhash, toxicity, urls, wordpiece
+from . import bpe, decontaminate, licenses, lines, media, middle, periodic, repeats, simhash, topk, toxicity, urls, wordpiece
 from .common import Scratch, table
 
 # Rules as (host, path, verdict).
@@ -85,6 +85,31 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "path", "n_headers", "license", F.round("similarity", 4).alias("similarity"), "inherited_from")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the contract's runs of known place: one document in ten, by a hash of its id
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("loop"))
+    done = periodic.periodic_runs(docs, loop_col="loop")
+    # the first of those with the greatest length / period, compared without rounding
+    best = F.reduce("runs", F.lit(None).cast(periodic.RUN), lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return done.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), middle.draws(F.col("doc_id"), 7))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, Scratch(spark))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +127,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_top_k": op13_top_k,
     "pipeline": pipeline,
 }
 
@@ -148,4 +176,29 @@ marks AS (SELECT r, list(first ORDER BY first) AS firsts, list(last ORDER BY fir
 ends AS (SELECT d.r, doc_id, b, n_removed, [1] || list_transform(coalesce(lasts, []), lambda x: x + 1) AS starts, coalesce(firsts, []) || [octet_length(b) + 1] AS stops FROM d LEFT JOIN marks USING (r))
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, len(stops) - 1 AS n_spans,
   sha256(unhex(array_to_string(list_transform(range(1, len(stops) + 1), lambda i: CASE WHEN stops[i] > starts[i] THEN hex(array_slice(b, starts[i], stops[i] - 1)) ELSE '' END), ''))) AS kept_sha256 FROM ends""",
+    "op11_periodic_runs": r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT *, len(w) AS n, flatten(list_transform(range(1, length(id) + 1), lambda i: [CAST(ascii(substr(id, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM t),
+h AS (SELECT *, xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h FROM b),
+g AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM g),
+x AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+same AS (SELECT a.r, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+part AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+runs AS (SELECT r, first AS start, length, min(q) AS period FROM (SELECT r, q, min(i) AS first, count(*) + q AS length FROM part GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)) GROUP BY r, first, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+every AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN every USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)""",
+    "op12_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_top_k": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5""",
 }

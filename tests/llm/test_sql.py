@@ -15,7 +15,7 @@ from inkframe.llm import licenses, queries
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)

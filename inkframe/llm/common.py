@@ -77,6 +77,22 @@ def spread_join(rows: DataFrame, counted: DataFrame, on: list[str], hot: int = 1
     return salted.join(split, [*on, "_salt"]).drop("_salt", "_hot")
 
 
+def hot_keys(rows: DataFrame, on: list[str], scratch: Scratch, hot: int = 10_000) -> DataFrame:
+    """The keys of over hot rows, and over a 10,000th of all; so at most 10,000."""
+    least = max(hot, rows.count() // 10_000)
+    return scratch.cut(rows.groupBy(*on).count().where(F.col("count") > least).select(*on))
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame, parts: int = 64) -> DataFrame:
+    """rows joined with keyed, a table with one row a key; rows of the keys in hot (see hot_keys) are dealt over parts tasks."""
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    split = keyed.join(marked, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(parts)).cast("int")
+    salted = rows.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), own).otherwise(0)).drop("_hot")
+    return salted.join(split, [*on, "_salt"]).drop("_salt")
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that an operator is about to add, so that clashing names are replaced."""
     low = {n.lower() for n in names}

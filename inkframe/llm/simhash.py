@@ -15,8 +15,8 @@ name, and its row has the component of its fingerprint; columns named like an ou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_text
+from .common import Scratch, dealt_join, hot_keys, map_text
 from .components import components
 
 SEED = 42
@@ -391,9 +391,8 @@ def _apart_by(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity)
 
 
-def _by_cell(rows: DataFrame, key: str, work, schema: str, most: int | None = None) -> DataFrame:
-    """work(columns of whole cells) in each task, rows sorted by key; it gives lists of columns. A cell of over most rows,
-    where that is given, may come in parts."""
+def _by_cell(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """work(columns of whole cells) in each task, rows sorted by key; it gives lists of columns."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -410,8 +409,6 @@ def _by_cell(rows: DataFrame, key: str, work, schema: str, most: int | None = No
             t = pa.Table.from_batches(held)
             cell = t[key].to_numpy()
             cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            if most and len(cell) - cut > most:
-                cut = len(cell)
             if cut:
                 yield from done(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
@@ -421,32 +418,49 @@ def _by_cell(rows: DataFrame, key: str, work, schema: str, most: int | None = No
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _met(tokens: DataFrame, similarity: float, hot: list[int]) -> DataFrame:
-    """The rows of cells with several members, one of which leads. Rows of hot shingles pass without being gathered."""
-
-    def work(t):
-        cell, size, rest = t["cell"].to_numpy(), t["size"].to_numpy(), t["rest"].to_numpy()
+def met_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of cells with several members, one of which leads. Rows come by cell, those that lead first, in batches of
+    any size: a cell that goes on in the next batch keeps its state, and only one row is held back."""
+    held: pa.RecordBatch | None = None
+    going: tuple[int, bool] | None = None  # a cell of which rows have gone out or been left out, and which of these
+    for b in chain(batches, [None]):
+        if b is not None and not b.num_rows:
+            continue
+        parts = [x for x in (held, b) if x is not None]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        cell, leads = t["cell"].to_numpy(), t["leads"].to_numpy(zero_copy_only=False)
         begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         members = np.diff(np.append(begin, len(cell)))
-        leads = (1 + similarity) * rest + EPS >= 2 * similarity * size
-        use = np.repeat((members > 1) & np.logical_or.reduceat(leads, begin), members)
-        yield [t[c].to_numpy()[use] for c in ("cell", "node", "size", "rest")]
+        use = (members > 1) & leads[begin]
+        if going and going[0] == cell[0]:
+            use[0] = going[1]
+        every = np.repeat(use, members)
+        n = len(cell) if b is None else len(cell) - 1
+        going = (cell[n], every[n]) if n and b is not None and cell[n] == cell[n - 1] else going if not n else None
+        held = None if b is None else t.slice(n)
+        if n:
+            yield t.slice(0, n).filter(pa.array(every[:n])).select(["cell", "node", "size", "rest"])
 
-    if not hot:
-        return _by_cell(tokens, "cell", work, "cell long, node long, size int, rest int", 100_000)
-    is_hot = F.col("cell").isin(hot)
-    return _by_cell(tokens.where(~is_hot), "cell", work, "cell long, node long, size int, rest int", 100_000).unionByName(tokens.where(is_hot))
+
+def _met(tokens: DataFrame, similarity: float, hot: list[int]) -> DataFrame:
+    """The rows of cells with several members, one of which leads. Rows of hot shingles pass without being gathered."""
+    is_hot = F.col("cell").isin(hot) if hot else F.lit(False)
+    rows = tokens.where(~is_hot).withColumn("leads", _leads(similarity))
+    met = rows.repartition("cell").sortWithinPartitions("cell", F.desc("leads")).mapInArrow(met_rows, "cell long, node long, size int, rest int")
+    return met.unionByName(tokens.where(is_hot)) if hot else met
 
 
-def _pivot_pairs(met: DataFrame, similarity: float, k: int) -> DataFrame:
+def _pivot_pairs(met: DataFrame, similarity: float, k: int, hot_cells: DataFrame) -> DataFrame:
     """(u, v) of each cell's pivot of round k, one of the members that lead, and all others that can have the similarity."""
     mix = F.xxhash64(F.col("node"), F.lit(k), F.pmod("cell", F.lit(PIVOTS)))
     pivot = met.where(_leads(similarity)).groupBy("cell").agg(F.min(F.struct(mix.alias("mix"), "node", "size", "rest")).alias("p"))
-    each = met.select("cell", F.struct("node", "size", "rest").alias("m")).join(pivot, "cell").where(F.col("m.node") != F.col("p.node"))
+    each = dealt_join(met.select("cell", F.struct("node", "size", "rest").alias("m")), pivot, ["cell"], hot_cells).where(F.col("m.node") != F.col("p.node"))
     return each.where(_meets(F.col("m"), F.col("p"), similarity)).select(F.least("m.node", "p.node").alias("u"), F.greatest("m.node", "p.node").alias("v"))
 
 
-def _open_pairs(met: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float, block: int) -> DataFrame:
+def _open_pairs(met: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float, block: int, hot_cells: DataFrame) -> DataFrame:
     """(u, v) of all pairs of cells that have different roots, pass the bounds and whose fingerprints are near enough.
 
     A cell of over block members is cut into blocks, and every two blocks meet, so no task holds a larger part of one.
@@ -455,7 +469,7 @@ def _open_pairs(met: DataFrame, roots: DataFrame, bits: DataFrame, similarity: f
     cells = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("lo < hi")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = rooted.join(cells.select("cell", "blocks"), "cell").withColumn("own", own).withColumn("other", other)
+    placed = dealt_join(rooted, cells.select("cell", "blocks"), ["cell"], hot_cells).withColumn("own", own).withColumn("other", other)
     key = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
     rows = placed.select(key.alias("key"), "node", "root", "size", "rest", "own", (F.col("own") == F.col("other")).alias("inner"))
     words = [f"b{i}" for i in range(WORDS)]
@@ -527,7 +541,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return met.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
 
-def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 2048, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity: float = 0.8, max_cell: int = 2048, max_dealt: int = 10_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, least) of rows with words: the least id that each reaches over links of texts with that Jaccard similarity.
 
     Exact: every pair with the similarity is joined, and every link has been compared shingle by shingle. Texts with equal
@@ -537,7 +551,9 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     the fingerprints' bits, and those by no more than the sets.
 
     Each cell first tries one member with all others, twice, and what is alike is joined; then all pairs of a cell that are
-    still apart are tried, in blocks of max_cell. So a large group of like texts costs no square of its size.
+    still apart are tried, in blocks of max_cell. So a large group of like texts costs no square of its size. Members of a
+    cell of over max_dealt are dealt over several tasks; neither number changes the groups. Hashes of 64 bits stand for
+    shingles, sets and texts.
 
     A null id is ignored as a name. Null and empty texts and those without words are left out; repeated rows share a
     group; an empty table gives no rows; other columns are not looked at.
@@ -550,18 +566,19 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     bits = scratch.cut(marked.groupBy("node").agg(F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     tokens = bits.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("cell", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
     met = scratch.cut(_met(tokens, similarity, hot))
+    hot_cells = hot_keys(met, ["cell"], scratch, max_dealt)
     roots = None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            tried = _near(_pivot_pairs(met, similarity, k).distinct(), bits, similarity)
+            tried = _near(_pivot_pairs(met, similarity, k, hot_cells).distinct(), bits, similarity)
             tried = _apart(tried, roots) if roots is not None else tried
         else:
-            tried = _open_pairs(met, roots, bits, similarity, max_cell).distinct()
+            tried = _open_pairs(met, roots, bits, similarity, max_cell, hot_cells).distinct()
         tried = scratch.cut(tried)
         alike = _verified(tried, bits, worded, shingle, similarity, text_col)
         links = alike if roots is None else alike.unionByName(roots.select(F.col("least").alias("u"), F.col("node").alias("v")))
         roots = scratch.cut(components(links, scratch))
-        scratch.drop_since(mark, marked, bits, met, roots)
+        scratch.drop_since(mark, marked, bits, met, hot_cells, roots)
     scratch.drop_since(mark, marked, roots)
     placed = marked.select(id_col, "node").join(roots, "node", "left").select(id_col, F.coalesce("least", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min(id_col).alias("least"))

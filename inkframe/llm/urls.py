@@ -6,7 +6,8 @@ their own block; what passes goes to an exact hash join on (host, path), which r
 wins. All is DataFrame work. A filter of a list within a bound is one broadcast row of arrays, probed in the url's own
 row: then only urls with a possible hit are shuffled. A larger filter is a table of blocks that probes are joined with.
 
-Null urls and those without :// have an empty host and path, and only entries with an empty host or path could fit
+Of a host only as many labels and characters are looked at as the list's longest host has, so a url of any length costs
+its own length. Null urls and those without :// have an empty host and path, and only entries with an empty host or path could fit
 them. Equal entries with two verdicts: allow wins. Repeated rows are judged alike; an empty list leaves the default
 verdict everywhere; an empty table gives no rows; columns named like an output are replaced.
 """
@@ -72,10 +73,18 @@ def packed_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
     return rows.select(*[F.col(f"blocks.w{i}").alias(f"_w{i}") for i in range(LANES)])
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """What could be listed for a url: (rule_host, rule_path) of its host and parents with the prefixes of those lengths."""
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, lengths: list[int], most_labels: int, most_chars: int) -> Column:
+    """What could be listed for a url: (rule_host, rule_path) of its host and parents with the prefixes of those lengths.
+
+    Listed hosts have at most so many labels and characters, so only that much of a host's end is cut into labels; longer
+    parents can't be listed.
+    """
+    labels = F.split(F.substring(host, -(most_chars + 1), most_chars + 1), r"\.")
+    # where the host's end isn't all of it, its first label isn't whole
+    whole = F.length(host) <= most_chars + 1
+    n = F.size(labels)
+    first = F.greatest(F.when(whole, 1).otherwise(2), n - F.lit(most_labels - 1))
+    parents = F.when(first <= n, F.transform(F.sequence(first, F.greatest(first, n)), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda k: k <= F.length(path))
     return F.flatten(F.transform(parents, lambda h: F.transform(fits, lambda k: F.struct(h.alias("rule_host"), F.substring(path, F.lit(1), k).alias("rule_path")))))
 
@@ -91,7 +100,8 @@ def judge(df: DataFrame, listed: DataFrame, url_col: str = "url", default: str =
     n_blocks = max(1, -(-n // entries_per_block))
     # at most as many as a path has characters
     lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
-    could = candidates(F.col("host"), F.col("path"), lengths)
+    labels, chars = listed.agg(F.max(F.size(F.split("host", r"\."))), F.max(F.length("host"))).first()
+    could = candidates(F.col("host"), F.col("path"), lengths, labels, chars)
     exact = listed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "listed_verdict")
     rh, rp = F.col("rule_host"), F.col("rule_path")
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,34 @@ def test_similar_groups_hot_shingle(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value)
     assert groups() == want == [(i, 0) for i in range(300)]
     assert simhash.similar_groups(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_met_rows_in_parts():
+    """No row of a cell with several members, one of which leads, is lost, however rows fall into batches."""
+    r = random.Random(4)
+    for trial in range(300):
+        rows = []
+        for cell in range(r.randrange(1, 6)):
+            n, lead = r.choice([1, 1, 2, 3, 5, 12]), r.choice([0, 1, 20])
+            rows += [(cell, 100 * cell + i, 9, 5, i < lead) for i in range(n)]
+        size = r.choice([1, 2, 3, 5, 50])
+        table = pa.table({c: [x[i] for x in rows] for i, c in enumerate(("cell", "node", "size", "rest", "leads"))})
+        batches = [b for at in range(0, len(rows), size) for b in table.slice(at, size).to_batches()] + [table.slice(0, 0).to_batches()[0] if table.slice(0, 0).to_batches() else table.to_batches()[0].slice(0, 0)]
+        got = [x["node"] for b in simhash.met_rows(batches) for x in b.to_pylist()]
+        assert got == [n for c, n, *_ in rows if sum(x[0] == c for x in rows) > 1 and any(x[4] for x in rows if x[0] == c)]
+    assert list(simhash.met_rows([])) == []
+
+
+def test_similar_groups_lone_leader_in_parts(spark):
+    """Large cells cut into batches of 5 rows, members dealt over tasks: groups are those of all pairs."""
+    r = random.Random(17)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = [(i, " ".join(base[:60] + [f"x{i}"] + base[60:])) for i in range(150)]
+    rows += [(200 + i, " ".join(base[:25] + [f"y{i}n{k}" for k in range(300)])) for i in range(40)]  # share few shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {x.doc_id: x.least for x in simhash.similar_groups(df, Scratch(spark), max_cell=16, max_dealt=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: 0 if i < 200 else i for i, _ in rows}

@@ -351,6 +351,20 @@ def test_odd_urls(spark):
     assert urls.judge(df.limit(0), lists).count() == 0
 
 
+def test_very_long_urls(spark):
+    """Hosts of very many labels, of one very long label, and long paths: only as much as the list can hold is cut up."""
+    many = ".".join(f"l{i}" for i in range(200_000))
+    listed = [("b.c", "/x", "block"), ("c", "/x/", "allow"), ("", "/z", "block"), ("l199999", "/", "block"), ("x" * 3 + ".b.c", "/x/long", "allow")]
+    found = [f"http://{many}.b.c/x/y", f"http://{many}/" + "p/" * 100_000, "http://" + "a" * 300_000 + "/x", "http://" + "." * 100_000 + "c/x/y", "http://" + "a." * 50_000 + "/z", "http:///z", "http://a/z", "http://xxx.b.c/x/long", "http://yxxx.b.c/x/long", "http://w.xxx.b.c/x/long", "http://.b.c/x"]
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    lists = spark.createDataFrame(listed, "host string, path string, verdict string")
+    for broadcast_rows in (100_000, 0):
+        urls.BROADCAST_ROWS = broadcast_rows
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, lists).collect()}
+        assert got == {i: plain_judge(u, listed)[2:] for i, u in enumerate(found)}
+    urls.BROADCAST_ROWS = 100_000
+
+
 def test_long_url_list(spark):
     """Lists of more entries than a block holds, in canonical form, with either kind of filter."""
     n = 100_001

@@ -394,4 +394,4 @@ def bench_order_books(spark, sf_dir):
 
 
 # register their queries here
-from . import catalog_books, catalog_files  # noqa: E402, F401
+from . import catalog_books, catalog_files, catalog_io  # noqa: E402, F401

@@ -198,6 +198,38 @@ def ge8_convert_cropped(spark, sf_dir):
     return pages_of(spark, sf_dir, size=(6, 6), horizontal=12.5, vertical=12.5, sideways=True, portrait=True, dithering="ordered")
 
 
+GAMMA2 = "CAST(floor(pow(g / 255.0::DOUBLE, 2.0) * 255 + 0.5) AS INTEGER)"
+CODE = f"(CASE WHEN {GAMMA2} >= 212 THEN 0 WHEN {GAMMA2} >= 127 THEN 1 WHEN {GAMMA2} >= 42 THEN 2 ELSE 3 END)"
+
+
+@query(f"""WITH r AS (SELECT vec_id, y, printf('%02x', CAST(sum(CASE WHEN g >= 128 THEN 1 << (7 - x) ELSE 0 END) AS INTEGER)) AS byte FROM ({PIXELS}) GROUP BY ALL),
+p AS (SELECT vec_id, string_agg(byte, '' ORDER BY y) AS payload FROM r GROUP BY vec_id)
+SELECT vec_id, 0 AS out_idx, 'portrait' AS kind, {_blob(8, 8, "payload")} AS blob FROM p""")
+def px5_gamma_one_bit(spark, sf_dir):
+    return pages_of(spark, sf_dir, size=(8, 8), portrait=True, dithering="none", gamma=2.0)
+
+
+@query(f"""WITH c AS (SELECT vec_id, 7 - x AS col, CAST(sum(({CODE} >> 1) << (7 - y)) AS INTEGER) AS one, CAST(sum(({CODE} & 1) << (7 - y)) AS INTEGER) AS two FROM ({PIXELS}) GROUP BY ALL),
+p AS (SELECT vec_id, string_agg(printf('%02x', two), '' ORDER BY col) || string_agg(printf('%02x', one), '' ORDER BY col) AS payload, string_agg(printf('%02x', xor(one, two)), '' ORDER BY col) AS digest FROM c GROUP BY vec_id)
+SELECT vec_id, 0 AS out_idx, 'portrait' AS kind, '585448000800080000' || '0010000000' || digest || payload AS blob FROM p""")
+def px5_gamma_two_bit(spark, sf_dir):
+    return pages_of(spark, sf_dir, size=(8, 8), portrait=True, dithering="none", gamma=2.0, two_bit=True)
+
+
+@query(f"""WITH r AS (SELECT vec_id, y + 2 AS y, printf('%04x', CAST(sum(CASE WHEN g >= 128 THEN 1 << (15 - 3 - x) ELSE 0 END) AS INTEGER)) AS line FROM ({PIXELS}) GROUP BY ALL),
+p AS (SELECT vec_id, '00000000' || string_agg(line, '' ORDER BY y) || '00000000' AS payload FROM r GROUP BY vec_id)
+SELECT vec_id, 0 AS out_idx, 'single' AS kind, '58544700' || '0e000c00' || '0000' || '18000000' || payload[1:16] || payload AS blob FROM p""")
+def ge6_crop_larger_page(spark, sf_dir):
+    return pages_of(spark, sf_dir, size=(14, 12), split="nosplit", single="crop", dithering="none")
+
+
+@query(f"""WITH r AS (SELECT vec_id, y, printf('%02x', CAST(sum(CASE WHEN g >= 128 THEN 1 << (7 - (x - 1)) ELSE 0 END) AS INTEGER)) AS byte FROM ({PIXELS}) WHERE x BETWEEN 1 AND 6 GROUP BY ALL),
+p AS (SELECT vec_id, '00' || string_agg(byte, '' ORDER BY y) || '00' AS payload FROM r GROUP BY vec_id)
+SELECT vec_id, 0 AS out_idx, 'single' AS kind, '58544700' || '06000a00' || '0000' || '0a000000' || payload[1:16] || payload AS blob FROM p""")
+def ge6_crop_narrow_page(spark, sf_dir):
+    return pages_of(spark, sf_dir, size=(6, 10), split="nosplit", single="crop", dithering="none", pad_black=False)
+
+
 def pages_of(spark, sf_dir, **options) -> DataFrame:
     return raster.convert(grays(spark, sf_dir), ["vec_id"], **options).select("vec_id", "out_idx", "kind", F.lower(F.hex("page_blob")).alias("blob"))
 
@@ -227,10 +259,30 @@ def sk5_container_chunks(spark, sf_dir):
     return books.container_chunks(encoded(spark, sf_dir)).select("book", "seq", "offset", F.length("chunk").alias("bytes"))
 
 
-@query()
+SHRUNK = ", ".join(f"CAST(255 - CASE WHEN white > black THEN round_even(greatest(0, least(255, ({c} - black) / (white - black)::DOUBLE * 255)), 0) ELSE {c} END AS INTEGER) AS {c}" for c in ("r", "gg", "b"))
+STITCHED = f"""WITH RECURSIVE p AS ({RGB}), h AS (SELECT vec_id, {LUMA} AS l, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT vec_id, l, sum(n) OVER (PARTITION BY vec_id ORDER BY l) AS below, sum(n) OVER (PARTITION BY vec_id ORDER BY l DESC) AS above FROM h),
+e AS (SELECT vec_id, coalesce(min(l) FILTER (below >= 64 * 12 / 100.0), 0) AS black, coalesce(max(l) FILTER (above >= 64 * 39 / 100.0), 255) AS white FROM c GROUP BY vec_id),
+s AS (SELECT p.vec_id, x, y, {SHRUNK} FROM p JOIN e ON p.vec_id = e.vec_id),
+g AS (SELECT vec_id, x, y, CAST(round_even(0.299::DOUBLE * r + 0.587::DOUBLE * gg + 0.114::DOUBLE * b, 0) AS INTEGER) AS g FROM s),
+k AS (SELECT vec_id, label AS book, 8 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS top FROM embeddings),
+rows_ AS (SELECT book, top + y AS y, sum(g) AS s1, sum(g * g) AS s2, printf('%02x', CAST(sum(CASE WHEN g >= 128 THEN 1 << (7 - x) ELSE 0 END) AS INTEGER)) AS byte FROM g JOIN k ON g.vec_id = k.vec_id GROUP BY ALL),
+tops AS (SELECT book, y AS top, count(*) OVER w AS high, (sum(s2) OVER w) / 96.0::DOUBLE - pow((sum(s1) OVER w) / 96.0::DOUBLE, 2) < 25 AS solid FROM rows_ WINDOW w AS (PARTITION BY book ORDER BY y ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+walk(book, n, top) AS (SELECT DISTINCT book, 0, CAST(0 AS BIGINT) FROM k UNION ALL SELECT w.book, n + 1, w.top + CASE WHEN solid THEN 12 ELSE 9 END FROM walk w JOIN tops t ON w.book = t.book AND w.top = t.top AND high = 12),
+cut AS (SELECT w.book, n, w.top, high = 12 AND solid AS solid FROM walk w JOIN tops t ON w.book = t.book AND w.top = t.top),
+paged AS (SELECT c.book, n, any_value(solid) AS solid, rpad(string_agg(byte, '' ORDER BY y), 24, 'f') AS payload FROM cut c JOIN rows_ r ON c.book = r.book AND r.y >= c.top AND r.y < c.top + 12 GROUP BY c.book, n)
+SELECT book, CAST(n AS INTEGER) AS slice_no, solid, '5854470008000c0000000c000000' || payload[1:16] || payload AS blob FROM paged"""
+STITCH = {"size": (8, 12), "overlap": 25, "contrast": 4, "invert": True, "gamma": 2.0}
+
+
+def strip_pages(spark, sf_dir) -> DataFrame:
+    pages = rgb(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("book")), "vec_id")
+    return paging.number_pages(pages, "book", "vec_id").drop("vec_id")
+
+
+@query(STITCHED)
 def st1_stitch(spark, sf_dir):
-    pages = grays(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("book")), "vec_id").withColumnRenamed("vec_id", "page_no")
-    return raster.stitch(pages, (8, 12), overlap=25).select("book", "slice_no", "solid", F.lower(F.hex("page_blob")).alias("blob"))
+    return raster.stitch(strip_pages(spark, sf_dir), **STITCH).select("book", "slice_no", "solid", F.lower(F.hex("page_blob")).alias("blob"))
 
 
 # -- links and feeds

@@ -9,8 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import names as N
+from ..sources import container
+from ..sources.ranged import write_chunks
 from .dither import decode_pages
 from .paging import manifest, merge_offsets
 
@@ -143,21 +146,67 @@ def toc_move(toc: DataFrame, idx: int, by: int) -> DataFrame:
 # -- containers
 
 
-def container_chunks(pages: DataFrame, two_bit: bool = False) -> DataFrame:
+META = "title string, author string, publisher string, language string, create_time long, cover int, two_bit boolean"
+
+
+def container_chunks(pages: DataFrame, two_bit: bool = False, meta: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
     """(book, seq, offset, chunk): a book's container as chunks in order, header with index first, then each page.
 
-    pages has book, page_no, page_blob. No row holds more than an index (16 bytes a page, 65,535 pages at most) or a page,
-    so a sink that appends chunks by seq streams a book of any size.
+    pages has book, page_no, page_blob; meta a row a book with any columns of META (two_bit counts before the argument);
+    toc has book, idx, title, start, end. No row holds more than a head (16 bytes a page, 96 a chapter, 65,535 of each at
+    most) or a page, so a sink that appends chunks by seq streams a book of any size. Books of more pages or chapters end
+    the query. Books without pages have no container; a null blob is an empty page.
     """
-    sized = pages.withColumn("size", F.length("page_blob").cast("long"))
+    blob = F.coalesce("page_blob", F.lit(b""))
+    sized = pages.select("book", "page_no", blob.alias("page_blob"), F.length(blob).cast("long").alias("size"))
+    index = sized.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_no", "size", F.substring("page_blob", 5, 4).alias("shape")))).alias("entries"))
+    names = [x.split()[0] for x in META.split(", ")]
+    known = [c for c in names if meta is not None and c in meta.columns]
+    fields = F.struct(*[(F.col(c) if c in known else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in META.split(", "))]).alias("meta")
+    index = index.join(meta.select("book", fields), "book", "left") if meta is not None else index.withColumn("meta", F.lit(None).cast(f"struct<{META.replace(' ', ': ')}>".replace(",:", ",")))
+    if toc is not None:
+        index = index.join(toc.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("idx", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("toc")), "book", "left")
+    else:
+        index = index.withColumn("toc", F.lit(None).cast("array<struct<idx: int, title: string, start: int, end: int>>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                entries, m, chapters = (b.column(k)[i].as_py() for k in (1, 2, 3))
+                m = m or {}
+                made = container.head(
+                    [(e["size"], (e["shape"] or b"").ljust(4, b"\0")) for e in entries], two_bit if m.get("two_bit") is None else m["two_bit"],
+                    tuple(m.get(c) for c in names[:4]), [(c["title"], c["start"], c["end"]) for c in chapters or []], m.get("create_time") or 0, 0xFFFF if m.get("cover") is None else m["cover"],
+                )
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([made], pa.binary()), pa.array([len(made) - 48 - 16 * len(entries)])], names=["book", "chunk", "more"])
+
+    kind = pages.schema["book"].dataType.simpleString()
+    heads = index.select("book", "entries", "meta", "toc").mapInArrow(run, f"book {kind}, chunk binary, more long")
     placed = manifest(sized)
-    # an index entry: offset and size as little-endian numbers, then width and height from the page's own header
-    little = lambda n, width: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(width)])
-    entry = F.concat(little(F.col("offset"), 8), little(F.col("size"), 4), F.substring("page_blob", 5, 4))
-    head = struct.pack("<HH", 1, 0)[:2]
-    index = placed.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_no", entry.alias("entry")))).alias("entries"), F.count("*").alias("n"))
-    magic = F.lit(bytearray((b"XTCH" if two_bit else b"XTC\0") + head))
-    joined = F.unhex(F.array_join(F.transform("entries", lambda e: F.hex(e["entry"])), ""))
-    front = F.concat(magic, little(F.col("n"), 2), F.lit(bytearray(16)), F.lit(bytearray(struct.pack("<Q", 48))), little(48 + 16 * F.col("n"), 8), F.lit(bytearray(8)), joined)
-    top = index.select("book", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset"), front.alias("chunk"))
+    if meta is not None or toc is not None:
+        placed = placed.join(heads.select("book", "more"), "book").withColumn("offset", F.col("offset") + F.col("more"))
+    top = heads.select("book", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset"), "chunk")
     return top.unionByName(placed.select("book", F.col("page_no").cast("long").alias("seq"), "offset", F.col("page_blob").alias("chunk")))
+
+
+def write_containers(pages: DataFrame, path: str, two_bit: bool = False, meta: DataFrame | None = None, toc: DataFrame | None = None) -> None:
+    """Writes a container file a book, named by the book with .xtc or .xtch, below a folder that all tasks can reach.
+
+    Heads come first and pages stream behind them; files appear whole when the job commits.
+    """
+    chunks = container_chunks(pages, two_bit, meta, toc)
+    deep = F.lit(two_bit)
+    if meta is not None and "two_bit" in meta.columns:
+        chunks = chunks.join(meta.select("book", F.col("two_bit").alias("_deep")), "book", "left")
+        deep = F.coalesce("_deep", deep)
+    write_chunks(chunks.select(F.concat(F.col("book").cast("string"), F.lit("."), N.container_extension(deep)).alias("name"), "seq", "chunk"), path)
+
+
+def stream_containers(pages: DataFrame, path: str, checkpoint: str, two_bit: bool = False) -> StreamingQuery:
+    """Starts a stream that writes the books of each batch; a book's pages must come in one batch. pages is a stream of book,
+    page_no, page_blob. A batch that is repeated after a failure replaces its own files."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        write_containers(df, path, two_bit)
+
+    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()

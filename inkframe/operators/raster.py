@@ -58,6 +58,22 @@ def tone(rgb: np.ndarray, contrast: float = 0, gamma: float = 1.0, invert: bool
     return gray.astype(np.uint8)
 
 
+def strip_tone(rgb: np.ndarray, contrast: float = 0, gamma: float = 1.0, invert: bool = False) -> np.ndarray:
+    """Grays of a strip's page: stretch of each channel, gamma, inversion, then gray. Every step rounds, halves to even but
+    for gamma."""
+    v = rgb.astype(np.int64)
+    if contrast > 0:
+        black, white = contrast_points(rgb, contrast)
+        if white > black:
+            v = np.rint(np.clip((v - black) / (white - black) * 255, 0, 255)).astype(np.int64)
+    if gamma != 1.0:
+        v = np.floor(np.power(np.arange(256) / 255, gamma) * 255 + 0.5).astype(np.int64)[v]
+    if invert:
+        v = 255 - v
+    r, g, b = np.moveaxis(v.astype(np.float64), 2, 0)
+    return np.rint(0.299 * r + 0.587 * g + 0.114 * b).astype(np.uint8)
+
+
 def tone_by_table(rgb: np.ndarray, contrast: float = 0, gamma: float = 1.0, invert: bool = False) -> np.ndarray:
     """The compiled variant: gray first, then a table in single precision; contrast is a slope about the middle."""
     f = np.float32
@@ -98,16 +114,22 @@ def place(a: np.ndarray, fit: tuple[int, int, int, int], w: int, h: int, pad: in
     return page
 
 
-def render(raster: np.ndarray, pages: list[dict], size: tuple[int, int], contrast: float, gamma: float, invert: bool, dithering: str, two_bit: bool, pad_black: bool) -> list[bytes]:
-    """The encoded pages of one image by its plan. All of them are dithered in lockstep."""
+def render(raster: np.ndarray, pages: list[dict], size: tuple[int, int], contrast: float, gamma: float, invert: bool, dithering: str, two_bit: bool, pad_black: bool, crop: bool = False) -> list[bytes]:
+    """The encoded pages of one image by its plan. All of them are dithered in lockstep.
+
+    Gamma counts at two bits only. With crop, what a single image does not cover stays black before the tone filters,
+    whatever the padding.
+    """
     w, h = size
+    gamma = gamma if two_bit else 1.0
     grays = []
     for p in pages:
         part = raster[p["cy"] + p["y"] : p["cy"] + p["y"] + p["sh"], p["cx"] + p["x"] : p["cx"] + p["x"] + p["sw"]]
         part = np.rot90(part, -1) if p["turn"] == 90 else part
         if not part.size:
             part = np.full((1, 1, 3), 0 if pad_black else 255, np.uint8)
-        grays.append(tone(place(part, (p["fx"], p["fy"], p["fw"], p["fh"]), w, h, 0 if pad_black else 255), contrast, gamma, invert))
+        pad = 0 if pad_black or (crop and p["kind"] == "single") else 255
+        grays.append(tone(place(part, (p["fx"], p["fy"], p["fw"], p["fh"]), w, h, pad), contrast, gamma, invert))
     return [page_blob(x, w, h, two_bit) for x in pack(dither(np.stack(grays), dithering, two_bit), two_bit)] if grays else []
 
 
@@ -127,7 +149,7 @@ def convert(images: DataFrame, id_cols: list[str], *, size: tuple[int, int], con
                 row = {c: b.column(b.schema.get_field_index(c))[i].as_py() for c in ("w", "h", "data", "plan")}
                 try:
                     pages = row["plan"] or []
-                    blobs = render(raster_of(row["data"], row["w"], row["h"]), pages, size, contrast, gamma, invert, dithering, two_bit, pad_black)
+                    blobs = render(raster_of(row["data"], row["w"], row["h"]), pages, size, contrast, gamma, invert, dithering, two_bit, pad_black, plan.get("single") == "crop")
                     made, error = [(k, p["kind"], x) for k, (p, x) in enumerate(zip(pages, blobs, strict=True))], None
                 except ValueError as e:
                     made, error = [(None, None, None)], str(e)
@@ -139,51 +161,75 @@ def convert(images: DataFrame, id_cols: list[str], *, size: tuple[int, int], con
     return rows.mapInArrow(run, schema)
 
 
+class Strip:
+    """A book's pages scaled to one width and joined, of which full slices leave the top.
+
+    A solid slice is passed whole, another up to the overlap (percent; 0 counts as 50). What is left is height x width
+    grays, so a strip can be put away as bytes and taken up again.
+    """
+
+    def __init__(self, size: tuple[int, int], overlap: int, contrast: float, gamma: float, invert: bool, dithering: str, two_bit: bool, pad_black: bool):
+        self.size, self.overlap, self.pad = size, overlap or 50, 0 if pad_black else 255
+        self.tone, self.dithering, self.two_bit = (contrast, gamma if two_bit else 1.0, invert), dithering, two_bit
+        self.start()
+
+    def start(self, rows: bytes = b"", slices: int = 0) -> None:
+        self.rows, self.slices = np.frombuffer(rows, np.uint8).reshape(-1, self.size[0]), slices
+
+    def append(self, data: bytes, width: int, height: int) -> list[tuple[int, bool, bytes]]:
+        """(slice_no, solid, page_blob) of the slices that are full with this page; none for one that is no raster."""
+        w, h = self.size
+        try:
+            raster = raster_of(data, width, height)
+        except ValueError:
+            return []
+        high = int(height * (w / width))
+        if high < 1:
+            return []
+        self.rows = np.concatenate([self.rows, strip_tone(resize_box(raster, w, high), *self.tone)])
+        out = []
+        while len(self.rows) >= h:
+            top = self.rows[:h]
+            solid = bool(top.std() < 5)
+            out.append(self.encoded(top, solid))
+            self.rows = self.rows[h if solid else h - h * self.overlap // 100 :]
+        return out
+
+    def finish(self) -> list[tuple[int, bool, bytes]]:
+        """The last slice, padded below; none if nothing is left."""
+        if not len(self.rows):
+            return []
+        page = np.full((self.size[1], self.size[0]), self.pad, np.uint8)
+        page[: len(self.rows)] = self.rows
+        self.rows = self.rows[:0]
+        return [self.encoded(page, False)]
+
+    def encoded(self, page: np.ndarray, solid: bool) -> tuple[int, bool, bytes]:
+        self.slices += 1
+        return self.slices - 1, solid, page_blob(pack(dither(page[None], self.dithering, self.two_bit), self.two_bit)[0], *self.size, self.two_bit)
+
+
 def stitch(pages: DataFrame, size: tuple[int, int], overlap: int = 50, contrast: float = 0, gamma: float = 1.0, invert: bool = False, dithering: str = "none", two_bit: bool = False, pad_black: bool = False, book: str = "book") -> DataFrame:
     """(book, slice_no, solid, page_blob) of books whose pages are one long strip. pages has page_no, width, height, data.
 
-    Pages are scaled to the target's width and joined; full slices leave the strip's top. A solid slice is passed whole,
-    another up to the overlap (percent; 0 counts as 50); what is left at a book's end is padded below. A book's pages
-    arrive in order in one task, which holds one strip of less than a slice and a page. Pages that are no rasters are
-    passed over; an empty table gives no rows.
+    A book's pages arrive in order in one task, which holds one strip of less than a slice and a page, as each slice
+    depends on what is left of the one before; what is left at a book's end is padded below. Gamma counts at two bits
+    only. Pages that are no rasters are passed over; an empty table gives no rows.
     """
-    w, h = size
     kind = pages.schema[book].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, strip, n = None, np.empty((0, w), np.uint8), 0
-
-        def encoded(page: np.ndarray) -> bytes:
-            return page_blob(pack(dither(page[None], dithering, two_bit), two_bit)[0], w, h, two_bit)
-
-        def ends() -> list[tuple]:
-            if not len(strip):
-                return []
-            page = np.full((h, w), 0 if pad_black else 255, np.uint8)
-            page[: len(strip)] = strip
-            return [(now, n, False, encoded(page))]
-
+        now, strip = None, Strip(size, overlap, contrast, gamma, invert, dithering, two_bit, pad_black)
         for b in batches:
             out = []
             for key, pw, ph, data in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if key != now:
-                    out += ends()
-                    now, strip, n = key, np.empty((0, w), np.uint8), 0
-                try:
-                    raster = raster_of(data, pw, ph)
-                except ValueError:
-                    continue
-                if int(ph * (w / pw)) < 1:
-                    continue
-                strip = np.concatenate([strip, tone(resize_box(raster, w, int(ph * (w / pw))), contrast, gamma if two_bit else 1.0, invert)])
-                while len(strip) >= h:
-                    top = strip[:h]
-                    solid = bool(top.std() < 5)
-                    out.append((now, n, solid, encoded(top)))
-                    n += 1
-                    strip = strip[h if solid else h - h * (overlap or 50) // 100 :]
+                    out += [(now, *x) for x in strip.finish()]
+                    now = key
+                    strip.start()
+                out += [(now, *x) for x in strip.append(data, pw, ph)]
             yield from made(out)
-        yield from made(ends())
+        yield from made([(now, *x) for x in strip.finish()])
 
     def made(out: list[tuple]) -> Iterator[pa.RecordBatch]:
         if out:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIFETIME = "INTERVAL '4:30' HOUR TO MINUTE"
+LIFETIME_MS = 270 * 60_000
 
 
 def stored(events: DataFrame) -> DataFrame:

@@ -1,60 +1,361 @@
-"""Zip archives of page images as a data source: one partition an archive, one row an entry."""
+"""Zip archives of page images: entries by the central directory, merges and splits that copy compressed bytes.
+
+The directory is read from a file's tail; a large archive is cut into slices of bytes, and each task reads only the
+members that begin in its slice.
+"""
 
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from ..functions.names import IMAGES
+from .ranged import Ranged, SlicedReader, register, write_chunks
 
+STORED, DEFLATED = 0, 8
+SCHEMAS = {
+    "directory": "book string, entry_path string, method int, flags int, crc long, packed_bytes long, bytes long, offset long, error string",
+    "contents": "book string, entry_path string, method int, flags int, crc long, packed_bytes long, bytes long, offset long, content binary, error string",
+    "members": "book string, entry_path string, method int, flags int, crc long, packed_bytes long, bytes long, offset long, packed binary, error string",
+}
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(book, entry_path, content, page_no) of images in archives; folders, junk and other files are skipped.
 
-    Spark reads the archives, so any store it knows will do. A broken archive gives one row with error.
+class BadEntry(ValueError):
+    """An entry that can't be read; the others can."""
+
+
+def tail(file: Ranged) -> list[dict]:
+    """The entries of a central directory; ValueError if there is none."""
+    span = min(file.size, 65_557)
+    raw = file.at(file.size - span, span)
+    at = raw.rfind(b"PK\5\6")
+    if at < 0 or at + 22 > len(raw):
+        raise ValueError("not a zip archive")
+    n, size, begin = struct.unpack_from("<HII", raw, at + 10)
+    end = file.size - span + at
+    if n == 0xFFFF or size == 0xFFFFFFFF or begin == 0xFFFFFFFF:
+        where = file.at(end - 20, 20)
+        if where[:4] == b"PK\6\7":
+            end = struct.unpack_from("<Q", where, 8)[0]
+            n, size, begin = struct.unpack_from("<QQQ", file.at(end, 56), 32)
+    # bytes before the archive move all offsets
+    shift = end - size - begin
+    raw, at, out = file.at(begin + shift, size), 0, []
+    for _ in range(n):
+        if raw[at : at + 4] != b"PK\1\2" or at + 46 > len(raw):
+            raise ValueError(f"the directory ends after {len(out)} of {n} entries")
+        flags, method = struct.unpack_from("<HH", raw, at + 8)
+        crc, packed, whole, name, extra, comment = struct.unpack_from("<IIIHHH", raw, at + 16)
+        offset = struct.unpack_from("<I", raw, at + 42)[0]
+        path = raw[at + 46 : at + 46 + name].decode("utf-8" if flags & 0x800 else "cp437", "replace")
+        more, long_ = raw[at + 46 + name : at + 46 + name + extra], {}
+        while len(more) >= 4:
+            kind, length = struct.unpack_from("<HH", more)
+            if kind == 1:
+                long_ = list(struct.unpack(f"<{min(length, len(more) - 4) // 8}Q", more[4 : 4 + min(length, len(more) - 4) // 8 * 8]))
+            more = more[4 + length :]
+        whole, packed, offset = (long_.pop(0) if v == 0xFFFFFFFF and long_ else v for v in (whole, packed, offset))
+        out.append({"entry_path": path, "method": method, "crc": crc, "packed_bytes": packed, "bytes": whole, "offset": offset + shift, "flags": flags})
+        at += 46 + name + extra + comment
+    return out
+
+
+def packed_bytes(file: Ranged, entry: dict) -> bytes:
+    """The stored bytes of a member, behind its local header."""
+    local = file.at(entry["offset"], 30)
+    if len(local) < 30 or local[:4] != b"PK\3\4":
+        raise BadEntry("no local header")
+    name, extra = struct.unpack_from("<HH", local, 26)
+    raw = file.at(entry["offset"] + 30 + name + extra, entry["packed_bytes"])
+    if len(raw) < entry["packed_bytes"]:
+        raise BadEntry("ends behind the file")
+    return raw
+
+
+def unpacked(raw: bytes, entry: dict) -> bytes:
+    """A member's content, tested by length and checksum."""
+    if entry["flags"] & 1:
+        raise BadEntry("encrypted")
+    if entry["method"] not in (STORED, DEFLATED):
+        raise BadEntry(f"method {entry['method']} is not supported")
+    try:
+        out = raw if entry["method"] == STORED else zlib.decompressobj(-15).decompress(raw, entry["bytes"] + 1)
+    except zlib.error as e:
+        raise BadEntry(str(e)) from e
+    if len(out) != entry["bytes"] or zlib.crc32(out) != entry["crc"]:
+        raise BadEntry("length or checksum differ")
+    return out
+
+
+class ArchiveReader(SlicedReader):
+    def __init__(self, options: dict):
+        self.what = options.get("what", "contents")
+        if self.what not in SCHEMAS:
+            raise ValueError(f"what must be one of {', '.join(SCHEMAS)}")
+        super().__init__(options, (".cbz", ".zip"), whole=self.what == "directory")
+
+    def read(self, partition):
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        columns = [x.split() for x in SCHEMAS[self.what].split(", ")]
+        held, size = [], 0
+        for row in self.rows(partition) if partition.path else ():
+            held.append({"book": partition.path} | row)
+            size += len(row.get("content") or row.get("packed") or b"") + 128
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], kinds[t]) for n, t in columns], names=[n for n, _ in columns])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], kinds[t]) for n, t in columns], names=[n for n, _ in columns])
+
+    def rows(self, part) -> Iterator[dict]:
+        try:
+            file = Ranged(part.path)
+            entries = tail(file)
+        except (ValueError, OSError, struct.error) as e:
+            if part.low == 0:
+                yield {"error": str(e)}
+            return
+        for e in entries:
+            name = e["entry_path"]
+            # an offset outside of the file belongs to the last slice
+            if not part.low <= min(max(e["offset"], 0), file.size) < part.high or name.endswith("/") or name.lower().startswith("__macos") or name.lower().rpartition(".")[2] not in IMAGES:
+                continue
+            if self.what == "directory":
+                yield e
+                continue
+            try:
+                raw = packed_bytes(file, e)
+                yield e | ({"packed": raw} if self.what == "members" else {"content": unpacked(raw, e)})
+            except (BadEntry, ValueError, OSError) as fault:
+                yield e | {"error": str(fault)}
+
+
+class Archives(DataSource):
+    """Format inkframe_archives: what = directory, contents or members of the archives below a path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "inkframe_archives"
+
+    def schema(self) -> str:
+        return SCHEMAS[self.options.get("what", "contents")]
+
+    def reader(self, schema):
+        return ArchiveReader(self.options)
+
+
+def archives(spark: SparkSession, path: str, what: str = "contents", slice_bytes: int | None = None) -> DataFrame:
+    """The images in archive files (.cbz, .zip), read by ranges of bytes: their directory entries, with contents, or with the
+    packed bytes.
+
+    Folders, junk and other files are skipped. A file that is no archive gives one row with error, and so does an entry
+    that is damaged, encrypted, cut off or of an unknown method; the others come through. A filter on book decides
+    which files are opened. An empty folder gives no rows.
     """
+    register(spark, Archives)
+    reader = spark.read.format("inkframe_archives").option("path", path).option("what", what)
+    return (reader.option("slice", slice_bytes) if slice_bytes else reader).load()
+
+
+def in_collation(path: Column) -> Column:
+    """What paths are sorted by: the order of letters in the root locale, not of their codes."""
+    return F.collate(path, "UNICODE")
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
 
-        names = ["book", "entry_path", "content", "error"]
+def numbered(rows: DataFrame, book: str = "book", path: str = "entry_path") -> DataFrame:
+    """Adds page_no, an entry's place in its book by collated path; entries of equal paths by offset. Rows with a null path have
+    none. Only keys and paths should come here: a book's names pass through one task."""
+    last = [F.col("offset")] if "offset" in rows.columns else []
+    w = Window.partitionBy(book).orderBy(F.col(path).isNull(), in_collation(F.col(path)), F.col(path), *last)
+    return rows.withColumn("page_no", F.when(F.col(path).isNotNull(), F.row_number().over(w)))
+
+
+def members(placed: DataFrame, packed: bool = False, block: int = 64) -> DataFrame:
+    """Adds content (or the packed bytes) and error to rows of directories, with whatever columns they have: each task reads
+    the members of its rows by ranges, so no content passes a shuffle. Blocks of so many neighbours are read by a task."""
+    what = "packed" if packed else "content"
+    kept = [c for c in placed.columns if c not in (what, "error")]
+    names = ["book", "offset", "packed_bytes", "bytes", "crc", "method", "flags"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file = None, None
         for b in batches:
-            for book, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in names]
+            got, faults, begin, size = [], [], 0, 0
+            for i, row in enumerate(zip(*cols, strict=True)):
+                e = dict(zip(names, row, strict=True))
+                raw, fault = None, None
                 try:
-                    z = zipfile.ZipFile(io.BytesIO(raw))
-                except zipfile.BadZipFile as e:
-                    yield pa.RecordBatch.from_pydict({"book": [book], "entry_path": [None], "content": pa.array([None], pa.binary()), "error": [str(e)]})
-                    continue
-                for info in z.infolist():
-                    name = info.filename
-                    if not info.is_dir() and not name.lower().startswith("__macos") and name.lower().rpartition(".")[2] in IMAGES:
-                        yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([name]), pa.array([z.read(name)], pa.binary()), pa.array([None], pa.string())], names=names)
+                    if e["book"] != path:
+                        path, file = e["book"], Ranged(e["book"])
+                    raw = packed_bytes(file, e)
+                    raw = raw if packed else unpacked(raw, e)
+                except (ValueError, OSError) as x:
+                    raw, fault = None, str(x)
+                got.append(raw)
+                faults.append(fault)
+                size += len(raw or b"")
+                if size > 4 << 20 or i + 1 == b.num_rows:
+                    part = b.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary()), pa.array(faults, pa.string())], names=[*b.schema.names, what, "error"])
+                    got, faults, begin, size = [], [], i + 1, 0
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInArrow(run, "book string, entry_path string, content binary, error string")
-    from pyspark.sql import Window
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema.fields)
+    near = placed.select(*kept).repartition("book", F.floor(F.col("page_no") / block)).sortWithinPartitions("book", "offset")
+    return near.mapInArrow(run, f"{fields}, {what} binary, error string")
 
-    return found.withColumn("page_no", F.row_number().over(Window.partitionBy("book").orderBy("entry_path")))
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """(book, entry_path, content, error, page_no) of images in archives, numbered by collated path.
+
+    The numbers come from the directories alone; contents are read by ranges, in the tasks that put them out.
+    """
+    found = archives(spark, path, "directory")
+    broken = found.where("error IS NOT NULL").select("book", "entry_path", F.lit(None).cast("binary").alias("content"), "error", F.lit(None).cast("int").alias("page_no"))
+    return members(numbered(found.where("error IS NULL"))).select("book", "entry_path", "content", "error", "page_no").unionByName(broken)
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """(book, entry_path, content, page_no) of the images in folders, a folder a book, numbered in the order of paths.
+    """(book, entry_path, content, page_no) of the images in folders, a folder a book, numbered by collated path.
 
     Only images are opened, and paths alone are sorted. Spark passes over empty files.
     """
     glob = "*.{" + ",".join(x for e in IMAGES for x in (e, e.upper())) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).withColumnRenamed("path", "entry_path")
-    from pyspark.sql import Window
-
-    placed = files.select("entry_path", F.regexp_replace("entry_path", "/[^/]*$", "").alias("book"))
-    placed = placed.withColumn("page_no", F.row_number().over(Window.partitionBy("book").orderBy("entry_path")))
+    placed = numbered(files.select("entry_path", F.regexp_replace("entry_path", "/[^/]*$", "").alias("book")))
     return files.select("entry_path", "content").join(placed, "entry_path").select("book", "entry_path", "content", "page_no")
 
 
+# -- writing
+
+
+def local_header(name: bytes, method: int, crc: int, packed: int, size: int) -> bytes:
+    big = max(packed, size) >= 0xFFFFFFFF
+    extra = struct.pack("<HHQQ", 1, 16, size, packed) if big else b""
+    return struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45 if big else 20, 0x800, method, 0, 0x21, crc, *((0xFFFFFFFF,) * 2 if big else (packed, size)), len(name), len(extra)) + name + extra
+
+
+def directory_entry(name: bytes, method: int, crc: int, packed: int, size: int, offset: int) -> bytes:
+    wide = [v for v in (size, packed, offset) if v >= 0xFFFFFFFF]
+    extra = struct.pack(f"<HH{len(wide)}Q", 1, 8 * len(wide), *wide) if wide else b""
+    short = lambda v: min(v, 0xFFFFFFFF)
+    return struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45 if wide else 20, 0x800, method, 0, 0x21, crc, short(packed), short(size), len(name), len(extra), 0, 0, 0, 0, short(offset)) + name + extra
+
+
+def directory_end(n: int, size: int, offset: int) -> bytes:
+    out = b""
+    if n >= 0xFFFF or size >= 0xFFFFFFFF or offset >= 0xFFFFFFFF:
+        out = struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, size, offset) + struct.pack("<4sIQI", b"PK\6\7", 0, offset + size, 1)
+    return out + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(offset, 0xFFFFFFFF), 0)
+
+
+def page_names(page_no: Column, path: Column) -> Column:
+    """00001.ext, 00002.ext, ...: a page's name in a merged or split archive."""
+    ending = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.concat(F.lpad(page_no.cast("string"), F.greatest(F.lit(5), F.length(page_no.cast("string"))), "0"), ending)
+
+
+def archive_chunks(members: DataFrame, end_size: int = 50_000) -> DataFrame:
+    """(name, seq, chunk): archives of packed members, which are copied as they are.
+
+    members has name (the archive), page_no (from 1), entry (the member's name), method, crc, packed, bytes. A member is one
+    chunk with its header; offsets are running sums of sizes by ranges of page numbers, and the central directory comes
+    behind in chunks of end_size entries. A null packed is left out.
+    """
+    from ..operators.paging import running
+
+    there = members.where(F.col("packed").isNotNull())
+    big = (F.length("packed") >= 0xFFFFFFFF) | (F.col("bytes") >= 0xFFFFFFFF)
+    size = (30 + F.octet_length("entry") + F.when(big, 20).otherwise(0) + F.length("packed")).cast("long")
+    sized = there.select("name", "page_no", "entry", "method", "crc", F.length("packed").cast("long").alias("packed_bytes"), "bytes", size.alias("size"))
+    placed = running(sized, "name", "page_no", {"at": "size"}, {"total": "size"})
+    schema = "name string, seq long, chunk binary"
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                name, n, entry, method, crc, whole, packed = (b.column(k)[i].as_py() for k in range(7))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([local_header(entry.encode(), method, crc, len(packed), whole) + packed], pa.binary())], names=["name", "seq", "chunk"])
+
+    def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                name, part, rows = (b.column(k)[i].as_py() for k in range(3))
+                made = b"".join(directory_entry(r["entry"].encode(), r["method"], r["crc"], r["packed_bytes"], r["bytes"], r["at"]) for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(1 << 40) + part]), pa.array([made], pa.binary())], names=["name", "seq", "chunk"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, n, size, total in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1 << 41]), pa.array([directory_end(n, size, total)], pa.binary())], names=["name", "seq", "chunk"])
+
+    data = there.select("name", F.col("page_no").cast("long"), "entry", F.col("method").cast("int"), F.col("crc").cast("long"), F.col("bytes").cast("long"), "packed").mapInArrow(bodies, schema)
+    row = F.struct("page_no", "entry", "method", "crc", "packed_bytes", "bytes", "at")
+    listed = placed.groupBy("name", F.floor(F.col("page_no") / end_size).cast("long").alias("part")).agg(F.array_sort(F.collect_list(row)).alias("rows")).mapInArrow(endings, schema)
+    wide = sum(F.when(c >= 0xFFFFFFFF, 8).otherwise(0) for c in (F.col("packed_bytes"), F.col("bytes"), F.col("at")))
+    entry_size = 46 + F.octet_length("entry") + wide + F.when(wide > 0, 4).otherwise(0)
+    ends = placed.groupBy("name").agg(F.count("*").alias("n"), F.sum(entry_size).alias("size"), F.max("total").alias("total")).mapInArrow(last, schema)
+    return data.unionByName(listed).unionByName(ends)
+
+
+def merge_archives(spark: SparkSession, path: str, sets: DataFrame, out: str) -> None:
+    """Writes the archives of each set (book, name, file_idx) as one named so, below out, pages in the order of files and then
+    of collated paths, numbered anew; packed bytes are copied. Entries that can't be read are left out, archives that are
+    none end the job. Names alone are sorted, a set's in one task."""
+    w = Window.partitionBy("name").orderBy("file_idx", in_collation(F.col("entry_path")), "entry_path", "offset")
+    write_parts(sound(spark, path).join(sets, "book").withColumn("page_no", F.row_number().over(w)), out)
+
+
+def split_archives(spark: SparkSession, path: str, ranges: DataFrame, out: str) -> None:
+    """Writes an archive for each range (book, name, start, end) of an archive's pages, numbered from 1; packed bytes are
+    copied. A page may be in several; archives that are none end the job."""
+    part = numbered(sound(spark, path)).join(ranges, "book").where(F.col("page_no").between(F.col("start"), F.col("end")))
+    write_parts(part.withColumn("page_no", (F.col("page_no") - F.col("start") + 1).cast("int")).drop("start", "end"), out)
+
+
+def sound(spark: SparkSession, path: str) -> DataFrame:
+    """Directory entries; a file that is no archive ends the job that reads them."""
+    why = F.concat_ws(": ", "book", "error")
+    return archives(spark, path, "directory").where(F.when(F.col("error").isNotNull(), F.raise_error(why).cast("boolean")).otherwise(True)).drop("error")
+
+
+def write_parts(placed: DataFrame, out: str) -> None:
+    """Writes archives of members: rows of directories with name and page_no."""
+    found = members(placed, packed=True).where("error IS NULL")
+    write_chunks(archive_chunks(found.withColumn("entry", page_names(F.col("page_no"), F.col("entry_path")))), out)
+
+
+def packed_images(pages: DataFrame, content: str = "png", squeeze: bool = False) -> DataFrame:
+    """Adds method, crc, bytes and packed of a column's bytes, stored as they are or deflated: members for archive_chunks.
+    A null content gives a null packed."""
+    kept = pages.select(*[c for c in pages.columns if c not in ("method", "crc", "bytes", "packed")])
+    at = kept.columns.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(at).to_pylist()
+            packs = [zlib.compressobj(wbits=-15) if squeeze and x is not None else None for x in raw]
+            packed = [x if c is None else c.compress(x) + c.flush() for x, c in zip(raw, packs, strict=True)]
+            made = [pa.array([DEFLATED if squeeze else STORED] * len(raw), pa.int32()), pa.array([None if x is None else zlib.crc32(x) for x in raw], pa.int64()), pa.array([None if x is None else len(x) for x in raw], pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "method", "crc", "bytes", "packed"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{fields}, method int, crc long, bytes long, packed binary")
+
+
+def write_archives(images: DataFrame, path: str, content: str = "png", squeeze: bool = False) -> None:
+    """Writes an archive for each name of images (name, page_no, entry and a column of bytes)."""
+    write_chunks(archive_chunks(packed_images(images, content, squeeze)), path)
+
+
 def write_archive(images: list[bytes], ext: str = "png") -> bytes:
     """A zip with entries 00001.ext, 00002.ext, ..."""
     out = io.BytesIO()

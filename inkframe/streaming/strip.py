@@ -39,11 +39,6 @@ def stream_slices(strips: DataFrame, slice_height: int, overlap: int, book: str
     return strips.groupBy(book).applyInPandasWithState(run, f"{book} {kind}, top long", "height long, top long", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_results(events: DataFrame) -> DataFrame:
-    """Stored results once each, kept as state for their lifetime of four and a half hours."""
-    return events.withWatermark("ts", "4 hours 30 minutes").dropDuplicatesWithinWatermark(["event_id"])
-
-
 def settled_queries(events: DataFrame, gap: str = "800 milliseconds") -> DataFrame:
     """The last event of each burst of a user's events."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n")).select("user_id", "event_id", "n")

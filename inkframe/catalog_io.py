@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import PIXELS, query, read
-from .catalog_books import STITCH, STITCHED, encoded, strip_pages
-from .operators import books, paging
-from .sources import archive, container
+from .catalog_books import STITCH, STITCHED, encoded, grays, strip_pages
+from .operators import books, dither, files, paging
+from .sources import archive, container, ranged
+from .sources.images import decode_images
 from .sources.ranged import scratch_path
 from .streaming import stateful
 
@@ -80,6 +81,69 @@ def sc10_container_counts(spark, sf_dir):
     return container.containers(spark, written(spark, sf_dir), "counts").select(book_name("book").alias("book"), "page_count")
 
 
+@query(f"""SELECT CAST(book AS VARCHAR) AS book, CAST(page_no AS INTEGER) AS page_no, 312 + 16 * n + 30 * (page_no - 1) AS "offset", CASE WHEN meta THEN 'T\u00e9 ' || book ELSE '' END AS title, 0 AS cover, 0 AS chapters
+FROM (SELECT *, unnest(range(1, n + 1)) AS page_no FROM {HEADS})""")
+def sk9_fixed_heads(spark, sf_dir):
+    path = scratch_path(spark)
+    books.write_containers(encoded(spark, sf_dir), path, meta=meta(spark, sf_dir), toc=chapters(spark, sf_dir), fixed=True)
+    index, heads = container.containers(spark, path, "index"), container.containers(spark, path, "books")
+    return index.select("book", "page_no", "offset").join(heads.select("book", "title", "cover", "chapters"), "book").withColumn("book", book_name("book"))
+
+
+SETS = f"""SELECT *, CASE WHEN book % 2 = 0 THEN 'even' ELSE 'odd' END AS name FROM {HEADS}"""
+
+
+def container_sets(spark, sf_dir, path: str) -> DataFrame:
+    """Even and odd labels, in the order of labels."""
+    labels = read(spark, sf_dir, "embeddings").select(F.col("label").alias("b")).distinct()
+    return labels.select(F.concat(F.lit(path + "/"), F.col("b").cast("string"), F.lit(".xtc")).alias("book"), F.when(F.col("b") % 2 == 0, "even").otherwise("odd").alias("name"), F.col("b").alias("file_idx"))
+
+
+def merged(spark, sf_dir) -> str:
+    path, out = written(spark, sf_dir), scratch_path(spark)
+    files.merge_containers(spark, path, container_sets(spark, sf_dir, path), out)
+    return out
+
+
+@query(f"""SELECT CASE WHEN book % 2 = 0 THEN 'even' ELSE 'odd' END AS book, CAST(row_number() OVER (PARTITION BY book % 2 ORDER BY book, page_no) AS INTEGER) AS page_no, blob FROM ({NUMBERED})""")
+def se3_merge_containers(spark, sf_dir):
+    return container.containers(spark, merged(spark, sf_dir)).select(book_name("book").alias("book"), "page_no", F.lower(F.hex("page_blob")).alias("blob"))
+
+
+@query(f"""WITH s AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY name ORDER BY book ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS shift FROM ({SETS}))
+SELECT name AS book, CAST(row_number() OVER (PARTITION BY name ORDER BY book, idx) AS INTEGER) AS idx, CASE idx WHEN 1 THEN 'One' ELSE 'Two' END AS title, CAST(shift + CASE idx WHEN 1 THEN 1 ELSE ceil(n / 2.0) + 1 END AS INTEGER) AS start, CAST(shift + CASE idx WHEN 1 THEN ceil(n / 2.0) ELSE n END AS INTEGER) AS "end" FROM (SELECT *, unnest([1, 2]) AS idx FROM s WHERE toc)""")
+def se3_merge_container_toc(spark, sf_dir):
+    return container.containers(spark, merged(spark, sf_dir), "toc").select(book_name("book").alias("book"), "idx", "title", "start", "end")
+
+
+def split(spark, sf_dir) -> str:
+    path, out = written(spark, sf_dir), scratch_path(spark)
+    ranges = container_sets(spark, sf_dir, path).select("book", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in ((1, 1, 12), (2, 9, 20))])).alias("r")).select("book", "r.*")
+    files.split_containers(spark, path, ranges, out)
+    return out
+
+
+@query(f"""SELECT book || '_part' || k AS book, CAST(page_no - CASE k WHEN 1 THEN 0 ELSE 8 END AS INTEGER) AS page_no, blob FROM (SELECT *, unnest([1, 2]) AS k FROM ({NUMBERED})) WHERE page_no BETWEEN CASE k WHEN 1 THEN 1 ELSE 9 END AND CASE k WHEN 1 THEN 12 ELSE 20 END""")
+def se6_split_containers(spark, sf_dir):
+    return container.containers(spark, split(spark, sf_dir)).select(book_name("book").alias("book"), "page_no", F.lower(F.hex("page_blob")).alias("blob"))
+
+
+@query(f"""SELECT book || '_part' || k AS book, CASE WHEN meta THEN 'T\u00e9 ' || book ELSE CAST(book AS VARCHAR) END || ' - Part ' || k AS title, CASE WHEN meta THEN repeat('\u00e4', 31) || chr(65533) ELSE '' END AS author, CAST(least(n, CASE k WHEN 1 THEN 12 ELSE 20 END) - CASE k WHEN 1 THEN 0 ELSE 8 END AS INTEGER) AS page_count,
+CASE WHEN NOT toc THEN 0 ELSE CASE WHEN ceil(n / 2.0) >= CASE k WHEN 1 THEN 1 ELSE 9 END THEN 1 ELSE 0 END + CASE WHEN ceil(n / 2.0) + 1 <= CASE k WHEN 1 THEN 12 ELSE 20 END AND n >= CASE k WHEN 1 THEN 1 ELSE 9 END THEN 1 ELSE 0 END END AS chapters
+FROM (SELECT *, unnest([1, 2]) AS k FROM {HEADS}) WHERE n >= CASE k WHEN 1 THEN 1 ELSE 9 END""")
+def se6_split_container_heads(spark, sf_dir):
+    found = container.containers(spark, split(spark, sf_dir), "books")
+    return found.select(book_name("book").alias("book"), "title", "author", "page_count", "chapters")
+
+
+@query(f"""SELECT CAST(book AS VARCHAR) AS book, lpad(CAST(page_no AS VARCHAR), 5, '0') || '.png' AS entry_path, gray FROM (SELECT label AS book, row_number() OVER (PARTITION BY label ORDER BY p.vec_id) AS page_no, gray FROM (SELECT vec_id, string_agg(CASE WHEN g >= 128 THEN 'FFFFFF' ELSE '000000' END, '' ORDER BY y, x) AS gray FROM ({PIXELS}) GROUP BY vec_id) p JOIN embeddings e ON p.vec_id = e.vec_id)""")
+def se4_containers_to_archives(spark, sf_dir):
+    out = scratch_path(spark)
+    files.containers_to_archives(spark, written(spark, sf_dir), out)
+    images = decode_images(archive.archives(spark, out).where("error IS NULL"))
+    return images.select(book_name("book").alias("book"), "entry_path", F.hex("data").alias("gray"))
+
+
 # -- archives: documents are the members, named in mixed case by language
 
 
@@ -137,6 +201,33 @@ def se6_split_archives(spark, sf_dir):
     return archive.archives(spark, out).select(book_name("book").alias("book"), "entry_path", F.md5("content").alias("content"))
 
 
+# -- images
+
+
+CONVERTED = NUMBERED.replace("AS book, row_number() OVER (PARTITION BY label ORDER BY p.vec_id) AS page_no", "AS book, CAST(row_number() OVER (PARTITION BY label ORDER BY p.vec_id) AS INTEGER) AS page_no")
+
+
+@query(f"SELECT CAST(book AS VARCHAR) AS book, page_no, blob FROM ({CONVERTED})")
+def sc6_images_to_containers(spark, sf_dir):
+    """From archives of images to containers and back: entries, decoding, conversion, sink, pages."""
+    labels = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("book"))
+    images = books.png_images(grays(spark, sf_dir)).join(labels, "vec_id")
+    numbers = paging.number_pages(images, "book", "vec_id")
+    path, out = scratch_path(spark), scratch_path(spark)
+    archive.write_archives(numbers.select(F.concat(F.col("book").cast("string"), F.lit(".cbz")).alias("name"), "page_no", F.concat(F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.lit(".png")).alias("entry"), "png"), path)
+    files.archives_to_containers(spark, path, out, size=(8, 8), portrait=True, dithering="none")
+    return container.containers(spark, out).select(book_name("book").alias("book"), "page_no", F.lower(F.hex("page_blob")).alias("blob"))
+
+
+@query(f"""SELECT vec_id, 8 AS width, 8 AS height, gray FROM (SELECT vec_id, string_agg(CASE WHEN g >= 128 THEN 'FF' ELSE '00' END, '' ORDER BY y, x) AS gray FROM ({PIXELS}) GROUP BY vec_id)""")
+def sc11_raw_page_files(spark, sf_dir):
+    path = scratch_path(spark)
+    pages = dither.encode_pages(grays(spark, sf_dir).withColumnRenamed("data", "gray"), "none")
+    ranged.write_chunks(pages.select(F.concat(F.col("vec_id").cast("string"), F.lit(".xtg")).alias("name"), F.lit(0).alias("seq"), F.col("page_blob").alias("chunk")), path)
+    found = files.raw_pages(spark, path)
+    return found.select(book_name("book").cast("long").alias("vec_id"), "width", "height", F.hex("gray").alias("gray"))
+
+
 # -- streams
 
 

@@ -7,6 +7,7 @@ says which rectangles of an image become pages; each task renders the pages of i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,23 +103,57 @@ def resize_box(a: np.ndarray, w: int, h: int) -> np.ndarray:
     return (sums // ((y1 - y0)[:, None] * (x1 - x0)[None, :])[:, :, None]).astype(np.uint8)
 
 
-def place(a: np.ndarray, fit: tuple[int, int, int, int], w: int, h: int, pad: int) -> np.ndarray:
+@lru_cache(maxsize=16)
+def cubic_weights(n: int, m: int) -> np.ndarray:
+    """(m, n): how m new samples are made of n old ones by a cubic kernel (Catmull-Rom), widened where there are fewer new
+    ones; beyond the ends, the end's sample counts."""
+    wide = max(1.0, n / m)
+    center = (np.arange(m) + 0.5) * n / m - 0.5
+    taps = np.floor(center)[:, None] + np.arange(-int(np.ceil(2 * wide)), int(np.ceil(2 * wide)) + 2)
+    t = np.abs(taps - center[:, None]) / wide
+    k = np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+    out = np.zeros((m, n))
+    np.add.at(out, (np.repeat(np.arange(m), taps.shape[1]), np.clip(taps, 0, n - 1).astype(int).ravel()), (k / k.sum(1, keepdims=True)).ravel())
+    return out
+
+
+def resize_cubic(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Resized by one kernel for rows and one for columns, rounded once."""
+    made = np.einsum("yi,ijc->yjc", cubic_weights(a.shape[0], h), a.astype(np.float64), optimize=True)
+    made = np.einsum("xj,yjc->yxc", cubic_weights(a.shape[1], w), made, optimize=True)
+    return np.clip(np.floor(made + 0.5), 0, 255).astype(np.uint8)
+
+
+def linear_gray(rgb: np.ndarray) -> np.ndarray:
+    """Gray by weights 0.2, 0.7 and 0.1 of linear light."""
+    v = np.arange(256) / 255
+    light = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)[rgb] @ np.array([0.2, 0.7, 0.1])
+    back = np.where(light <= 0.0031308, light * 12.92, 1.055 * np.power(light, 1 / 2.4) - 0.055)
+    return np.clip(np.floor(back * 255 + 0.5), 0, 255).astype(np.uint8)
+
+
+def powered(gray: np.ndarray, exponent: float) -> np.ndarray:
+    return np.floor(np.power(np.arange(256) / 255, exponent) * 255 + 0.5).astype(np.uint8)[gray]
+
+
+def place(a: np.ndarray, fit: tuple[int, int, int, int], w: int, h: int, pad: int, resize=resize_box) -> np.ndarray:
     """a resized to fit (x, y, width, height) on a w x h page of the pad gray; what lies outside is cut off."""
     x, y, fw, fh = fit
-    page = np.full((h, w, 3), pad, np.uint8)
+    page = np.full((h, w, a.shape[2]), pad, np.uint8)
     if fw <= 0 or fh <= 0:
         return page
-    scaled = a if a.shape[:2] == (fh, fw) else resize_box(a, fw, fh)
+    scaled = a if a.shape[:2] == (fh, fw) else resize(a, fw, fh)
     left, top, right, bottom = max(0, x), max(0, y), min(w, x + fw), min(h, y + fh)
     page[top:bottom, left:right] = scaled[top - y : bottom - y, left - x : right - x]
     return page
 
 
-def render(raster: np.ndarray, pages: list[dict], size: tuple[int, int], contrast: float, gamma: float, invert: bool, dithering: str, two_bit: bool, pad_black: bool, crop: bool = False) -> list[bytes]:
+def render(raster: np.ndarray, pages: list[dict], size: tuple[int, int], contrast: float, gamma: float, invert: bool, dithering: str, two_bit: bool, pad_black: bool, crop: bool = False, cubic: bool = False) -> list[bytes]:
     """The encoded pages of one image by its plan. All of them are dithered in lockstep.
 
     Gamma counts at two bits only. With crop, what a single image does not cover stays black before the tone filters,
-    whatever the padding.
+    whatever the padding. cubic is the command-line variant: no contrast, gray first, the resize by cubic kernels between
+    a gamma that darkens and one that brightens, then inversion.
     """
     w, h = size
     gamma = gamma if two_bit else 1.0
@@ -129,14 +164,21 @@ def render(raster: np.ndarray, pages: list[dict], size: tuple[int, int], contras
         if not part.size:
             part = np.full((1, 1, 3), 0 if pad_black else 255, np.uint8)
         pad = 0 if pad_black or (crop and p["kind"] == "single") else 255
-        grays.append(tone(place(part, (p["fx"], p["fy"], p["fw"], p["fh"]), w, h, pad), contrast, gamma, invert))
+        fit = (p["fx"], p["fy"], p["fw"], p["fh"])
+        if cubic:
+            dark = linear_gray(part) if gamma == 1.0 else powered(linear_gray(part), gamma)
+            page = place(dark[:, :, None], fit, w, h, 0 if pad_black else 255, resize_cubic)[:, :, 0]
+            page = page if gamma == 1.0 else powered(page, 1 / gamma)
+            grays.append(255 - page if invert else page)
+        else:
+            grays.append(tone(place(part, fit, w, h, pad), contrast, gamma, invert))
     return [page_blob(x, w, h, two_bit) for x in pack(dither(np.stack(grays), dithering, two_bit), two_bit)] if grays else []
 
 
-def convert(images: DataFrame, id_cols: list[str], *, size: tuple[int, int], contrast: float = 0, gamma: float = 1.0, invert: bool = False, dithering: str = "stucki", two_bit: bool = False, pad_black: bool = False, data_col: str = "data", **plan) -> DataFrame:
+def convert(images: DataFrame, id_cols: list[str], *, size: tuple[int, int], contrast: float = 0, gamma: float = 1.0, invert: bool = False, dithering: str = "stucki", two_bit: bool = False, pad_black: bool = False, data_col: str = "data", cubic: bool = False, **plan) -> DataFrame:
     """(ids, out_idx, kind, page_blob, error) of images with width, height and bytes; a bad raster gives one row with error.
 
-    plan holds the options of page_plan. Null bytes and sizes are bad rasters; repeated rows give equal pages; an empty
+    plan holds the options of page_plan; cubic takes the filters of the command-line variant. Null bytes and sizes are bad rasters; repeated rows give equal pages; an empty
     table gives no rows.
     """
     base = images.select(*id_cols, F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), F.col(data_col).alias("data"))
@@ -149,7 +191,7 @@ def convert(images: DataFrame, id_cols: list[str], *, size: tuple[int, int], con
                 row = {c: b.column(b.schema.get_field_index(c))[i].as_py() for c in ("w", "h", "data", "plan")}
                 try:
                     pages = row["plan"] or []
-                    blobs = render(raster_of(row["data"], row["w"], row["h"]), pages, size, contrast, gamma, invert, dithering, two_bit, pad_black, plan.get("single") == "crop")
+                    blobs = render(raster_of(row["data"], row["w"], row["h"]), pages, size, contrast, gamma, invert, dithering, two_bit, pad_black, plan.get("single") == "crop", cubic)
                     made, error = [(k, p["kind"], x) for k, (p, x) in enumerate(zip(pages, blobs, strict=True))], None
                 except ValueError as e:
                     made, error = [(None, None, None)], str(e)

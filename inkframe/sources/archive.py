@@ -12,13 +12,15 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from ..functions.names import IMAGES
-from .ranged import Ranged, SlicedReader, register, write_chunks
+from .ranged import Ranged, SlicedReader, by_bytes, register, stored, write_chunks
 
 STORED, DEFLATED = 0, 8
 SCHEMAS = {
@@ -266,44 +268,45 @@ def page_names(page_no: Column, path: Column) -> Column:
 def archive_chunks(members: DataFrame, end_size: int = 50_000) -> DataFrame:
     """(name, seq, chunk): archives of packed members, which are copied as they are.
 
-    members has name (the archive), page_no (from 1), entry (the member's name), method, crc, packed, bytes. A member is one
-    chunk with its header; offsets are running sums of sizes by ranges of page numbers, and the central directory comes
-    behind in chunks of end_size entries. A null packed is left out.
+    members has name (the archive), page_no (from 1), entry (the member's name), method, crc, packed, bytes; it is read
+    three times, twice for sizes alone. A member is one chunk with its header. The central directory comes behind in parts
+    of end_size entries, which begin at the running sum of the parts before. A null packed is left out.
     """
-    from ..operators.paging import running
-
     there = members.where(F.col("packed").isNotNull())
     big = (F.length("packed") >= 0xFFFFFFFF) | (F.col("bytes") >= 0xFFFFFFFF)
     size = (30 + F.octet_length("entry") + F.when(big, 20).otherwise(0) + F.length("packed")).cast("long")
-    sized = there.select("name", "page_no", "entry", "method", "crc", F.length("packed").cast("long").alias("packed_bytes"), "bytes", size.alias("size"))
-    placed = running(sized, "name", "page_no", {"at": "size"}, {"total": "size"})
+    row = F.struct(F.col("page_no").cast("long").alias("page_no"), "entry", F.col("method").cast("int").alias("method"), F.col("crc").cast("long").alias("crc"), F.length("packed").cast("long").alias("packed"), F.col("bytes").cast("long").alias("bytes"), size.alias("size"))
+    part = F.floor(F.col("page_no") / end_size).cast("long").alias("part")
+    parts = there.groupBy("name", part).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum(size).alias("body"))
+    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each end_size members
+    placed = parts.withColumn("base", F.coalesce(F.sum("body").over(earlier), F.lit(0)))
     schema = "name string, seq long, chunk binary"
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                name, n, entry, method, crc, whole, packed = (b.column(k)[i].as_py() for k in range(7))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([local_header(entry.encode(), method, crc, len(packed), whole) + packed], pa.binary())], names=["name", "seq", "chunk"])
+            for lo, hi in by_bytes(pc.binary_length(b.column(6)).to_pylist()):
+                rows = zip(*(b.column(k).slice(lo, hi - lo).to_pylist() for k in range(7)), strict=True)
+                made = [local_header(entry.encode(), method, crc, len(packed), whole) + packed for _, _, entry, method, crc, whole, packed in rows]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(made, pa.binary())], names=["name", "seq", "chunk"])
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                name, part, rows = (b.column(k)[i].as_py() for k in range(3))
-                made = b"".join(directory_entry(r["entry"].encode(), r["method"], r["crc"], r["packed_bytes"], r["bytes"], r["at"]) for r in rows)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(1 << 40) + part]), pa.array([made], pa.binary())], names=["name", "seq", "chunk"])
+                name, part, rows, base = (b.column(k)[i].as_py() for k in range(4))
+                at = base + np.cumsum([0, *(r["size"] for r in rows)])
+                made = b"".join(directory_entry(r["entry"].encode(), r["method"], r["crc"], r["packed"], r["bytes"], int(o)) for r, o in zip(rows, at, strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(1 << 40) + part]), pa.array([made], pa.binary()), pa.array([len(rows)]), pa.array([int(at[-1]) - base])], names=["name", "seq", "chunk", "n", "body"])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, n, size, total in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1 << 41]), pa.array([directory_end(n, size, total)], pa.binary())], names=["name", "seq", "chunk"])
+            made = [directory_end(n, size, body) for n, size, body in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1 << 41] * b.num_rows), pa.array(made, pa.binary())], names=["name", "seq", "chunk"])
 
     data = there.select("name", F.col("page_no").cast("long"), "entry", F.col("method").cast("int"), F.col("crc").cast("long"), F.col("bytes").cast("long"), "packed").mapInArrow(bodies, schema)
-    row = F.struct("page_no", "entry", "method", "crc", "packed_bytes", "bytes", "at")
-    listed = placed.groupBy("name", F.floor(F.col("page_no") / end_size).cast("long").alias("part")).agg(F.array_sort(F.collect_list(row)).alias("rows")).mapInArrow(endings, schema)
-    wide = sum(F.when(c >= 0xFFFFFFFF, 8).otherwise(0) for c in (F.col("packed_bytes"), F.col("bytes"), F.col("at")))
-    entry_size = 46 + F.octet_length("entry") + wide + F.when(wide > 0, 4).otherwise(0)
-    ends = placed.groupBy("name").agg(F.count("*").alias("n"), F.sum(entry_size).alias("size"), F.max("total").alias("total")).mapInArrow(last, schema)
-    return data.unionByName(listed).unionByName(ends)
+    listed = placed.select("name", "part", "rows", "base").mapInArrow(endings, f"{schema}, n long, body long")
+    ends = listed.groupBy("name").agg(F.sum("n").alias("n"), F.sum(F.length("chunk")).cast("long").alias("size"), F.sum("body").alias("body")).mapInArrow(last, schema)
+    return data.unionByName(listed.select("name", "seq", "chunk")).unionByName(ends)
 
 
 def merge_archives(spark: SparkSession, path: str, sets: DataFrame, out: str) -> None:
@@ -329,8 +332,9 @@ def sound(spark: SparkSession, path: str) -> DataFrame:
 
 def write_parts(placed: DataFrame, out: str) -> None:
     """Writes archives of members: rows of directories with name and page_no."""
-    found = members(placed, packed=True).where("error IS NULL")
+    found, drop = stored(members(placed, packed=True).where("error IS NULL"))
     write_chunks(archive_chunks(found.withColumn("entry", page_names(F.col("page_no"), F.col("entry_path")))), out)
+    drop()
 
 
 def packed_images(pages: DataFrame, content: str = "png", squeeze: bool = False) -> DataFrame:
@@ -353,7 +357,9 @@ def packed_images(pages: DataFrame, content: str = "png", squeeze: bool = False)
 
 def write_archives(images: DataFrame, path: str, content: str = "png", squeeze: bool = False) -> None:
     """Writes an archive for each name of images (name, page_no, entry and a column of bytes)."""
-    write_chunks(archive_chunks(packed_images(images, content, squeeze)), path)
+    packed, drop = stored(packed_images(images, content, squeeze).drop(content))
+    write_chunks(archive_chunks(packed), path)
+    drop()
 
 
 def write_archive(images: list[bytes], ext: str = "png") -> bytes:

@@ -40,6 +40,19 @@ def head(sizes: list[tuple[int, bytes]], two_bit: bool = False, meta: tuple = ()
     return b"".join(out)
 
 
+def fixed_head(sizes: list[tuple[int, bytes]], two_bit: bool = False, meta: tuple = ()) -> bytes:
+    """The command-line variant: always metadata, of which only title and author are set, and never a table of contents."""
+    if len(sizes) > MOST:
+        raise ValueError(f"{len(sizes)} pages: the format counts to {MOST}")
+    at = 312 + 16 * len(sizes)
+    out = [(b"XTCH" if two_bit else b"XTC\0") + struct.pack("<HHIIQQQQQ", 1, len(sizes), 0x01000100, 1, 56, 312, at, 0, 0)]
+    out.append(b"".join(_text(v, n) for v, n in zip((*meta, "", "")[:2], SIZES, strict=False)).ljust(256, b"\0"))
+    for size, shape in sizes:
+        out.append(struct.pack("<QI", at, size) + shape)
+        at += size
+    return b"".join(out)
+
+
 def build(blobs: list[bytes], two_bit: bool = False, meta: tuple = (), toc: list[tuple[str, int, int]] | None = None, create_time: int = 0, cover: int = 0xFFFF) -> bytes:
     """A container of encoded pages."""
     return head([(len(x), x[4:8]) for x in blobs], two_bit, meta, toc, create_time, cover) + b"".join(blobs)

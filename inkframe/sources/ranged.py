@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from urllib.parse import quote
@@ -28,7 +28,7 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         # Spark's paths are not percent-encoded
         return pafs.LocalFileSystem(), re.sub(r"^file:(//(?=/))?", "", path)
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path)) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 class Ranged:
@@ -132,6 +132,7 @@ class SlicedReader(DataSourceReader):
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
+    temp: str = ""
 
 
 class ChunkWriter(DataSourceArrowWriter):
@@ -167,7 +168,7 @@ class ChunkWriter(DataSourceArrowWriter):
         finally:
             if out:
                 out.close()
-        return Written(made)
+        return Written(made, temp)
 
     def commit(self, messages):
         system, inner = opened(self.path)
@@ -181,9 +182,11 @@ class ChunkWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages):
-        system, temp = opened(self.temp)
-        if system.get_file_info(temp).type != pafs.FileType.NotFound:
-            system.delete_dir(temp)
+        system, own = opened(self.temp)
+        # a stream's tasks may have been sent out by another copy of the writer
+        for temp in {own, *(m.temp for m in messages if m)}:
+            if temp and system.get_file_info(temp).type != pafs.FileType.NotFound:
+                system.delete_dir(temp)
 
 
 class ChunkStreamWriter(DataSourceStreamArrowWriter):
@@ -249,3 +252,27 @@ def scratch_path(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='inkframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/inkframe-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written once to a scratch table, for steps that read it several times, and what deletes the table."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def by_bytes(sizes: Iterable[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes, one row at least."""
+    lo, total, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield lo, i + 1
+            lo, total = i + 1, 0
+    if lo <= i:
+        yield lo, i + 1

@@ -245,6 +245,27 @@ def test_stitch_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want and want
 
 
+def test_streamed_files(spark, tmp_path):
+    """Books of each batch become files; chunks of a stream, too, and a repeated batch replaces its own."""
+    blobs = {b: [page(9 * i + n) for i in range(n)] for n, b in enumerate("pqr", 1)}
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for b, some in blobs.items():
+        spark.createDataFrame([(b, i + 1, x) for i, x in enumerate(some)], "book string, page_no int, page_blob binary").coalesce(1).write.mode("append").parquet(source)
+    pages = spark.readStream.schema("book string, page_no int, page_blob binary").option("maxFilesPerTrigger", 1).parquet(source)
+    q = books.stream_containers(pages, out, str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    assert {os.path.basename(p): open(p, "rb").read() for p in glob.glob(f"{out}/*")} == {f"{b}.xtc": container.build(some) for b, some in blobs.items()}
+    chunks = spark.createDataFrame([("a", i, b"%d" % i) for i in range(5)] + [("b", 0, b"x")], "name string, seq long, chunk binary").coalesce(1)
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    ranged.register(spark, ranged.ChunkFiles)
+    stream = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks"))
+    for check in ("one", "two"):  # the second time all over again
+        q = stream.writeStream.format("inkframe_chunks").option("path", out).option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    assert open(f"{out}/a", "rb").read() == b"01234" and open(f"{out}/b", "rb").read() == b"x" and len(os.listdir(out)) == 5
+
+
 def test_strip_tone():
     """Stretch, gamma, inversion and gray, in this order, pixel by pixel."""
     rng = np.random.default_rng(4)

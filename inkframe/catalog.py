@@ -271,14 +271,14 @@ SELECT vec_id, g, sum(n) OVER (PARTITION BY vec_id ORDER BY g) AS below, sum(n)
 
 @query(POINTS)
 def ag2_contrast_points(spark, sf_dir):
-    return P.contrast_points(px(spark, sf_dir), 4)
+    black, white = P.contrast_points(P.grays_of(F.col("embedding")), 4)
+    return read(spark, sf_dir, "embeddings").select("vec_id", black.alias("black"), white.alias("white"))
 
 
 @query(f"SELECT p.vec_id, x, y, CAST(CASE WHEN white > black THEN greatest(0, least(255, trunc((g - black) * 255::DOUBLE / (white - black)))) ELSE g END AS INTEGER) AS g FROM ({PIXELS}) p JOIN ({POINTS}) c ON p.vec_id = c.vec_id")
 def px1_stretch(spark, sf_dir):
-    p = px(spark, sf_dir)
-    j = p.join(P.contrast_points(p, 4), "vec_id")
-    return j.select("vec_id", "x", "y", P.stretch(F.col("g"), F.col("black"), F.col("white")).alias("g"))
+    p = P.stretched(read(spark, sf_dir, "embeddings"), 4)
+    return p.select("vec_id", "x", "y", P.stretch(F.col("g"), F.col("black"), F.col("white")).alias("g"))
 
 
 @query(f"SELECT vec_id, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS deviation, stddev_pop(g) < 5 AS solid FROM ({PIXELS}) GROUP BY vec_id")

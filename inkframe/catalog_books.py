@@ -162,9 +162,8 @@ def px6_table(spark, sf_dir):
 
 @query(f"SELECT p.vec_id, x, y, CAST(round_even(g * 0.299::DOUBLE + (255 - g) * 0.587::DOUBLE + (g * 7 % 256) * 0.114::DOUBLE, 0) AS INTEGER) AS luma, CAST(CASE WHEN white > black THEN round_even(greatest(0, least(255, (g - black) / (white - black)::DOUBLE * 255)), 0) ELSE g END AS INTEGER) AS contrast FROM ({PIXELS}) p JOIN ({POINTS}) c ON p.vec_id = c.vec_id")
 def px3_contrast_alone(spark, sf_dir):
-    p, g = px(spark, sf_dir), F.col("g")
-    j = p.join(P.contrast_points(p, 4), "vec_id")
-    return j.select("vec_id", "x", "y", P.float_luma(g, 255 - g, g * 7 % 256).alias("luma"), P.contrast_alone(g, F.col("black"), F.col("white")).alias("contrast"))
+    p, g = P.stretched(read(spark, sf_dir, "embeddings"), 4), F.col("g")
+    return p.select("vec_id", "x", "y", P.float_luma(g, 255 - g, g * 7 % 256).alias("luma"), P.contrast_alone(g, F.col("black"), F.col("white")).alias("contrast"))
 
 
 @query(f"""WITH c AS (SELECT dx, dy FROM (SELECT unnest(range(0, 3)) AS dx), (SELECT unnest(range(0, 5)) AS dy)),

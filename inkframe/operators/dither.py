@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.pixels import BAYER, hilbert
+from ..functions.pixels import BAYER, curve
 
 # Error shares as (dx, dy, weight), with their divisor.
 KERNELS = {
@@ -37,12 +37,15 @@ def dither(pages: np.ndarray, algorithm: str, two_bit: bool = False) -> np.ndarr
         tiled = np.tile(limit, (-(-h // 4), -(-w // 4)))[:h, :w]
         return np.where(pages > tiled, 255, 0).astype(np.uint8)
     if algorithm == "stochastic":
-        out, error = pages.astype(np.float64), np.zeros(n)
-        for x, y in hilbert(w, h):
-            value = out[:, y, x] + error
-            out[:, y, x] = levels(value, two_bit)
-            error = value - out[:, y, x]
-        return out.astype(np.uint8)
+        # a place's error is what is left of the sum of all grays so far, modulo the step between palette grays
+        step, low = (85, 43) if two_bit else (255, 127)
+        x, y = curve(w, h).T
+        out = np.empty_like(pages, dtype=np.uint8)
+        for page, made in zip(pages, out, strict=True):
+            grays = page[y, x].astype(np.int64)
+            error = (np.cumsum(grays) + low) % step - low
+            made[y, x] = grays + np.concatenate([[0], error[:-1]]) - error
+        return out
     plane = pages.astype(np.float32)
     divisor, shares = KERNELS.get(algorithm, KERNELS["floyd"])
     if algorithm == "ostromoukhov":

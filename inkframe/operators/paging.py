@@ -4,41 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def in_ranges(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """Adds _range: which of some value ranges of about equal row counts a row's number order falls in.
+#: Ranges of one call at most; with more rows than fit them at rows_a_range, ranges grow.
+MOST_RANGES = 1_024
 
-    The bounds are approximate quantiles; only the balance depends on them, so a book of any length is cut into ranges.
+
+def range_bounds(rows: DataFrame, order: str, rows_a_range: int = 1_000_000) -> list[float]:
+    """Bounds that cut rows into value ranges of about rows_a_range rows by a number; none for a table that one range holds.
+
+    They are approximate quantiles; only the balance depends on them.
     """
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), shares, 1000)).first()[0] or [0.0]
-    cuts = F.array(*[F.lit(x) for x in sorted(set(bounds))])
-    return rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(order).cast("double")))))
+    parts = min(MOST_RANGES, -(-rows.count() // rows_a_range))
+    if parts < 2:
+        return []
+    at = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    return sorted(set(at or []))
+
+
+def _ties(rows: DataFrame, *used: str) -> list[str]:
+    """The other columns of plain values: rows of equal number come in their order, the same in every run. Bytes are left
+    out, so that pages can be numbered without reading them."""
+    return [f"`{f.name}`" for f in rows.schema if f.name not in used and isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType))]
 
 
-def running(rows: DataFrame, book: str, order: str, sums: dict[str, str], totals: dict[str, str] | None = None, count: str | None = None, parts: int = 64) -> DataFrame:
+def running(rows: DataFrame, book: str, order: str, sums: dict[str, str], totals: dict[str, str] | None = None, count: str | None = None, rows_a_range: int = 1_000_000) -> DataFrame:
     """Adds sums over a book's earlier rows (name: column), totals over all of them, and a row number (count), in the
-    order of a number.
+    order of a number; rows of equal number come in the order of their other columns of plain values, nulls first. Rows without a book count as one book, rows without a number come first.
 
-    Rows are sorted by book and range only; what earlier ranges and whole books hold is summed up first, one row a range.
+    A table that one range holds is sorted by book. Rows of a larger one are sorted by book and range; what earlier ranges and whole books hold is summed up first, one row a range.
     """
-    ranged = in_ranges(rows, order, parts)
+    bounds = range_bounds(rows, order, rows_a_range)
     all_ = {**sums, **(totals or {})}
+    ties = _ties(rows, book, order)
+    if not bounds:
+        here, whole = Window.partitionBy(book).orderBy(order, *ties), Window.partitionBy(book)
+        made = {k: F.coalesce(F.sum(c).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long") for k, c in sums.items()}
+        made |= {k: F.sum(c).over(whole) for k, c in (totals or {}).items()}
+        made |= {count: F.row_number().over(here)} if count else {}
+        return rows.withColumns(made)
+    cuts = F.array(*[F.lit(x) for x in bounds])
+    ranged = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(order).cast("double")))))
     by_range = ranged.groupBy(book, "_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{k}") for k, c in all_.items()])
     before, whole = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(book)
     held = by_range.select(
         book, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"),
         *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_pre_{k}") for k in sums], *[F.sum(f"_sum_{k}").over(whole).alias(k) for k in totals or {}],
     )
-    here = Window.partitionBy(book, "_range").orderBy(order)
+    here = Window.partitionBy(book, "_range").orderBy(order, *ties)
     up_to = here.rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(held, [book, "_range"])
+    held = held.withColumnsRenamed({book: "_book", "_range": "_in"})
+    out = ranged.join(held, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_range") == F.col("_in")))
     for k, c in sums.items():
         out = out.withColumn(k, (F.col(f"_pre_{k}") + F.coalesce(F.sum(c).over(up_to), F.lit(0))).cast("long"))
     if count:
         out = out.withColumn(count, (F.col("_rows") + F.row_number().over(here)).cast("int"))
-    return out.drop("_range", "_rows", *[f"_pre_{k}" for k in sums])
+    return out.drop("_range", "_rows", "_book", "_in", *[f"_pre_{k}" for k in sums])
 
 
 def number_pages(pages: DataFrame, book: str, order: str) -> DataFrame:

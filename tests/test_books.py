@@ -162,6 +162,20 @@ def test_running(spark):
     assert paging.running(df.limit(0), "book", "at", {"before": "n"}, count="no").count() == 0
 
 
+def test_running_ties(spark):
+    """Equal numbers come in the order of the other columns, nulls first, in any partitioning; bytes don't count."""
+    rows = [("a", i // 20, None if i % 20 == 7 else (i * 37) % 101, b"x" * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "book string, at long, n long, page_blob binary")
+    want = sorted(((at, -1 if n is None else n) for _, at, n, _ in rows))
+    loose = spark.createDataFrame([(None, i if i else None, 1) for i in range(9)] + [("b", i, 1) for i in range(5)], "book string, at long, n long")
+    for cut in (2, 100):
+        got = paging.running(loose, "book", "at", {"before": "n"}, {"total": "n"}, "no", cut).collect()
+        assert sorted((x.book or "", x.at or 0, x.no, x.before, x.total) for x in got) == [("", i, i + 1, i, 9) for i in range(9)] + [("b", i, i + 1, i, 5) for i in range(5)]
+    for parts, cut in ((1, 500), (5, 500), (5, 9)):
+        got = sorted(paging.running(df.repartition(parts), "book", "at", {}, count="no", rows_a_range=cut).collect(), key=lambda x: x.no)
+        assert [(x.at, -1 if x.n is None else x.n) for x in got] == want and [x.no for x in got] == list(range(1, 401))
+
+
 def test_store_append(spark, tmp_path):
     df = spark.createDataFrame([(1, 7, "2024-01-01 10:00:00"), (2, 8, "2024-01-02 10:00:00")], "id long, session_id long, t string").withColumn("created_at", F.to_timestamp("t"))
     for _ in range(2):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as G
 from inkframe.functions import names as N
-from inkframe.functions.pixels import hilbert
+from inkframe.functions.pixels import contrast_points, hilbert
 from inkframe.operators import dither
 from inkframe.sources import archive, comicinfo, container
 from inkframe.streaming import strip
@@ -39,6 +39,38 @@ def test_hilbert_order():
     assert len(hilbert(5, 3)) == 15 and len(set(hilbert(16, 16))) == 256
 
 
+@pytest.mark.parametrize("two_bit", [False, True])
+@pytest.mark.parametrize("size", [(1, 1), (8, 8), (31, 50), (64, 7)])
+def test_curve_walk(two_bit, size):
+    """The running error against a walk that takes place after place."""
+    h, w = size
+    pages = np.random.default_rng(h).integers(0, 256, (3, h, w), dtype=np.uint8)
+    pages[1:] = [[[0]], [[255]]]
+    for page, got in zip(pages, dither.dither(pages, "stochastic", two_bit), strict=True):
+        left, want = 0.0, np.empty_like(page)
+        for x, y in hilbert(w, h):
+            value = page[y, x] + left
+            want[y, x] = dither.levels(np.array(value), two_bit)
+            left = value - want[y, x]
+        assert (want == got).all()
+
+
+@pytest.mark.parametrize("level", [0, 1, 4, 8, 34])
+def test_contrast_points_of_arrays(spark, level):
+    """Places of sorted grays against a histogram's running counts."""
+    rng = np.random.default_rng(level)
+    rasters = [rng.integers(0, top, n).tolist() for top in (1, 5, 256) for n in (1, 2, 63, 64, 100)] + [[], None]
+    df = spark.createDataFrame(list(enumerate(rasters)), "i int, g array<int>")
+    black, white = contrast_points(F.col("g"), level)
+    for r in df.select("i", black.alias("black"), white.alias("white")).collect():
+        g = np.array(rasters[r.i] or [], int)
+        counts = np.bincount(g, minlength=256)
+        seen = np.flatnonzero(counts)
+        dark = [v for v in seen if counts[: v + 1].sum() >= len(g) * (3 * level) / 100]
+        light = [v for v in seen if counts[v:].sum() >= len(g) * (3 + 9 * level) / 100]
+        assert (r.black, r.white) == (min(dark, default=0), max(light, default=255))
+
+
 @pytest.mark.parametrize("two_bit", [False, True])
 def test_page_round_trip(two_bit):
     pages = np.random.default_rng(1).integers(0, 256, (3, 13, 9), dtype=np.uint8)

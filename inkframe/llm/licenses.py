@@ -16,6 +16,8 @@ root; repeated rows are judged alike; an empty table gives no rows; columns name
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ TEMPLATES = [
     ("ISC", ISC.split("\n")[0]),
     ("BSD-2-Clause", BSD2),
     ("BSD-3-Clause", BSD3),
-    *[(x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense")],
+    *[(x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense", "EPL-2.0", "CC0-1.0", "0BSD", "Zlib", "BSL-1.0")],
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -59,6 +61,24 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, under the MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    # titles of full texts, and notices of several lines
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    *[
+        (name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+        for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))
+    ],
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)(\.[a-z]{1,4})?$"
 HEADER = r"(?i)\blicen[cs]e[sd]?\b|\bcopyright\b|\bspdx\b|\breleased under\b|\bpermission is hereby\b|\bfree software\b"
@@ -79,6 +99,26 @@ def directories(path: Column) -> Column:
     return F.transform(F.reverse(F.sequence(F.lit(0), F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def runs(lines: Column, mark: Callable[[Column], Column]) -> Column:
+    """The runs of lines that mark takes, each as one text; linear in the lines."""
+    kept = F.transform(lines, lambda x: F.when(mark(x), F.translate(x, "\0", " ")).otherwise("\0"))
+    return F.filter(F.split(F.array_join(kept, "\n"), r"\n?\x00\n?"), lambda x: x != "")
+
+
+def units(lines: Column, whole: Column, together: bool) -> Column:
+    """The texts to compare with templates, as (at, lead, line): heads by themselves, in runs that lead them, or, for a file
+    named as a licence, in the order in which they name it."""
+    unit = lambda at, lead, line: F.struct(at.cast("int").alias("at"), F.lit(lead).alias("lead"), line.alias("line"))
+    head = lambda x: x.rlike(HEADER)
+    alone = lambda at: F.transform(F.filter(lines, head), lambda x: unit(F.lit(at), False, x))
+    if not together:
+        return F.when(whole.isNull(), alone(0)).otherwise(F.concat(alone(0), F.array(unit(F.lit(0), False, whole))))
+    paragraphs = F.transform(F.filter(runs(lines, lambda x: x.rlike(r"[\p{L}\p{N}]")), lambda x: x.contains("\n")), lambda x, i: unit(i + 1, False, x))
+    named = F.concat(F.array(unit(F.lit(0), False, whole)), paragraphs, alone(2**31 - 1))
+    led = F.transform(runs(lines, head), lambda x, i: F.concat(F.when(x.contains("\n"), F.array(unit(i, True, x))).otherwise(F.slice(F.array(unit(i, True, x)), 1, 0)), F.transform(F.split(x, "\n"), lambda y: unit(i, False, y))))
+    return F.when(whole.isNull(), F.flatten(led)).otherwise(named)
+
+
 def cosines(heads: DataFrame, threshold: float, margin: float) -> DataFrame:
     """(line, license, similarity) of the distinct texts in column line that have a licence."""
     spark = heads.sparkSession
@@ -100,22 +140,33 @@ def cosines(heads: DataFrame, threshold: float, margin: float) -> DataFrame:
     return ranked.where(-F.col("r")[0]["c"] - second > margin).select("line", F.col("r")[0]["license"].alias("license"), (-F.col("r")[0]["c"]).alias("similarity"))
 
 
-def scan(df: DataFrame, path: Column, threshold: float = 0.6, margin: float = 0.01, text_col: str = "text") -> DataFrame:
-    """Adds path, n_lines, n_headers, license, similarity and inherited_from (a directory; null for a file's own)."""
+def scan(df: DataFrame, path: Column, threshold: float = 0.6, margin: float = 0.01, text_col: str = "text", together: bool = False) -> DataFrame:
+    """Adds path, n_lines, n_headers, license, similarity and inherited_from (a directory; null for a file's own).
+
+    With together, lines that follow each other are also compared as one text: runs of headers in any file, paragraphs
+    (runs of lines with a letter or digit) in files named as a licence. A run with a licence stands for its lines. A file
+    named as a licence then has one licence, that of its whole text, or else of the first of its paragraphs, or else of its
+    headers, that has one; so a licence's text that speaks of other licences keeps its own name.
+    """
     scratch = Scratch(df.sparkSession)
     base = without(df, [c for c in OUTPUTS if c != text_col] + ["_row", "_heads"])
     files = base.withColumn("path", path).withColumn("_row", F.xxhash64("path", text_col))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) & (F.length(text_col) > 0)
-    read = files.select("_row", "path", F.filter(lines, lambda x: x.rlike(HEADER)).alias("heads"), F.when(named, F.col(text_col)).alias("whole"), F.when(F.length(text_col) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"))
+    whole = F.when(named, F.col(text_col))
+    read = files.select("_row", "path", units(lines, whole, together).alias("units"), F.size(F.filter(lines, lambda x: x.rlike(HEADER))).cast("long").alias("n_headers"), named.alias("named"), F.when(F.length(text_col) > 0, F.size(lines)).otherwise(0).cast("long").alias("n_lines"))
     # repeated rows have one key
-    judged = scratch.cut(read.dropDuplicates(["_row"]).withColumn("n_headers", F.size("heads").cast("long")))
-    units = F.concat("heads", F.when(F.col("whole").isNull(), F.array().cast("array<string>")).otherwise(F.array("whole")))
-    heads = judged.where((F.size("heads") > 0) | F.col("whole").isNotNull()).select("_row", F.explode(units).alias("line"))
+    judged = scratch.cut(read.dropDuplicates(["_row"]))
+    heads = judged.where(F.size("units") > 0).select("_row", (F.col("named") & F.lit(together)).alias("one"), F.inline("units"))
     best = scratch.cut(cosines(heads, threshold, margin))
     times = heads.groupBy("line").agg(F.count("*").alias("times"))
-    own = spread_join(heads, best.join(times, "line"), ["line"]).groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), " AND ").alias("own"), F.max("similarity").alias("sim"))
-    placed = scratch.cut(judged.join(own, "_row", "left").select("_row", F.element_at(directories(F.col("path")), 1).alias("home"), "n_lines", "n_headers", F.col("whole").isNotNull().alias("named"), "own", "sim"))
+    known = spread_join(heads, best.join(times, "line"), ["line"])
+    # a run with a licence stands for its lines
+    by_run = known.groupBy("_row", "one", "at").agg(F.max(F.when(F.col("lead"), F.struct("license", "similarity"))).alias("led"), F.collect_set("license").alias("all"), F.max("similarity").alias("most"), F.max(F.struct("similarity", "license")).alias("top"))
+    by_run = by_run.select("_row", "one", "at", F.when(F.col("led").isNull(), F.col("all")).otherwise(F.array("led.license")).alias("all"), F.coalesce("led.similarity", "most").alias("most"), "top")
+    by_row = by_run.groupBy("_row", "one").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("all")))), " AND ").alias("all"), F.max("most").alias("most"), F.min_by("top", "at").alias("top"))
+    own = by_row.select("_row", F.when(F.col("one"), F.col("top.license")).otherwise(F.col("all")).alias("own"), F.when(F.col("one"), F.col("top.similarity")).otherwise(F.col("most")).alias("sim"))
+    placed = scratch.cut(judged.join(own, "_row", "left").select("_row", F.element_at(directories(F.col("path")), 1).alias("home"), "n_lines", "n_headers", "named", "own", "sim"))
     in_dir = placed.where(F.col("own").isNotNull() & (F.col("named") | (2 * F.col("n_headers") >= F.col("n_lines"))))
     dirs = in_dir.groupBy(F.col("home").alias("dir")).agg(F.min(F.struct((-F.col("sim")).alias("s"), "own")).alias("d")).select("dir", F.col("d.own").alias("lic"), (-F.col("d.s")).alias("up_sim"))
     homes = placed.where(F.col("own").isNull()).groupBy("home").agg(F.count("*").alias("times"))

@@ -81,7 +81,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # files of a tree: a source's thousands, then hundreds
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), F.concat(number.cast("string"), F.lit(".txt")))
-    done = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    done = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, together=True)
     return done.select("doc_id", "path", "n_headers", "license", F.round("similarity", 4).alias("similarity"), "inherited_from")
 
 

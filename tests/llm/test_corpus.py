@@ -74,6 +74,43 @@ def test_licenses(spark):
     assert licenses.scan(df, F.col("place")).count() == 8 and licenses.scan(df.limit(0), F.col("place")).count() == 0
 
 
+def test_licenses_together(spark):
+    """Openings of licence files, notices over several lines, and paragraphs that name another licence."""
+    gpl = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  13. Use with the GNU Affero General Public License.
+"""
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+    notice = "\n".join(f" * {x}" for x in ("This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU{} General Public License as published by", "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."))
+    under = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nimport os'
+    files = {
+        "a/LICENSE": (gpl, "GPL-3.0"), "b/COPYING": (gpl.replace("Version 3, 29 June 2007", "Version 2, June 1991"), "GPL-2.0"), "c/LICENSE.txt": (apache, "Apache-2.0"),
+        "d/LICENSE": (gpl.replace("GENERAL PUBLIC LICENSE\n", "LESSER GENERAL PUBLIC LICENSE\n", 1), "LGPL-3.0"), "e/LICENSE": ("Mozilla Public License Version 2.0\n====\n\n1. Definitions\n", "MPL-2.0"),
+        "f/x.c": ("/*\n" + notice.format("", 3) + "\n */\nint x;", "GPL-3.0"), "f/y.c": (notice.format("", 2), "GPL-2.0"), "f/z.c": (notice.format(" Affero", 3), "AGPL-3.0"), "f/w.c": (notice.format(" Lesser", "2.1"), "LGPL-2.1"),
+        "g/x.py": (under, "Apache-2.0"), "h/x.rs": ("// SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), "i/x.txt": ("plain\0 text\nof a file\n\n\0", None), "i/y.txt": ("", None), "i/z.txt": (None, None),
+        "a/src/m.c": ("int y;", "GPL-3.0"), "j/LICENSE": ("\n\n \n", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "place string, text string")
+    got = {r.place: r.license for r in licenses.scan(df, F.col("place"), together=True).collect()}
+    assert got == {p: want for p, (_, want) in files.items()}
+    assert licenses.scan(df.limit(0), F.col("place"), together=True).count() == 0
+
+
 def test_license_query(spark):
     sf = "/root/testdata/sf0.01"
     found = {r.doc_id: r for r in queries.op10_licenses(spark, sf).collect()}

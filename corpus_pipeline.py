@@ -40,6 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of documents with similar five-word shingles (0.8 or more), the one with the least doc_id stays; of several with
     that doc_id, or of rows without one where no row has one, the one with the least hash of its text.
 
+    Links are those of SimHash fingerprints, as in op5, compared shingle by shingle; similar texts whose fingerprints are
+    further apart are found by their shingles, so none is lost.
     Of rows with one doc_id (or none) and one text, one stays; rows that share only the doc_id are documents of their own.
     Null and empty texts and those without words are like no other and stay; long texts are compared whole; an empty
     table gives no rows; further columns are left out.

@@ -294,6 +294,11 @@ ROUNDS = 2
 PIVOTS = 4
 #: Words of a set's fingerprint, of 64 bits each; a word is a segment.
 WORDS = 8
+#: For similar_groups, SimHash fingerprints link up to so many differing bits.
+REACH = 6
+#: In cells of over CROWD fingerprints each is linked to the nearest of the WINDOW before it only.
+CROWD = 48
+WINDOW = 256
 #: Pairs whose texts' hashes, 16 bytes a pair, are broadcast.
 FEW = 1_000_000
 EPS = 1e-6
@@ -358,20 +363,92 @@ def prefix_of(x: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarra
 
 
 def _prefixed(df: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, text_col: str) -> DataFrame:
-    """Adds node, size (distinct shingles), bits (the set's fingerprint) and prefix."""
+    """Adds node, size (distinct shingles), bits (the set's fingerprint), prefix and fp, the SimHash."""
 
     def make():
         rank = np.argsort(frequent)
         hot = frequent[rank]
 
         def work(texts: list[str]) -> list[list]:
+            fps = fingerprints_of(texts).view(np.int64)
             sets = shingle_sets(texts, shingle)
-            return [[set_name(x) for x in sets], [len(x) for x in sets], [set_bits(x) for x in sets], [prefix_of(x, similarity, hot, rank).view(np.int64) for x in sets]]
+            return [[set_name(x) for x in sets], [len(x) for x in sets], [set_bits(x) for x in sets], [prefix_of(x, similarity, hot, rank).view(np.int64) for x in sets], fps]
 
         return work
 
     longs = T.ArrayType(T.LongType())
-    return map_text(df, text_col, [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", longs), T.StructField("prefix", longs)], make)
+    return map_text(df, text_col, [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", longs), T.StructField("prefix", longs), T.StructField("fp", T.LongType())], make)
+
+
+def grid_cells(fp: np.ndarray, distance: int) -> np.ndarray:
+    """The grid cells of many fingerprints, as cell_keys makes them of 2-bit segments' popcounts: a row each."""
+    odd = np.uint64(0x5555555555555555)
+    counts, groups = (fp & odd) + ((fp >> np.uint64(1)) & odd), distance + 3
+    masks = [sum(3 << 2 * x for x in range(g, 32, groups)) for g in range(groups)]
+    mix = lambda k: np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    with np.errstate(over="ignore"):
+        return np.stack([remix(counts & np.uint64(sum(masks[g] for g in chosen)), mix(k)) for k, chosen in enumerate(combinations(range(groups), 3))], axis=1)
+
+
+def near_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) fingerprints of one cell within the distance: all pairs, or those of the nearest before in a crowd."""
+    order = np.lexsort((fp, cell))
+    cell, fp = cell[order], fp[order].view(np.uint64)
+    n = len(cell)
+    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    members = np.diff(np.append(begin, n))
+    crowded = np.repeat(members > CROWD, members)
+    ones = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    i, us, vs = np.arange(n), [], []
+    least, nearest = np.full(n, distance + 1, np.int64), np.zeros(n, np.int64)
+    for d in range(1, WINDOW + 1):
+        i = i[i < n - d]
+        i = i[cell[i] == cell[i + d]]
+        if not len(i):
+            break
+        x = i[np.abs(ones[i] - ones[i + d]).sum(1, dtype=np.int64) <= distance]
+        apart = np.bitwise_count(fp[x] ^ fp[x + d]).astype(np.int64)
+        x, apart = x[apart <= distance], apart[apart <= distance]
+        few = x[~crowded[x]]
+        us.append(few)
+        vs.append(few + d)
+        better = apart < least[x + d]
+        x, apart = x[better], apart[better]
+        least[x + d], nearest[x + d] = apart, x
+    own = np.flatnonzero(crowded & (least <= distance))
+    u, v = np.concatenate([*us, nearest[own]]).astype(np.int64), np.concatenate([*vs, own]).astype(np.int64)
+    a, b = fp[u].view(np.int64), fp[v].view(np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def wide_links(fps: DataFrame, distance: int = REACH, max_dealt: int = 10_000) -> DataFrame:
+    """(u, v) links of distinct fingerprints (column fp) that meet in a grid cell and are within the distance: all of them, but
+    for crowded cells, whose members have a link each. Cells of over about max_dealt members are dealt over tasks."""
+
+    def deal(batches):
+        for b in batches:
+            fp = b["fp"].to_numpy()
+            for lo in range(0, len(fp), 4096):
+                cells = grid_cells(fp[lo : lo + 4096].view(np.uint64), distance)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64).ravel()), pa.array(np.repeat(fp[lo : lo + 4096], cells.shape[1]))], names=["cell", "fp"])
+
+    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(deal, "cell long, fp long")
+    hot = sampled.groupBy("cell").count().where(F.col("count") > max_dealt // SAMPLE).select("cell", F.lit(True).alias("hot"))
+    dealt = F.xxhash64("cell", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(64)))
+    rows = fps.mapInArrow(deal, "cell long, fp long").join(F.broadcast(hot), "cell", "left")
+    work = lambda t: [near_in_cells(t["cell"].to_numpy(), t["fp"].to_numpy(), distance)]
+    return _by_cell(rows.select(F.when(F.col("hot"), dealt).otherwise(F.col("cell")).alias("cell"), "fp"), "cell", work, "u long, v long").distinct()
+
+
+def _fingerprint_pairs(marked: DataFrame, scratch: Scratch, max_dealt: int) -> DataFrame:
+    """(u, v) of nodes whose SimHash fingerprints are equal or linked. The least node of a fingerprint stands for it: it is
+    paired with its others, and with the one of each fingerprint that is linked to its own."""
+    named = scratch.cut(marked.select("fp", "node").distinct())
+    first = scratch.cut(named.groupBy("fp").agg(F.min("node").alias("first")))
+    same = dealt_join(named, first, ["fp"], hot_keys(named, ["fp"], scratch, max_dealt)).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    at_u, at_v = (first.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in ("ua", "vb"))
+    near = wide_links(first.select("fp"), max_dealt=max_dealt).join(at_u, "u").join(at_v, "v").select("a", "b")
+    return same.unionByName(near).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def _meets(x: Column, y: Column, similarity: float) -> Column:
@@ -545,11 +622,14 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     """(id, least) of rows with words: the least id that each reaches over links of texts with that Jaccard similarity.
 
     Exact: every pair with the similarity is joined, and every link has been compared shingle by shingle. Texts with equal
-    shingle sets are one node. All texts sort their shingles in one order, and two with the similarity share one of their
-    first few; the more so as frequent shingles come last. Pairs meet in the cells of those shingles and must pass the
-    bounds that sizes and places give, then those of the sets' fingerprints: segment popcounts differ by no more than
-    the fingerprints' bits, and those by no more than the sets.
-
+    shingle sets are one node. First come the links of the SimHash fingerprints that near_duplicates has, up to REACH bits:
+    through the grid of their segments' popcounts, the Manhattan bound and the exact distance (see wide_links). What has the
+    similarity is joined.
+
+    A SimHash bounds no Jaccard similarity, so the pairs that it leaves apart are looked for once more: all texts sort their
+    shingles in one order, and two with the similarity share one of their first few; the more so as frequent shingles come
+    last. Pairs meet in the cells of those shingles and must pass the bounds that sizes and places give, then those of the
+    sets' fingerprints: segment popcounts differ by no more than the fingerprints' bits, and those by no more than the sets.
     Each cell first tries one member with all others, twice, and what is alike is joined; then all pairs of a cell that are
     still apart are tried, in blocks of max_cell. So a large group of like texts costs no square of its size. Members of a
     cell of over max_dealt are dealt over several tasks; neither number changes the groups. Hashes of 64 bits stand for
@@ -562,16 +642,17 @@ def similar_groups(df: DataFrame, scratch: Scratch, shingle: int = 5, similarity
     worded = df.select(id_col, text_col).where(F.col(text_col).rlike(r"\S"))
     frequent, hot = frequent_shingles(worded, shingle, text_col)
     marked = _prefixed(worded.withColumn("text_hash", F.xxhash64(text_col)), shingle, similarity, frequent, text_col)
-    marked = scratch.cut(marked.select(id_col, "text_hash", "node", "size", "bits", "prefix"))
+    marked = scratch.cut(marked.select(id_col, "text_hash", "node", "size", "bits", "prefix", "fp"))
     bits = scratch.cut(marked.groupBy("node").agg(F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     tokens = bits.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("cell", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
     met = scratch.cut(_met(tokens, similarity, hot))
     hot_cells = hot_keys(met, ["cell"], scratch, max_dealt)
     roots = None
-    for k in range(ROUNDS + 1):
-        if k < ROUNDS:
-            tried = _near(_pivot_pairs(met, similarity, k, hot_cells).distinct(), bits, similarity)
-            tried = _apart(tried, roots) if roots is not None else tried
+    for k in range(-1, ROUNDS + 1):
+        if k < 0:
+            tried = _near(_fingerprint_pairs(marked, scratch, max_dealt), bits, similarity)
+        elif k < ROUNDS:
+            tried = _apart(_near(_pivot_pairs(met, similarity, k, hot_cells).distinct(), bits, similarity), roots)
         else:
             tried = _open_pairs(met, roots, bits, similarity, max_cell, hot_cells).distinct()
         tried = scratch.cut(tried)

@@ -219,6 +219,53 @@ def test_similar_groups_exact(spark, max_cell):
     assert got == dict(enumerate(above)) and 3 < len(set(above)) < len(texts) / 2
 
 
+def test_similar_groups_by_fingerprints(spark, monkeypatch):
+    """Without cells of shingles there are just the links of fingerprints within six bits, as far as they are similar."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(300)]
+        for _ in range(4):
+            texts.append(" ".join(base))
+            base[r.randrange(300)] = r.choice(words)
+    much = " ".join(r.choice(words) for _ in range(61))
+    texts += [" ".join([much] * 60 + [r.choice(words) for _ in range(80)]) for _ in range(2)]  # linked, but not similar
+    fps = [int(x) for x in simhash.fingerprints_of(texts)]
+    above, apart = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.REACH:
+                if jaccard(texts[i], texts[j]) < 0.8:
+                    apart += 1
+                elif above[i] != above[j]:
+                    lo, hi = sorted((above[i], above[j]))
+                    above = [lo if x == hi else x for x in above]
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "_pivot_pairs", lambda *_: none)
+    monkeypatch.setattr(simhash, "_open_pairs", lambda *_: none)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.least for x in simhash.similar_groups(df, Scratch(spark)).collect()}
+    assert got == dict(enumerate(above)) and apart and len(set(above)) <= len(texts) - 30
+
+
+@pytest.mark.parametrize("distance", [2, 6])
+def test_near_in_cells(distance):
+    """The cells hold every pair within the distance; in a crowd each has a link to one before it."""
+    r = random.Random(distance)
+    turned = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    base = [r.getrandbits(64) for _ in range(150)]
+    fps = sorted({turned(x, n) for x in base for n in (0, 0, distance, distance + 1)} | {turned(base[0], 1) for _ in range(90)})
+    fp = np.array(fps, np.uint64)
+    cells = simhash.grid_cells(fp, distance)
+    u, v = simhash.near_in_cells(cells.view(np.int64).ravel(), np.repeat(fp.view(np.int64), cells.shape[1]), distance)
+    got = {tuple(sorted((int(a), int(b)))) for a, b in zip(u.view(np.uint64), v.view(np.uint64), strict=True)}
+    close = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= distance}
+    family = {x for x in fps if (x ^ base[0]).bit_count() <= 2 * distance + 1}
+    assert got <= close and {p for p in close if not set(p) & family} <= got and len(close) > 150
+    assert {x for p in close for x in p} == {x for p in got for x in p}
+
+
 def test_near_duplicates_of_any_id(spark):
     """Null and repeated ids: what differs in text stays, and of copies one stays."""
     r = random.Random(3)

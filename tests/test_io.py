@@ -198,6 +198,71 @@ def test_archives_merged_and_split(spark, tmp_path):
         archive.merge_archives(spark, src, sets, out)
 
 
+def test_compressors_one_at_a_time(spark, tmp_path):
+    """A compressor holds 260 KB and more: a batch of 8,000 small members has no 8,000 of them."""
+    def peak(batches):
+        # the highest memory of this worker and of those before it in the task
+        import resource
+
+        import pyarrow as pa
+
+        for b in batches:
+            b.num_rows
+        mb = max(int(line.split()[1]) for p in glob.glob("/proc/[0-9]*/status") for text in [open(p).read()] if f"PPid:\t{os.getppid()}\n" in text for line in text.splitlines() if line.startswith("VmHWM")) // 1024
+        yield pa.RecordBatch.from_pydict({"mb": [max(mb, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)]})
+
+    rows = spark.range(8_000, numPartitions=1).select(F.lit("a").alias("name"), F.concat(F.lit("text "), F.col("id").cast("string")).cast("binary").alias("png"))
+    assert archive.packed_images(rows, squeeze=True).mapInArrow(peak, "mb long").first().mb < 400
+
+
+def test_merges_read_members_in_place(spark, tmp_path):
+    """Merged files have the members' bytes, but no task shuffles or stores them: rows of places are small."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    os.mkdir(src)
+    files = {b: [(f"{i:03d}.png", random.Random(f"{b}{i}").randbytes(20_000)) for i in range(100)] for b in "ab"}
+    for b, some in files.items():
+        zipped(f"{src}/{b}.cbz", some)
+    sets = spark.createDataFrame([(f"{src}/{b}.cbz", "m.cbz", i) for i, b in enumerate("ab")], "book string, name string, file_idx int")
+    seen, kept = [], archive.stored
+
+    def storing(df):
+        found, drop = kept(df)
+        seen.append(sum(os.path.getsize(p.removeprefix("file:")) for p in (f"/{x.partition(':')[2].lstrip('/')}" for x in found.inputFiles())))
+        return found, drop
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(archive, "stored", storing)
+        archive.merge_archives(spark, src, sets, out)
+    z = zipfile.ZipFile(f"{out}/m.cbz")
+    assert z.testzip() is None and [z.read(n) for n in sorted(z.namelist())] == [x for b in "ab" for _, x in files[b]]
+    assert 0 < sum(seen) < 400_000  # of 4 MB
+
+
+def test_directory_in_pieces(tmp_path):
+    """A directory of 60,000 entries is read piece by piece; no task holds it."""
+    import tracemalloc
+
+    n, at, entries, heads = 60_000, 0, [], []
+    for i in range(n):
+        name = b"%06d.png" % i
+        heads.append(archive.local_header(name, 0, 0, 0, 0))
+        entries.append(archive.directory_entry(name, 0, 0, 0, 0, at))
+        at += len(heads[-1])
+    made = b"".join(entries)
+    (tmp_path / "a.zip").write_bytes(b"".join(heads) + made + archive.directory_end(n, len(made), at))
+    reader = archive.ArchiveReader({"path": str(tmp_path), "what": "directory"})
+    tracemalloc.start()
+    rows = sum(1 for part in reader.partitions() for _ in reader.rows(part))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and most < 8 << 20
+    # slices share the entries out, and a directory that lacks a part is one error
+    reader = archive.ArchiveReader({"path": str(tmp_path), "what": "contents", "slice": 1 << 20})
+    assert sorted(r["entry_path"] for part in reader.partitions() for r in reader.rows(part)) == [f"{i:06d}.png" for i in range(n)]
+    (tmp_path / "a.zip").write_bytes(b"".join(heads) + made[:-112] + b"x" * 112 + archive.directory_end(n, len(made), at))
+    assert [r["error"] for part in reader.partitions() for r in reader.rows(part)] == [f"the directory ends after {n - 2} of {n} entries"]
+
+
 def test_wide_archives(tmp_path):
     """Numbers beyond the old format's are written and read in the wide one."""
     n = 70_000

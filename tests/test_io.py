@@ -1,5 +1,6 @@
 """Container and archive files read by ranges and written from chunks; streams against their batch forms."""
 
+import contextlib
 import glob
 import io
 import os
@@ -223,19 +224,41 @@ def test_merges_read_members_in_place(spark, tmp_path):
     for b, some in files.items():
         zipped(f"{src}/{b}.cbz", some)
     sets = spark.createDataFrame([(f"{src}/{b}.cbz", "m.cbz", i) for i, b in enumerate("ab")], "book string, name string, file_idx int")
+    with stored_bytes() as seen:
+        archive.merge_archives(spark, src, sets, out)
+    z = zipfile.ZipFile(f"{out}/m.cbz")
+    assert z.testzip() is None and [z.read(n) for n in sorted(z.namelist())] == [x for b in "ab" for _, x in files[b]]
+    assert 0 < sum(seen) < 400_000  # of 4 MB
+
+
+def test_splits_read_members_in_place(spark, tmp_path):
+    """The same for parts that overlap: two with nearly all members, stored as places alone."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    os.mkdir(src)
+    some = [(f"{i:03d}.png", random.Random(i).randbytes(20_000)) for i in range(100)]
+    zipped(f"{src}/a.cbz", some[::-1])
+    ranges = spark.createDataFrame([(f"{src}/a.cbz", "x.cbz", 1, 99), (f"{src}/a.cbz", "y.cbz", 2, 100)], "book string, name string, start int, end int")
+    with stored_bytes() as seen:
+        archive.split_archives(spark, src, ranges, out)
+    for name, lo, hi in (("x.cbz", 0, 99), ("y.cbz", 1, 100)):
+        z = zipfile.ZipFile(f"{out}/{name}")
+        assert z.testzip() is None and [z.read(n) for n in sorted(z.namelist())] == [x for _, x in some[lo:hi]]
+    assert 0 < sum(seen) < 400_000  # of 4 MB
+
+
+@contextlib.contextmanager
+def stored_bytes():
+    """What archives put in scratch tables."""
     seen, kept = [], archive.stored
 
     def storing(df):
         found, drop = kept(df)
-        seen.append(sum(os.path.getsize(p.removeprefix("file:")) for p in (f"/{x.partition(':')[2].lstrip('/')}" for x in found.inputFiles())))
+        seen.append(sum(os.path.getsize("/" + p.partition(":")[2].lstrip("/")) for p in found.inputFiles()))
         return found, drop
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(archive, "stored", storing)
-        archive.merge_archives(spark, src, sets, out)
-    z = zipfile.ZipFile(f"{out}/m.cbz")
-    assert z.testzip() is None and [z.read(n) for n in sorted(z.namelist())] == [x for b in "ab" for _, x in files[b]]
-    assert 0 < sum(seen) < 400_000  # of 4 MB
+        yield seen
 
 
 def test_directory_in_pieces(tmp_path):

@@ -286,6 +286,24 @@ def test_directory_in_pieces(tmp_path):
     assert [r["error"] for part in reader.partitions() for r in reader.rows(part)] == [f"the directory ends after {n - 2} of {n} entries"]
 
 
+def test_directories_by_parts(spark, tmp_path):
+    """Offsets run on over parts and names, in whatever order members come; no row holds more than a batch of entries."""
+    sizes = {b: [random.Random(f"{b}{i}").randrange(50) for i in range(n)] for b, n in (("a", 25_000), ("b", 3))}
+    rows = [(b, i, f"{i}.png", 0, i, s, s) for b, some in sizes.items() for i, s in enumerate(some, 1)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, page_no int, entry string, method int, crc long, packed long, bytes long")
+    made = sorted(archive.directories(df, 10_000_000).collect(), key=lambda r: (r.name, r.seq))
+    for b, some in sizes.items():
+        at, want = 0, b""
+        for i, s in enumerate(some, 1):
+            want += archive.directory_entry(b"%d.png" % i, 0, i, s, s, at)
+            at += 30 + len(f"{i}.png") + s
+        assert b"".join(bytes(r.chunk) for r in made if r.name == b) == want + archive.directory_end(len(some), len(want), at)
+    assert max(len(r.chunk) for r in made) < 700_000  # of 1.3 MB
+    again = sorted(archive.directories(df, 7).collect(), key=lambda r: (r.name, r.seq))
+    assert len(again) > len(made) and len({b"".join(bytes(r.chunk) for r in x if r.name == "a") for x in (made, again)}) == 1
+
+
 def test_wide_archives(tmp_path):
     """Numbers beyond the old format's are written and read in the wide one."""
     n = 70_000

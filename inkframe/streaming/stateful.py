@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -72,35 +74,48 @@ def stream_stitch(
 
 
 class Lifetimes(StatefulProcessor):
-    """The stored results of a session by the time at which they expire."""
+    """The living results of a session as one value, pairs of id and end, and a timer at the first end: the calls to the state store
+    are some a batch and session, not some a result."""
 
     def __init__(self, lifetime_ms: int):
         self.lifetime_ms = lifetime_ms
 
     def init(self, handle):
         self.handle = handle
-        self.known = handle.getMapState("known", "id long", "expires long")
-        self.due = handle.getMapState("due", "expires long", "ids array<long>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
-        for r in rows:
-            if self.known.containsKey((r.id,)):
-                continue
-            expires = r.created_ms + self.lifetime_ms
-            held = self.due.getValue((expires,))[0] if self.due.containsKey((expires,)) else []
-            self.known.updateValue((r.id,), (expires,))
-            self.due.updateValue((expires,), ([*held, r.id],))
-            self.handle.registerTimer(expires)
+        self.living = handle.getValueState("living", "pairs binary")
+
+    def pairs(self) -> np.ndarray:
+        held = self.living.get()
+        return np.frombuffer(held[0] if held else b"", np.int64).reshape(-1, 2)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self.pairs()
+        new = np.concatenate([r[["id", "created_ms"]].to_numpy(np.int64) for r in rows])
+        # a result lives once
+        new = new[np.sort(np.unique(new[:, 0], return_index=True)[1])]
+        new = new[~np.isin(new[:, 0], held[:, 0])] + [0, self.lifetime_ms]
+        if len(new):
+            first = held[:, 1].min() if len(held) else None
+            if first is None or new[:, 1].min() < first:
+                if first is not None:
+                    self.handle.deleteTimer(int(first))
+                self.handle.registerTimer(int(new[:, 1].min()))
+            self.living.update((np.concatenate([held, new]).tobytes(),))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.due.containsKey((at,)):
-            ids = sorted(self.due.getValue((at,))[0])
-            self.due.removeKey((at,))
-            for i in ids:
-                self.known.removeKey((i,))
-            yield Row(session_id=key[0], expired_ms=at, n=len(ids), ids=ids)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held, now = self.pairs(), timerValues.getCurrentWatermarkInMs()
+        over = held[:, 1] <= now
+        left, due = held[~over], held[over]
+        if len(left):
+            self.living.update((left.tobytes(),))
+            self.handle.registerTimer(int(left[:, 1].min()))
+        else:
+            self.living.clear()
+        due = due[np.lexsort((due[:, 0], due[:, 1]))]
+        ends, starts, counts = np.unique(due[:, 1], return_index=True, return_counts=True)
+        if len(ends):
+            yield pd.DataFrame({"session_id": [key[0]] * len(ends), "expired_ms": ends, "n": counts.astype(np.int32), "ids": np.split(due[:, 0], starts[1:])})
 
     def close(self):
         pass
@@ -117,4 +132,4 @@ def expired_results(results: DataFrame, lifetime_ms: int = LIFETIME_MS, late: st
     timed = results.where(F.col("id").isNotNull() & F.col("created_at").isNotNull()).withWatermark("created_at", late)
     kind = results.schema["session_id"].dataType.simpleString()
     given = timed.select("session_id", F.col("id").cast("long").alias("id"), F.unix_millis("created_at").alias("created_ms"), "created_at")
-    return given.groupBy("session_id").transformWithState(Lifetimes(lifetime_ms), f"session_id {kind}, expired_ms long, n int, ids array<long>", "append", "eventTime")
+    return given.groupBy("session_id").transformWithStateInPandas(Lifetimes(lifetime_ms), f"session_id {kind}, expired_ms long, n int, ids array<long>", "append", "eventTime")

@@ -351,6 +351,48 @@ def test_stitch_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want and want
 
 
+def test_expired_results(spark, tmp_path, monkeypatch):
+    """Lifetimes over several batches: results stored again while they live or after, ends at the very clock, many of one session; the
+    state store is called some times a session and batch, not for each result."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [
+        [(i, "big", at(i // 3)) for i in range(3_000)] + [(1, "a", at(5)), (1, "a", at(9)), (2, "b", at(7)), (9, "c", at(1001)), (8, "e", at(1))],
+        [(1, "a", at(1_002)), (3, "b", at(2_000)), (None, "b", at(1_500)), (4, "b", None)],
+        [(5, "d", at(3_001))],
+        [(6, "d", at(9_000))],
+    ]
+    kind = "id long, session_id string, created_at timestamp"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, stateful.ROCKS)
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+            found = stateful.expired_results(spark.readStream.schema(kind).parquet(source), 1_000_000)
+            q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+            assert q.awaitTermination(240)
+            made = spark.read.schema(found.schema).parquet(out)
+            if rows is batches[0]:
+                # the clock stands at 1001 s; what ends then is over
+                assert {(r.session_id, r.expired_ms - 1704067200000) for r in made.collect()} == {("big", 1_000_000), ("big", 1_001_000), ("e", 1_001_000)}
+    finally:
+        spark.conf.set(provider, before)
+    got = {(r.session_id, (r.expired_ms - 1704067200000) // 1000): r.ids for r in made.collect()}
+    want = {("big", 1_000 + s): [3 * s, 3 * s + 1, 3 * s + 2] for s in range(1_000)} | {("e", 1_001): [8], ("a", 1_005): [1], ("b", 1_007): [2], ("c", 2_001): [9], ("b", 3_000): [3], ("d", 4_001): [5]}
+    assert got == want and made.count() == len(want)
+    calls = []
+    handle = type("H", (), {"registerTimer": lambda self, t: calls.append(t), "deleteTimer": lambda self, t: calls.append(t)})()
+    state = type("V", (), {"get": lambda self: calls.append("get"), "exists": lambda self: calls.append("exists"), "update": lambda self, v: calls.append("update")})()
+    one = stateful.Lifetimes(1_000)
+    one.handle, one.living = handle, state
+    import pandas as pd
+
+    assert list(one.handleInputRows(("s",), iter([pd.DataFrame({"id": range(1_000), "created_ms": range(1_000)})]), None)) == [] and len(calls) < 5
+
+
 def test_streamed_files(spark, tmp_path):
     """Books of each batch become files; chunks of a stream, too, and a repeated batch replaces its own."""
     blobs = {b: [page(9 * i + n) for i in range(n)] for n, b in enumerate("pqr", 1)}
